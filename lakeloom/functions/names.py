@@ -38,4 +38,7 @@ def delivery_flag(path: Column) -> Column:
 
 
 def version_time(path: Column) -> Column:
-    return F.try_to_timestamp(_found(file_name(path), TAIL_PATTERN, 2), F.lit("yyyyMMddHHmmssSSS"))
+    digits = _found(file_name(path), TAIL_PATTERN, 2)
+    # The parser needs a mark between the seconds and their fraction.
+    marked = F.concat(F.left(digits, F.lit(14)), F.lit("."), F.right(digits, F.lit(3)))
+    return F.try_to_timestamp(marked, F.lit("yyyyMMddHHmmss.SSS"))

@@ -21,29 +21,36 @@ from ..session import settle
 from .bounded import broadcast_if_small
 from .ordered import ROWS_PER_SLICE, SLICE, Ordered, _as_side, _on_keys, order_by_key
 
+MAX_CHOICE_SLICES = 256
+
 _POS, _END, _END_AT, _REACH = "_pos", "_end", "_end_at", "_reach"
 
 
 def _openers(rows: Ordered, span_us: int) -> DataFrame:
     """Every event with the position and time of the last event less than `span_us` after it."""
     rows = rows.position(_POS)
-    if rows.hot is None:
-        ahead = (
-            Window.partitionBy(*rows.keys, SLICE).orderBy(rows.at).rangeBetween(0, span_us - 1)
-        )
-        return rows.df.withColumn(_END, F.max(_POS).over(ahead)).withColumn(
-            _END_AT, F.max(rows.at).over(ahead)
-        )
-    # A window cannot look past a slice border. Ask instead, as of `at + span`, for the
-    # latest event before that moment: probes sort in front of events of equal time.
+    ahead = Window.partitionBy(*rows.keys, SLICE).orderBy(rows.at).rangeBetween(0, span_us - 1)
+    return rows.df.withColumn(_END, F.max(_POS).over(ahead)).withColumn(
+        _END_AT, F.max(rows.at).over(ahead)
+    )
+
+
+def _openers_across_slices(rows: Ordered, span_us: int, rows_per_slice: int) -> DataFrame:
+    """The same for sliced keys, where a window would not look past the slice.
+
+    Every event asks, as of `at + span`, for the latest event before that moment: such a
+    probe sorts in front of events of equal time.
+    """
+    rows = rows.position(_POS)
     keep = [*rows.keys, SLICE, rows.at, *rows.ties, _POS]
     events = rows.df.select(*keep)
+    row_type = events.select(F.struct(*keep).alias("s")).schema["s"].dataType
     both = events.select(
         *rows.keys,
         F.col(rows.at).alias("_t"),
         F.lit(1).alias("_side"),
         F.struct(F.col(_POS).alias("pos"), F.col(rows.at).alias("at")).alias("_seen"),
-        F.lit(None).cast(events.select(F.struct(*keep).alias("s")).schema["s"].dataType).alias("_ask"),
+        F.lit(None).cast(row_type).alias("_ask"),
         F.col(_POS).alias("_rank"),
     ).unionByName(
         events.select(
@@ -55,7 +62,7 @@ def _openers(rows: Ordered, span_us: int) -> DataFrame:
             F.col(_POS).alias("_rank"),
         )
     )
-    asked = order_by_key(both, rows.keys, "_t", ("_side", "_rank"), ROWS_PER_SLICE)
+    asked = order_by_key(both, rows.keys, "_t", ("_side", "_rank"), rows_per_slice)
     found = asked.fill_forward("_seen", "_last").result().filter(F.col("_ask").isNotNull())
     return found.select("_ask.*", F.col("_last.pos").alias(_END), F.col("_last.at").alias(_END_AT))
 
@@ -98,13 +105,25 @@ def burst_match(
     rows = df.select(*keys, micros(at).alias("_at"), *ties)
     rows = rows.filter(F.col("_at").isNotNull())
     ordered = order_by_key(rows, keys, "_at", ties, rows_per_slice)
-    openers = _openers(ordered, span_seconds * 1_000_000)
-    openers = openers.withColumn("_n", F.col(_END) - F.col(_POS) + 1).filter(F.col("_n") >= min_events)
-    openers = openers.select(*keys, SLICE, "_at", _POS, _END, _END_AT, "_n")
+    span_us = span_seconds * 1_000_000
+
+    def enough(openers: DataFrame) -> DataFrame:
+        counted = openers.withColumn("_n", F.col(_END) - F.col(_POS) + 1)
+        return counted.filter(F.col("_n") >= min_events).select(*keys, SLICE, "_at", _POS, _END, _END_AT, "_n")
+
+    def choose_cold(cold: Ordered) -> DataFrame:
+        return _choose(enough(_openers(cold, span_us)).withColumn(_REACH, F.lit(-1).cast("long")), keys)
+
     if ordered.hot is None:
-        chosen = _choose(openers.withColumn(_REACH, F.lit(-1).cast("long")), keys)
+        chosen = choose_cold(ordered)
     else:
-        chosen = _choose_across_slices(settle(openers, "openers"), keys)
+        side = broadcast_if_small(_as_side(ordered.hot.select(*keys), keys))
+        cold = ordered.df.join(side, _on_keys(keys), "left_anti")
+        hot = ordered.with_df(ordered.df.join(side, _on_keys(keys), "left_semi"))
+        openers = settle(enough(_openers_across_slices(hot, span_us, rows_per_slice)), "openers")
+        chosen = choose_cold(Ordered(cold, keys, "_at", tuple(ties), None)).unionByName(
+            _choose_across_slices(openers, keys)
+        )
     moment = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return chosen.select(
         *keys,
@@ -129,6 +148,7 @@ def _choose_across_slices(openers: DataFrame, group: list[str]) -> DataFrame:
             "left",
         ).select(*group, SLICE, F.coalesce(F.max("_far").over(before), F.lit(-1)).alias(_REACH))
     )
+    openers = _coarser(openers, group)
     slices = settle(openers.select(*group, SLICE).distinct(), "slices")
     reach = settle(slices.withColumn(_REACH, F.lit(-1).cast("long")), "reach")
     while True:
@@ -141,5 +161,18 @@ def _choose_across_slices(openers: DataFrame, group: list[str]) -> DataFrame:
         reach = after
 
 
+def _coarser(openers: DataFrame, group: list[str]) -> DataFrame:
+    """Join neighbouring slices so that a key has at most MAX_CHOICE_SLICES.
+
+    A choosing task needs no memory, and fewer slices mean fewer rounds in the worst case.
+    """
+    tops = openers.groupBy(*group).agg((F.max(SLICE) + 1).alias("_top"))
+    side = _as_side(settle(tops, "tops"), group)
+    joined = openers.join(broadcast_if_small(side), _on_keys(group))
+    whole = F.floor(F.col(SLICE) * MAX_CHOICE_SLICES / F.col("_top"))
+    merged = F.when(F.col("_top") > MAX_CHOICE_SLICES, whole).otherwise(F.col(SLICE))
+    return joined.withColumn(SLICE, merged).drop("_top", *[f"_k_{k}" for k in group])
+
+
 def _renamed(df: DataFrame, group: list[str]) -> DataFrame:
     return _as_side(df, [*group, SLICE])

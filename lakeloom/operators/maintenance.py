@@ -51,6 +51,7 @@ def apply_deletes(base: DataFrame, deletes: DataFrame, keys: list[str], at: str,
 def compaction_plan(
     files: DataFrame,
     table: str,
+    at: str,
     path: str,
     size: str,
     target_bytes: int,
@@ -59,15 +60,13 @@ def compaction_plan(
     """Assign each file of a table to an output of about `target_bytes` (`bin`).
 
     Files at or above the target are left as they are (`bin` NULL); the others are packed
-    in order of a hash of their path, which keeps the running size cheap for a table with
-    any number of files.
+    in order of `at` (a BIGINT such as the modification time), neighbours in time together.
     """
-    spread = F.pmod(F.xxhash64(path), F.lit(1 << 40))
-    small = files.filter(F.col(size) < target_bytes).withColumn("_at", spread)
-    rows = order_by_key(small, [table], "_at", (path,), rows_per_slice).running_sum(size, "_upto")
+    small = files.filter(F.col(size) < target_bytes)
+    rows = order_by_key(small, [table], at, (path,), rows_per_slice).running_sum(size, "_upto")
     packed = rows.result().withColumn("bin", F.floor((F.col("_upto") - F.col(size)) / target_bytes))
     large = files.filter(F.col(size) >= target_bytes).withColumn("bin", F.lit(None).cast("long"))
-    return packed.drop("_at", "_upto").unionByName(large)
+    return packed.drop("_upto").unionByName(large)
 
 
 def compact(spark, source: str, target: str, target_bytes: int) -> int:

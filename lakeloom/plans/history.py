@@ -144,11 +144,11 @@ def calendar(spark) -> Calendar:
 @query("period_lookup", """
 WITH src AS (SELECT event_id,
     CASE event_id % 4 WHEN 0 THEN 'PT5M' WHEN 1 THEN 'PT15M' WHEN 2 THEN 'PT60M' ELSE 'P1D' END AS grain,
-    time_bucket(CASE event_id % 4 WHEN 0 THEN INTERVAL 5 MINUTE WHEN 1 THEN INTERVAL 15 MINUTE ELSE INTERVAL 60 MINUTE END, ts) AS at
+    time_bucket(CASE event_id % 4 WHEN 0 THEN INTERVAL 5 MINUTE WHEN 1 THEN INTERVAL 15 MINUTE ELSE INTERVAL 60 MINUTE END, ts) AS slot
   FROM events)
 SELECT event_id, grain,
-  CASE WHEN grain <> 'P1D' THEN (CASE WHEN isodow(at) >= 6 THEN 'W' ELSE 'R' END) || '-' || grain || '-' || strftime(at, '%H:%M') END AS okres_w_dobie_id,
-  CAST(CASE WHEN grain <> 'P1D' AND hour(at) = 23 THEN CAST(at AS DATE) + 1 ELSE CAST(at AS DATE) END AS VARCHAR) AS doba_pl
+  CASE WHEN grain <> 'P1D' THEN (CASE WHEN isodow(slot) >= 6 THEN 'W' ELSE 'R' END) || '-' || grain || '-' || strftime(slot, '%H:%M') END AS okres_w_dobie_id,
+  CAST(CASE WHEN grain <> 'P1D' AND hour(slot) = 23 THEN CAST(slot AS DATE) + 1 ELSE CAST(slot AS DATE) END AS VARCHAR) AS doba_pl
 FROM src
 """)
 def period_lookup_events(t):

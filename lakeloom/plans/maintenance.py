@@ -1 +1,106 @@
-"""To come."""
+"""Table maintenance over metadata and rows made of the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.maintenance import (
+    apply_deletes, build_rollup, compaction_plan, orphan_files, refresh_rollup, rollup_mean, snapshots_to_expire,
+    tier_by_age, upsert,
+)
+from ..session import settle
+from .registry import query
+
+
+def moment(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+@query("snapshot_retention", """
+SELECT table_name, snapshot_id FROM (
+  SELECT 'table_' || (o_custkey % 50) AS table_name, o_orderkey AS snapshot_id, o_orderdate AS committed_at,
+    row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
+WHERE n > 3 AND committed_at < TIMESTAMP '2001-07-15'
+""")
+def snapshot_retention(t):
+    """Orders as commits to fifty tables: what may expire when three are retained."""
+    snapshots = t.orders.select(
+        F.concat(F.lit("table_"), (F.col("o_custkey") % 50).cast("string")).alias("table_name"),
+        F.col("o_orderkey").alias("snapshot_id"),
+        F.col("o_orderdate").alias("committed_at"),
+    )
+    return snapshots_to_expire(snapshots, 3, moment("2001-07-15 00:00:00")).select("table_name", "snapshot_id")
+
+
+@query("orphan_files", """
+SELECT 'data/' || l_orderkey || '/' || l_linenumber || '.parquet' AS file_path, round(l_extendedprice) :: BIGINT AS size FROM lineitem
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')
+""")
+def orphan_files_lines(t):
+    """Files of no retained snapshot: lines as files, orders that are not finished as snapshots."""
+    path = F.concat(F.lit("data/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"), F.lit(".parquet"))
+    listing = t.lineitem.select(path.alias("file_path"), F.round("l_extendedprice").cast("long").alias("size"))
+    retained = t.orders.filter(F.col("o_orderstatus") != "F")
+    referenced = t.lineitem.join(retained, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(path.alias("file_path"))
+    return orphan_files(listing, referenced)
+
+
+@query("upsert_latest", """
+WITH c AS (SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS balance, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS segment
+  FROM orders GROUP BY o_custkey)
+SELECT c_custkey, c_name, coalesce(balance, c_acctbal) AS c_acctbal, coalesce(segment, c_mktsegment) AS c_mktsegment
+FROM customer LEFT JOIN c ON c_custkey = o_custkey
+""")
+def upsert_latest(t):
+    """Customers overwritten by their last order."""
+    base = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    names = t.customer.select("c_custkey", "c_name")
+    changes = t.orders.join(names, F.col("o_custkey") == F.col("c_custkey")).select(
+        "c_custkey", "c_name", F.col("o_totalprice").alias("c_acctbal"), F.col("o_orderstatus").alias("c_mktsegment"),
+        "o_orderdate", "o_orderkey",
+    )
+    return upsert(base, changes, ["c_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+@query("apply_deletes", """
+SELECT e.event_id, e.user_id, e.ts FROM events e LEFT JOIN (
+  SELECT user_id, max(ts) AS gone FROM events WHERE event_type = 'error' GROUP BY user_id) d USING (user_id)
+WHERE gone IS NULL OR gone <= e.ts
+""")
+def apply_deletes_events(t):
+    """An error deletes everything its user did before."""
+    base = t.events.select("event_id", "user_id", "ts")
+    deletes = t.events.filter(F.col("event_type") == "error").select("user_id", F.col("ts").alias("gone"))
+    return apply_deletes(base, deletes, ["user_id"], "ts", "gone")
+
+
+@query("compaction_plan", """
+SELECT source AS table_name, doc_id, n_chars, CASE WHEN n_chars < 20000 THEN ((upto - n_chars) // 20000) :: BIGINT END AS bin FROM (
+  SELECT *, sum(CASE WHEN n_chars < 20000 THEN n_chars ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM documents)
+""")
+def compaction_plan_documents(t):
+    """Documents as files of their source: which small ones are rewritten together."""
+    files = t.documents.select(F.col("source").alias("table_name"), "doc_id", "n_chars", F.col("doc_id").alias("written"))
+    return compaction_plan(files, "table_name", "written", "doc_id", "n_chars", 20_000).drop("written")
+
+
+@query("age_tiers", """
+SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY THEN 'hot'
+  WHEN ts >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY THEN 'cold' ELSE 'gone' END AS tier FROM events
+""")
+def age_tiers(t):
+    return tier_by_age(t.events, "ts", moment("2024-01-31 00:00:00"), "7 DAYS", "20 DAYS").select("event_id", "tier")
+
+
+@query("rollup_refresh", """
+SELECT event_type, date_trunc('day', ts) :: TIMESTAMP AS at_day, count(*) AS n_rows, count(value) AS n_values,
+  round(sum(value), 4) AS total, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean
+FROM events GROUP BY ALL
+""")
+def rollup_refresh(t):
+    """Stored daily aggregates refreshed with later rows."""
+    daily = t.events.withColumn("at_day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    keys, first = ["event_type", "at_day"], F.col("ts") < moment("2024-01-15 12:00:00")
+    stored = settle(build_rollup(daily.filter(first), keys, "value"), "rollup")
+    fresh = rollup_mean(refresh_rollup(stored, daily.filter(~first), keys, "value"))
+    return fresh.withColumn("total", F.round("total", 4)).withColumn("mean", F.round("mean", 6))

@@ -148,7 +148,7 @@ def header_union(lines: DataFrame) -> dict[str, list[str]]:
 
 def align(lines: DataFrame, columns: list[str]) -> DataFrame:
     """Fields by trimmed header name, NULL where the file lacks the column or the field is empty."""
-    names = F.transform(F.split("header", SEPARATOR, -1), F.trim)
+    names = F.transform(F.split("header", SEPARATOR, -1), lambda n: F.trim(n))
     cells = F.split("line", SEPARATOR, -1)
     split = lines.withColumn("_names", names).withColumn("_cells", cells)
     return split.select(

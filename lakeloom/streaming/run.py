@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_path, prepare
 
-BYTES_PER_TRIGGER = "64g"
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
-def stream_table(spark: SparkSession, path: str, max_bytes: str = BYTES_PER_TRIGGER) -> DataFrame:
-    """A Parquet file or folder as a stream; a trigger takes at most `max_bytes` of files."""
+def stream_table(spark: SparkSession, path: str, **options: str | int) -> DataFrame:
+    """A Parquet file or folder as a stream.
+
+    By default a replay takes all files in one trigger, so no row is late because of the
+    order of files. Pass `maxFilesPerTrigger` or `maxBytesPerTrigger` for sources whose
+    files arrive in time order.
+    """
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
-    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes)
+    reader = spark.readStream.schema(schema).options(**options)
     if _is_file(spark, path):
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
@@ -44,21 +49,31 @@ def to_table(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
 
 
 def each_batch(
-    df: DataFrame, label: str, write: Callable[[DataFrame, int, str], None], mode: str = "append"
+    df: DataFrame,
+    label: str,
+    write: Callable[[DataFrame, int, str], None],
+    mode: str = "append",
+    idle_batches: bool = True,
 ) -> str:
     """Run a stream with `write(batch, batch_id, folder)` per micro-batch; returns the folder.
 
     A batch that is replayed after a failure comes with the same id, so `write` stays
-    idempotent by overwriting the folder of its id.
+    idempotent by overwriting the folder of its id. Processing-time timers ask for batches
+    without data for ever; a replay that uses them ends only with `idle_batches` off.
     """
     spark = prepare(df.sparkSession)
     out = new_path(spark, label)
-    query = (
-        df.writeStream.outputMode(mode)
-        .foreachBatch(lambda batch, batch_id: write(batch, batch_id, out))
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    before = spark.conf.get(NO_DATA_BATCHES)
+    spark.conf.set(NO_DATA_BATCHES, str(idle_batches).lower())
+    try:
+        query = (
+            df.writeStream.outputMode(mode)
+            .foreachBatch(lambda batch, batch_id: write(batch, batch_id, out))
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(NO_DATA_BATCHES, before)
     query.awaitTermination()
     return out

@@ -80,10 +80,10 @@ class LatestValue(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         best = tuple(self.latest.get()) if self.latest.exists() else None
         for batch in rows:
-            top = batch.sort_values(["_at", "_tie"]).iloc[-1]
-            if best is None or (top["_at"], top["_tie"]) >= best[:2]:
-                value = None if pd.isna(top["_value"]) else float(top["_value"])
-                best = (int(top["_at"]), int(top["_tie"]), value)
+            last = batch.sort_values(["at", "tie"]).tail(1)
+            at, tie, value = (last[c].tolist()[0] for c in ("at", "tie", "value"))
+            if best is None or (at, tie) >= best[:2]:
+                best = (at, tie, None if pd.isna(value) else value)
         # The tombstone's time stays, or an older value arriving later would revive the key.
         self.latest.update(best)
         yield pd.DataFrame({self.key: [key[0]], "value": pd.Series([best[2]], dtype="float64"),
@@ -96,7 +96,7 @@ class LatestValue(StatefulProcessor):
 def changelog_updates(df: DataFrame, key: str, value: str, at: str, tie: str) -> DataFrame:
     """(key, value, at, tie) per changed key and trigger; the newest row per key is the table."""
     rows = df.select(
-        key, F.unix_micros(at).alias("_at"), F.col(tie).alias("_tie"), F.col(value).alias("_value")
+        key, F.unix_micros(at).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("value")
     )
     return rows.groupBy(key).transformWithStateInPandas(
         LatestValue(key),
