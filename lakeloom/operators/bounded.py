@@ -22,3 +22,13 @@ def collect_bounded(df: DataFrame, max_rows: int) -> list:
     if len(rows) > max_rows:
         raise TooLarge(f"more than {max_rows} rows")
     return rows
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan with fewer partitions than cores before work that is heavy per row.
+
+    A large input has more partitions than cores and is left alone, so at scale this adds
+    no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

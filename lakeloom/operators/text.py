@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .bounded import collect_bounded
+from .bounded import collect_bounded, spread
 
 TERM_BREAK = r"[^\p{L}\p{N}]+"
 QUERY_BLOCK = 256
@@ -93,35 +93,38 @@ def bm25_topk(
     asked = queries.select(
         F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(query_text))).alias("term")
     )
-    corpus = documents.filter(F.col(doc_text).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), terms(doc_text).alias("words")
-    )
-    total, mean = corpus.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    texts = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")))
+    corpus = texts.filter(F.col("text").isNotNull()).select("doc_id", terms("text").alias("words"))
     n_queries = queries.count()
     blocks = 1 if n_queries <= block else -(-n_queries * 2 // block)
     results = None
-    for i in range(blocks if total else 0):
+    for i in range(blocks):
         part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
         wanted: dict[int, list[str]] = {}
         for row in collect_bounded(part, MAX_BLOCK_TERMS):
             wanted.setdefault(row["query_id"], []).append(row["term"])
-        # `wanted` has just been measured, so the distinct terms are safe to broadcast.
+        # `wanted` has just been measured, so the distinct terms are safe to broadcast. The
+        # empty term stands for the document itself and brings along its length.
+        known = part.select("term").distinct().unionByName(spark.sql("SELECT '' AS term"))
         frequency = (
-            corpus.select(F.explode(F.array_distinct("words")).alias("term"))
-            .join(F.broadcast(part.select("term").distinct()), "term", "left_semi")
+            corpus.select(F.size("words").alias("length"), "words")
+            .select("length", F.explode(F.array_append(F.array_distinct("words"), F.lit(""))).alias("term"))
+            .join(F.broadcast(known), "term", "left_semi")
             .groupBy("term")
-            .count()
+            .agg(F.count(F.lit(1)).alias("docs"), F.sum("length").alias("length"))
         )
-        found_in = {r["term"]: r["count"] for r in collect_bounded(frequency, MAX_BLOCK_TERMS)}
+        found_in = {r["term"]: r for r in collect_bounded(frequency, MAX_BLOCK_TERMS)}
+        corpus_row = found_in.pop("", None)
         if not found_in:
             continue
+        total, mean = corpus_row["docs"], corpus_row["length"] / corpus_row["docs"]
         vocabulary, ids = sorted(found_in), sorted(wanted)
         row_of = {t: i for i, t in enumerate(vocabulary)}
         weights = np.zeros((len(vocabulary), len(ids)))
         for q, qid in enumerate(ids):
             for term in wanted[qid]:
                 if term in row_of:
-                    n = found_in[term]
+                    n = found_in[term]["docs"]
                     weights[row_of[term], q] = math.log(1 + (total - n + 0.5) / (n + 0.5))
         shared = spark.sparkContext.broadcast(weights)
         found = corpus.mapInArrow(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import ntz
+from ..operators.bounded import spread
 from ..operators.bursts import burst_match
 from ..operators.events import (
     NotificationRule, Trigger, batch_files, batch_files_by_size, batch_totals, fan_out, match_notifications, route,
@@ -52,7 +53,7 @@ def notification_messages(t):
             ).alias("object"),
         ).alias("s3"),
     )
-    return t.events.select("event_id", "ts", F.to_json(F.struct(F.array(record).alias("Records"))).alias("value"))
+    return spread(t.events).select("event_id", "ts", F.to_json(F.struct(F.array(record).alias("Records"))).alias("value"))
 
 
 @query("notification_explode", NOTIFICATION_SQL)

@@ -60,12 +60,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lakeloom/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` once to the shared folder and continue from the written copy.
 
     Cuts the lineage like a checkpoint does, survives lost executors, and unlike
     a checkpoint keeps size statistics, so later joins are planned on real sizes.
+    With `partition_by`, readers of one value skip the folders of the others.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

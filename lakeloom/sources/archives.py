@@ -170,9 +170,8 @@ class Delivery:
         named = archives.withColumn("table", archive_table(F.col("path")))
         winners = latest_delivery(archives).filter(F.col("table").isNotNull())
         kept = named.join(winners.select("path"), "path", "left_semi")
-        self.lines = settle(
-            zip_lines(kept).withColumn("table", archive_table(F.col("path"))), "zip-lines"
-        )
+        lines = zip_lines(kept).withColumn("table", archive_table(F.col("path")))
+        self.lines = settle(lines, "zip-lines", ["table"])
         self.columns = header_union(self.lines)
         self.good, self.bad = split_ragged(self.lines)
 

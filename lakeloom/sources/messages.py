@@ -46,7 +46,9 @@ def parse_json(df: DataFrame, schema: T.StructType | str, column: str = "value")
     corrupt = "_corrupt"
     full = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
-    read = df.withColumn("_parsed", F.from_json(column, full, options))
+    # Behind the generator the parse result is a plain column: a filter on it cannot be
+    # pushed down as a second parse of the same text.
+    read = df.withColumn("_parsed", F.explode(F.array(F.from_json(column, full, options))))
     broken = F.col("_parsed").isNull() | F.col(f"_parsed.{corrupt}").isNotNull()
     rest = [c for c in df.columns if c != column]
     good = read.filter(~broken).select(*rest, *[F.col(f"_parsed.{f}").alias(f) for f in schema.fieldNames()])
