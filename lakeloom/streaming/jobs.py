@@ -89,7 +89,7 @@ def split_late(df: DataFrame, at: str, delay: str, label: str) -> tuple[DataFram
 
     out = each_batch(df, label, write)
     rows = read_table(spark, f"{out}/rows")
-    rows = rows.select(*df.columns, "_late")
+    rows = rows.select(*df.columns, F.col("_late").cast("boolean").alias("_late"))
     return rows.filter(~F.col("_late")).drop("_late"), rows.filter("_late").drop("_late")
 
 
