@@ -145,3 +145,32 @@ def batch_files_by_size(
     before = F.col("_upto") - F.coalesce(F.col(size), F.lit(0))
     batch = F.floor(before / target_bytes)
     return rows.result().withColumn("batch_no", batch).drop("_at", "_upto")
+
+
+def sessionize(
+    df: DataFrame,
+    keys: list[str],
+    at: str,
+    ties: list[str],
+    gap_seconds: int,
+    aggs: list[Column],
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Aggregates per key and session; rows at most `gap_seconds` apart share one.
+
+    Equals grouping by Spark's session window, but a hot key is processed in slices and
+    its sessions are pre-aggregated before the shuffle.
+    """
+    rows = df.filter(F.col(at).isNotNull()).withColumn("_at", micros(at))
+    ordered = order_by_key(rows, keys, "_at", ties, rows_per_slice).lag("_at", "_prev")
+    opens = F.col("_prev").isNull() | (F.col("_at") - F.col("_prev") > gap_seconds * 1_000_000)
+    named = ordered.fill_forward(F.when(opens, F.col("_at")), "_session").result()
+    return (
+        named.groupBy(*keys, "_session")
+        .agg(
+            F.min(at).alias("window_start"),
+            (F.max(at) + F.expr(f"INTERVAL {gap_seconds} SECONDS")).alias("window_end"),
+            *aggs,
+        )
+        .drop("_session")
+    )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .bounded import broadcast_if_small
 from .ordered import ROWS_PER_SLICE, order_by_key
 from .stats import latest_by_key
 
@@ -40,7 +39,6 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: list[str
 def apply_deletes(base: DataFrame, deletes: DataFrame, keys: list[str], at: str, deleted_at: str) -> DataFrame:
     """Rows that no later delete of their key removes: only the latest delete of a key matters."""
     last = deletes.groupBy(*keys).agg(F.max(deleted_at).alias("_deleted"))
-    last = broadcast_if_small(last)
     return (
         base.join(last, keys, "left")
         .filter(F.col("_deleted").isNull() | (F.col("_deleted") <= F.col(at)))

@@ -73,7 +73,8 @@ class Ordered:
         return self._hot_rows().groupBy(*self.keys, SLICE).agg(*aggs)
 
     def _attach(self, df: DataFrame, side: DataFrame) -> DataFrame:
-        side = _as_side(side, self.keys).withColumnRenamed(SLICE, "_k_slice")
+        # Written first: measuring it and joining it must not compute the borders twice.
+        side = settle(_as_side(side, self.keys).withColumnRenamed(SLICE, "_k_slice"), "borders")
         names = [f"_k_{k}" for k in self.keys] + ["_k_slice"]
         cond = _on_keys(self.keys) & (F.col(SLICE) == F.col("_k_slice"))
         return df.join(broadcast_if_small(side), cond, "left").drop(*names)

@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.vectors import closer_sign, distances
+from ..session import settle
 from .bounded import collect_bounded
 
 QUERY_BLOCK = 1024
@@ -19,15 +20,16 @@ DIGITS = 6
 
 def _query_blocks(queries: DataFrame, query_id: str, vector: str, block: int) -> Iterator[tuple]:
     """(ids, matrix) blocks of the query set; a large set is taken in several passes."""
-    total = queries.count()
-    if total <= block:
-        parts = [queries]
+    asked = queries.select(query_id, vector)
+    first = asked.limit(block + 1).collect()
+    if len(first) <= block:
+        parts = [first]
     else:
-        n = -(-total * 2 // block)
-        placed = queries.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(n)))
-        parts = [placed.filter(F.col("_block") == i) for i in range(n)]
-    for part in parts:
-        rows = collect_bounded(part.select(query_id, vector), 4 * block)
+        asked = settle(asked, "queries")
+        n = -(-asked.count() * 2 // block)
+        placed = asked.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(n)))
+        parts = (collect_bounded(placed.filter(F.col("_block") == i), 4 * block) for i in range(n))
+    for rows in parts:
         if rows:
             yield [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import settle
 from .bounded import broadcast_if_small
 
 
@@ -96,6 +97,7 @@ def mark_late(df: DataFrame, batch: str, at: str, delay: str) -> DataFrame:
         F.col(batch).alias("_batch"),
         (F.max("_peak").over(earlier) - F.expr(f"INTERVAL {delay}")).alias("_limit"),
     )
+    limits = settle(limits, "late-limits")
     return (
         df.join(broadcast_if_small(limits), F.col(batch) == F.col("_batch"), "left")
         .withColumn("late", F.coalesce(F.col(at) < F.col("_limit"), F.lit(False)))

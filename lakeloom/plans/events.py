@@ -8,7 +8,7 @@ from ..functions.columns import ntz
 from ..operators.bounded import spread
 from ..operators.bursts import burst_match
 from ..operators.events import (
-    NotificationRule, Trigger, batch_files, batch_files_by_size, batch_totals, fan_out, match_notifications, route,
+    NotificationRule, Trigger, batch_files, batch_files_by_size, batch_totals, fan_out, match_notifications, route, sessionize,
 )
 from ..operators.ranges import interval_join
 from ..operators.stats import (
@@ -329,7 +329,7 @@ def sliding_window(t):
 
 
 SESSION_SQL = """
-WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS opens
+WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 2 HOUR THEN 1 ELSE 0 END AS opens
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM g)
 SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 2 HOUR AS window_end, count(*) AS n, round(sum(value), 4) AS total
@@ -340,6 +340,13 @@ FROM s GROUP BY user_id, no
 @query("session_window", SESSION_SQL)
 def session_window(t):
     """Sessions of a user that end after two quiet hours."""
+    totals = [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")]
+    return sessionize(t.events, ["user_id"], "ts", ["event_id"], 7200, totals)
+
+
+@query("session_window_builtin", SESSION_SQL)
+def session_window_builtin(t):
+    """The same by Spark's session window."""
     return _window_rows(t.events.groupBy("user_id", F.session_window("ts", "2 hours").alias("w")), "user_id")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 
 from lakeloom.operators import ordered
 from lakeloom.operators.bursts import burst_match
-from lakeloom.operators.events import batch_files, batch_files_by_size, batch_totals
+from lakeloom.operators.events import batch_files, batch_files_by_size, batch_totals, sessionize
 from lakeloom.operators.history import as_of_join, with_validity
 from lakeloom.operators.ordered import SLICE, order_by_key
 
@@ -135,6 +135,14 @@ def test_batches_equal_sequential_processing(df, rows, limit, max_files, timeout
     assert sorted(map(tuple, totals.collect()), key=str) == sequential_batches(rows, max_files, timeout)
 
 
+def test_sessions_of_hot_keys(df):
+    n = [F.count(F.lit(1)).alias("n")]
+    got = sessionize(df, ["user"], "ts", ["id"], 60, n, rows_per_slice=25)
+    built_in = df.groupBy("user", F.session_window("ts", "60 seconds").alias("w")).agg(*n)
+    want = built_in.select("user", "w.start", "w.end", "n").collect()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want), key=str)
+
+
 def test_gap_of_exactly_the_timeout_closes_a_batch(spark):
     rows = [(0, 1, BASE, 1.0), (1, 1, BASE + dt.timedelta(seconds=30), 1.0), (2, 1, BASE + dt.timedelta(seconds=59), 1.0)]
     df = spark.createDataFrame(rows, SCHEMA)
