@@ -70,8 +70,8 @@ def compaction_plan(
 def compact(spark, source: str, target: str, target_bytes: int) -> int:
     """Rewrite a Parquet folder into files of about `target_bytes`; returns the number of files."""
     df = spark.read.parquet(source)
-    sizes = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"))
-    total = sizes.distinct().agg(F.sum("s")).first()[0] or 0
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    total = listed.filter(F.col("path").endswith(".parquet")).agg(F.sum("length")).first()[0] or 0
     count = max(1, -(-total // target_bytes))
     df.repartition(int(count)).write.mode("overwrite").parquet(target)
     return int(count)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.vectors import closer_sign, distances
 from ..session import settle
+from ..sinks.tables import write_partitioned
 from .bounded import collect_bounded
 
 QUERY_BLOCK = 1024
@@ -126,13 +127,8 @@ class CellIndex:
         self.base, self.centres, self.base_id, self.vector = base, centres, base_id, vector
 
     def write(self, path: str) -> CellIndex:
-        """Store the vectors partitioned by cell, so that a search skips the other folders.
-
-        Rows are spread within a cell: a cell holding a third of the vectors is written
-        by many tasks.
-        """
-        spread = F.pmod(F.xxhash64(self.base_id), F.lit(64))
-        self.base.repartition("cell", spread).write.partitionBy("cell").parquet(path)
+        """Store the vectors partitioned by cell, so that a search skips the other folders."""
+        write_partitioned(self.base, "cell", path)
         stored = self.base.sparkSession.read.parquet(path)
         return CellIndex(stored, self.centres, self.base_id, self.vector)
 

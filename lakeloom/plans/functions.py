@@ -95,9 +95,9 @@ def fn_datetime(t):
 
 
 @query("fn_math", """
-SELECT event_id, round(sqrt(value), 6) AS root, round(ln(value), 6) AS logn, floor(value) :: BIGINT AS lo,
+SELECT event_id, round(sqrt(value), 6) AS root, CASE WHEN value > 0 THEN round(ln(value), 6) END AS logn, floor(value) :: BIGINT AS lo,
   ceil(value) :: BIGINT AS hi, round(pow(value, 2), 4) AS sq, (event_id % 7) :: BIGINT AS rem, sign(value - 20) :: INT AS sgn,
-  round(value / 3, 2) AS third, CASE WHEN user_id = 0 THEN NULL ELSE round(value / user_id, 10) END AS per_user,
+  round(value / 3, 2) AS third, CASE WHEN user_id <> 0 THEN value / user_id END AS per_user,
   greatest(value, 20.0) AS at_least, bit_count(event_id) :: INT AS bits, (event_id & 255) :: BIGINT AS low_byte,
   NULL :: BIGINT AS overflow
 FROM events
@@ -114,7 +114,7 @@ def fn_math(t):
         (F.col("event_id") % 7).alias("rem"),
         F.signum(value - 20).cast("int").alias("sgn"),
         F.round(value / 3, 2).alias("third"),
-        F.round(F.try_divide("value", F.col("user_id").cast("double")), 10).alias("per_user"),
+        F.try_divide("value", F.col("user_id").cast("double")).alias("per_user"),
         F.greatest("value", F.lit(20.0)).alias("at_least"),
         F.bit_count("event_id").alias("bits"),
         F.col("event_id").bitwiseAND(255).alias("low_byte"),
@@ -293,3 +293,74 @@ def fn_special(t):
         (F.unix_micros((F.col("ts") + gap).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))).alias("interval_us"),
         F.element_at(F.map_keys(F.create_map(F.col("value") * F.lit(-0.0), F.lit(1))), 1).alias("zero_key"),
     )
+
+
+@query("fn_string_more", """
+SELECT c_custkey, c_name AS there_and_back, format('{:,.2f}', c_acctbal) AS formatted, c_name AS inner_text,
+  2 :: BIGINT AS n_sentences, split_part(c_name, '#', 2) AS tail, c_mktsegment || '|' || c_nationkey AS joined,
+  levenshtein(c_mktsegment, 'BUILDING') :: BIGINT AS distance, left(c_name, 3) || right(c_name, 3) AS ends,
+  ascii(c_mktsegment) :: BIGINT AS code, repeat('x', 1 + c_nationkey % 3) AS xs
+FROM customer
+""")
+def fn_string_more(t):
+    return t.customer.select(
+        "c_custkey",
+        F.decode(F.unbase64(F.base64(F.encode("c_name", "UTF-8"))), "UTF-8").alias("there_and_back"),
+        F.format_number("c_acctbal", 2).alias("formatted"),
+        F.xpath_string(F.concat(F.lit("<a><b>"), "c_name", F.lit("</b></a>")), F.lit("a/b")).alias("inner_text"),
+        F.size(F.sentences(F.concat(F.lower("c_mktsegment"), F.lit(" sells. Who buys?")))).cast("bigint").alias("n_sentences"),
+        F.split_part("c_name", F.lit("#"), F.lit(2)).alias("tail"),
+        F.concat_ws("|", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("joined"),
+        F.levenshtein("c_mktsegment", F.lit("BUILDING")).cast("bigint").alias("distance"),
+        F.concat(F.left("c_name", F.lit(3)), F.right("c_name", F.lit(3))).alias("ends"),
+        F.ascii("c_mktsegment").cast("bigint").alias("code"),
+        F.repeat(F.lit("x"), (1 + F.col("c_nationkey") % 3)).alias("xs"),
+    )
+
+
+@query("fn_datetime_more", """
+SELECT o_orderkey, CAST(date_part('month', o_orderdate) AS BIGINT) AS m, CAST(extract(week FROM o_orderdate) AS BIGINT) AS w,
+  o_orderdate + INTERVAL 1 MONTH + INTERVAL 2 DAY AS shifted, date_trunc('quarter', o_orderdate) :: TIMESTAMP AS quarter_start,
+  date_diff('month', TIMESTAMP '1995-01-01', date_trunc('month', o_orderdate)) :: DOUBLE AS months,
+  o_orderdate - INTERVAL 3 HOUR AS utc, strftime(o_orderdate, '%Y/%m/%d') AS text, epoch(o_orderdate) :: BIGINT AS seconds
+FROM orders
+""")
+def fn_datetime_more(t):
+    day = F.col("o_orderdate")
+    return t.orders.select(
+        "o_orderkey",
+        F.date_part(F.lit("month"), day).cast("bigint").alias("m"),
+        F.extract(F.lit("week"), day).cast("bigint").alias("w"),
+        (day + F.make_interval(months=F.lit(1), days=F.lit(2))).alias("shifted"),
+        F.date_trunc("quarter", day).cast("timestamp_ntz").alias("quarter_start"),
+        F.months_between(F.trunc(day, "month"), F.lit("1995-01-01").cast("date")).alias("months"),
+        F.to_utc_timestamp(day.cast("timestamp"), "GMT+3").cast("timestamp_ntz").alias("utc"),
+        F.date_format(day, "yyyy/MM/dd").alias("text"),
+        F.unix_seconds(day.cast("timestamp")).alias("seconds"),
+    )
+
+
+@query("fn_json_schema", "SELECT 'STRUCT<k: BIGINT>' AS schema, count(*) AS n FROM events")
+def fn_json_schema(t):
+    """Schema of a message, then the messages that parse with it."""
+    first = t.events.select("props").first()[0]
+    schema = F.schema_of_json(F.lit(first))
+    parsed = t.events.select(F.from_json("props", schema).alias("p")).filter("p.k IS NOT NULL")
+    return parsed.agg(F.first(schema).alias("schema"), F.count(F.lit(1)).alias("n"))
+
+
+@query("fn_map_arrays", """
+SELECT l_returnflag, sum(l_quantity) AS quantity, round(sum(l_tax), 4) AS tax, count(*) AS n FROM lineitem GROUP BY l_returnflag
+""")
+def fn_map_arrays(t):
+    """Maps from arrays, turned into rows again."""
+    pairs = F.map_from_arrays(
+        F.array(F.lit("quantity"), F.lit("tax")), F.array(F.col("l_quantity"), F.col("l_tax"))
+    )
+    rows = t.lineitem.select("l_returnflag", F.explode(pairs))
+    value = lambda k: F.sum(F.when(F.col("key") == k, F.col("value")))
+    return rows.groupBy("l_returnflag").agg(
+        value("quantity").alias("quantity"),
+        F.round(value("tax"), 4).alias("tax"),
+        F.count(F.when(F.col("key") == "tax", 1)).alias("n"),
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.columns import ntz
 from ..functions.names import archive_base, archive_table, business_date, delivery_flag, version_time
 from ..session import new_path
-from ..sinks.tables import append_table, check_compat, read_table, replace_table, write_checked
+from ..sinks.tables import append_table, check_compat, ingest_files, read_table, replace_table, write_checked, write_partitioned
 from ..sources import archives as ar
 from ..sources.files import batch_glob, file_profile, read_csv_union, scan_merged
 from ..sources.sqlscript import run_script
@@ -299,8 +299,31 @@ WHERE l_returnflag = 'R' GROUP BY ALL
 def partition_pruned_scan(t):
     """A table partitioned by a key; a filter on the key reads one folder."""
     path = new_path(t.spark, "lineitem")
-    # Spread each key over several tasks: a hot key is not written by one.
-    spread = t.lineitem.repartition("l_returnflag", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(16)))
-    spread.write.partitionBy("l_returnflag").parquet(path)
+    write_partitioned(t.lineitem, "l_returnflag", path)
     back = t.spark.read.parquet(path).filter(F.col("l_returnflag") == "R")
     return back.groupBy("l_returnflag", "l_linestatus").agg(count_rows(), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query("ingest_append", """
+SELECT 'db.' || lower(o_orderstatus) AS "table", count(*) AS n, sum(o_orderkey) :: BIGINT AS keys FROM orders GROUP BY o_orderstatus
+""")
+def ingest_append(t):
+    """Files named by requests appended to their tables, read back per table."""
+    root = new_path(t.spark, "ingest")
+    requests = None
+    for status in ("F", "O", "P"):
+        for half in (0, 1):
+            path = f"{root}/landing/{status}/{half}"
+            part = (F.col("o_orderstatus") == status) & (F.col("o_orderkey") % 2 == half)
+            t.orders.filter(part).write.parquet(path)
+            listed = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+            files = listed.select(F.lit(f"db.{status.lower()}").alias("table"), F.col("path").alias("file"))
+            requests = files if requests is None else requests.unionByName(files)
+    done = ingest_files(requests, lambda table: f"{root}/tables/{table}")
+    out = None
+    for table in sorted(done):
+        part = read_table(t.spark, f"{root}/tables/{table}").agg(
+            F.lit(table).alias("table"), count_rows(), F.sum("o_orderkey").alias("keys")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -11,6 +11,7 @@ from ..operators.bounded import broadcast_if_small
 from ..operators.ranges import band_join
 from ..operators.stats import latest_by_key, null_profile
 from ..session import new_path
+from ..sinks.tables import write_bucketed
 from .registry import query
 
 
@@ -70,13 +71,7 @@ def bucketed_join(t):
     names = {}
     for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
         names[name] = f"bucketed_{name}_{uuid.uuid4().hex}"
-        (
-            getattr(t, name)
-            .write.bucketBy(16, key)
-            .sortBy(key)
-            .option("path", new_path(t.spark, names[name]))
-            .saveAsTable(names[name])
-        )
+        write_bucketed(getattr(t, name), names[name], key, new_path(t.spark, names[name]))
     orders, lines = t.spark.table(names["orders"]), t.spark.table(names["lineitem"])
     return (
         lines.hint("merge")

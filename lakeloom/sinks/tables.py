@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
+from ..operators.bounded import collect_bounded
+
 
 class SchemaMismatch(ValueError):
     """The rows to write do not fit the table."""
@@ -50,6 +54,53 @@ def append_table(df: DataFrame, target: str) -> None:
         rows.write.mode("append").saveAsTable(target)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, path: str, buckets: int | None = None) -> None:
+    """Table bucketed and sorted by `key`, one bucket per shuffle partition unless given.
+
+    Tables bucketed alike join on the key without a shuffle. Rows are brought together by
+    key first, so a task writes few buckets and the number of files stays near the number
+    of buckets; adaptive execution splits the writing of a hot key. Reading it back is one
+    task per bucket, so a table with a dominating key is better joined unbucketed.
+    """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.hint("rebalance", key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+
+
+def write_partitioned(df: DataFrame, key: str, path: str) -> None:
+    """One folder per key. Rows are rebalanced by key: adaptive execution splits a hot key
+    over several tasks and packs rare keys together."""
+    df.hint("rebalance", key).write.partitionBy(key).parquet(path)
+
+
+def ingest_files(files: DataFrame, target: Callable[[str], str], max_files: int = 100_000) -> dict[str, int]:
+    """Append requested Parquet files, (table, file) rows, to their tables; files per table.
+
+    The lists of paths are metadata; a table's files are read and appended in one job.
+    """
+    spark = files.sparkSession
+    requested = files.groupBy("table").agg(F.count(F.lit(1)).alias("n"))
+    done = {}
+    for row in collect_bounded(requested, max_files):
+        paths = [r["file"] for r in collect_bounded(files.filter(F.col("table") == row["table"]), max_files)]
+        rows, place = spark.read.parquet(*paths), target(row["table"])
+        if table_exists(spark, place):
+            append_table(rows, place)
+        else:
+            replace_table(rows, place)
+        done[row["table"]] = len(paths)
+    return done
+
+
+def table_exists(spark: SparkSession, target: str) -> bool:
+    if not is_path(target):
+        return spark.catalog.tableExists(target)
+    try:
+        spark.read.parquet(target)
+        return True
+    except AnalysisException:
+        return False
+
+
 @dataclass(frozen=True)
 class WriteCheck:
     written: int

@@ -50,3 +50,8 @@ def schema_profile(df: DataFrame) -> list[tuple[int, str, str, bool]]:
     return [
         (i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields, 1)
     ]
+
+
+def metadata_table(spark: SparkSession, table: str, kind: str) -> DataFrame:
+    """`snapshots`, `files`, ... of a table whose format offers them; needs such a catalog."""
+    return spark.table(f"{table}.{kind}")
