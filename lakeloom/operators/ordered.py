@@ -20,7 +20,7 @@ from pyspark.sql.window import WindowSpec
 from ..session import settle
 from .bounded import broadcast_if_small
 
-ROWS_PER_SLICE = 4_000_000
+ROWS_PER_SLICE = 1_000_000
 GRID_PER_SLICE = 8
 SLICE = "_slice"
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_path, prepare
 
 NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def stream_table(spark: SparkSession, path: str, **options: str | int) -> DataFrame:
@@ -36,14 +38,15 @@ def to_table(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything available now into a Parquet table and read it back."""
     spark = prepare(df.sparkSession)
     out = new_path(spark, label)
-    query = (
-        df.writeStream.outputMode(mode)
-        .format("parquet")
-        .option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    with _settings(spark):
+        query = (
+            df.writeStream.outputMode(mode)
+            .format("parquet")
+            .option("path", f"{out}/rows")
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
 
@@ -63,9 +66,7 @@ def each_batch(
     """
     spark = prepare(df.sparkSession)
     out = new_path(spark, label)
-    before = spark.conf.get(NO_DATA_BATCHES)
-    spark.conf.set(NO_DATA_BATCHES, str(idle_batches).lower())
-    try:
+    with _settings(spark, idle_batches):
         query = (
             df.writeStream.outputMode(mode)
             .foreachBatch(lambda batch, batch_id: write(batch, batch_id, out))
@@ -73,7 +74,25 @@ def each_batch(
             .trigger(availableNow=True)
             .start()
         )
-    finally:
-        spark.conf.set(NO_DATA_BATCHES, before)
     query.awaitTermination()
     return out
+
+
+@contextmanager
+def _settings(spark: SparkSession, idle_batches: bool = True) -> Iterator[None]:
+    """Settings a query takes over when it starts.
+
+    The number of state partitions follows the cluster's shuffle partitions; on a single
+    machine it is the number of cores, as each partition keeps a store of its own open.
+    """
+    values = {NO_DATA_BATCHES: str(idle_batches).lower()}
+    if spark.sparkContext.master.startswith("local"):
+        values[SHUFFLE_PARTITIONS] = str(spark.sparkContext.defaultParallelism)
+    before = {key: spark.conf.get(key) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

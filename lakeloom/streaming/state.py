@@ -1,8 +1,7 @@
 """Keyed state that does not depend on the order of rows within a trigger.
 
-Every processor keeps a bounded state per key and never gathers a key's rows: they come
-in Arrow batches and only the running result is kept. Jobs that need time order are in
-`carry.py`.
+State per key is bounded and rows are combined before the shuffle, so a hot key sends
+little to its one task. Jobs that need time order are in `carry.py`.
 """
 
 from __future__ import annotations
@@ -21,8 +20,8 @@ class OrderTracker(StatefulProcessor):
     expire after `ttl_ms`; the count stays. It can start from existing totals.
     """
 
-    def __init__(self, key: str, item: str, quiet_ms: int = 60_000, ttl_ms: int = 3_600_000):
-        self.key, self.item, self.quiet_ms, self.ttl_ms = key, item, quiet_ms, ttl_ms
+    def __init__(self, key: str, quiet_ms: int = 60_000, ttl_ms: int = 3_600_000):
+        self.key, self.quiet_ms, self.ttl_ms = key, quiet_ms, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -35,10 +34,10 @@ class OrderTracker(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n = self._known()
         for batch in rows:
-            n += len(batch)
-            # A bounded tail of each Arrow batch is what "recent" keeps.
-            for item in batch[self.item].tail(10):
-                self.recent.appendValue((int(item),))
+            n += int(batch["n"].sum())
+            for items in batch["items"]:
+                for item in items:
+                    self.recent.appendValue((int(item),))
         self.count.update((n,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -57,10 +56,29 @@ class OrderTracker(StatefulProcessor):
         pass
 
 
+RECENT = 10
+
+
+def _per_batch(key: str, item: str):
+    """Rows per key and Arrow batch with the last few items: what the state needs, before the shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            groups = batch.groupby(key)[item]
+            out = groups.size().rename("n").to_frame()
+            out["items"] = groups.apply(lambda x: x.tail(RECENT).tolist())
+            yield out.reset_index()
+
+    return run
+
+
 def track_orders(df: DataFrame, key: str, item: str, initial: DataFrame | None = None, **limits: int) -> DataFrame:
     """(key, total) after each trigger; `initial` has the columns key and total."""
-    return df.select(key, item).groupBy(key).transformWithStateInPandas(
-        OrderTracker(key, item, **limits),
+    partial = df.select(key, item).filter(F.col(key).isNotNull()).mapInPandas(
+        _per_batch(key, item), f"{key} bigint, n bigint, items array<bigint>"
+    )
+    return partial.groupBy(key).transformWithStateInPandas(
+        OrderTracker(key, **limits),
         outputStructType=f"{key} bigint, total bigint",
         outputMode="Update",
         timeMode="ProcessingTime",
@@ -68,40 +86,14 @@ def track_orders(df: DataFrame, key: str, item: str, initial: DataFrame | None =
     )
 
 
-class LatestValue(StatefulProcessor):
-    """Latest value per key by (time, tie); a NULL value deletes the key."""
-
-    def __init__(self, key: str):
-        self.key = key
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "at bigint, tie bigint, value double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = tuple(self.latest.get()) if self.latest.exists() else None
-        for batch in rows:
-            last = batch.sort_values(["at", "tie"]).tail(1)
-            at, tie, value = (last[c].tolist()[0] for c in ("at", "tie", "value"))
-            if best is None or (at, tie) >= best[:2]:
-                best = (at, tie, None if pd.isna(value) else value)
-        # The tombstone's time stays, or an older value arriving later would revive the key.
-        self.latest.update(best)
-        yield pd.DataFrame({self.key: [key[0]], "value": pd.Series([best[2]], dtype="float64"),
-                            "at": [best[0]], "tie": [best[1]]})
-
-    def close(self) -> None:
-        pass
-
-
 def changelog_updates(df: DataFrame, key: str, value: str, at: str, tie: str) -> DataFrame:
-    """(key, value, at, tie) per changed key and trigger; the newest row per key is the table."""
-    rows = df.select(
-        key, F.unix_micros(at).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("value")
-    )
-    return rows.groupBy(key).transformWithStateInPandas(
-        LatestValue(key),
-        outputStructType=f"{key} bigint, value double, at bigint, tie bigint",
-        outputMode="Update",
-        timeMode="None",
-    )
+    """(key, value, at, tie) per changed key and trigger, for update mode.
 
+    The newest row per key is the table; a NULL value says that the key is deleted. The
+    tombstone stays in the state, or an older value arriving later would revive the key.
+    One row per key is kept, and rows of a hot key are combined before the shuffle.
+    """
+    order = F.struct(F.unix_micros(at).alias("at"), F.col(tie).alias("tie"))
+    last = F.max_by(F.struct(F.col(value).alias("value"), order.alias("o")), order)
+    newest = df.groupBy(key).agg(last.alias("last"))
+    return newest.select(key, "last.value", "last.o.at", "last.o.tie")
