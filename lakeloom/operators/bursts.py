@@ -26,45 +26,42 @@ MAX_CHOICE_SLICES = 256
 _POS, _END, _END_AT, _REACH = "_pos", "_end", "_end_at", "_reach"
 
 
-def _openers(rows: Ordered, span_us: int) -> DataFrame:
-    """Every event with the position and time of the last event less than `span_us` after it."""
+def _asked(rows: Ordered, span_us: int) -> DataFrame:
+    """Every event twice: as itself, and as a probe one span later.
+
+    A probe asks for the latest event before its moment, so it sorts in front of events of
+    equal time. Two sorted passes answer all probes, however many events a span holds; a
+    sliding range frame would go through the span again for every row.
+    """
     rows = rows.position(_POS)
-    ahead = Window.partitionBy(*rows.keys, SLICE).orderBy(rows.at).rangeBetween(0, span_us - 1)
-    return rows.df.withColumn(_END, F.max(_POS).over(ahead)).withColumn(
-        _END_AT, F.max(rows.at).over(ahead)
+    moments = F.array(
+        F.struct(F.col(rows.at).alias("t"), F.lit(1).alias("side")),
+        F.struct((F.col(rows.at) + span_us).alias("t"), F.lit(0).alias("side")),
     )
+    return rows.df.select("*", F.inline(moments).alias("_t", "_side"))
 
 
-def _openers_across_slices(rows: Ordered, span_us: int, rows_per_slice: int) -> DataFrame:
-    """The same for sliced keys, where a window would not look past the slice.
+def _openers(rows: Ordered, span_us: int) -> DataFrame:
+    """Every event with the position and time of the last event less than `span_us` after it."""
+    upto = Window.partitionBy(*rows.keys, SLICE).orderBy("_t", "_side", _POS)
+    upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = lambda c: F.max(F.when(F.col("_side") == 1, F.col(c))).over(upto)
+    found = _asked(rows, span_us).withColumn(_END, seen(_POS)).withColumn(_END_AT, seen(rows.at))
+    return found.filter(F.col("_side") == 0).drop("_t", "_side")
 
-    Every event asks, as of `at + span`, for the latest event before that moment: such a
-    probe sorts in front of events of equal time.
-    """
-    rows = rows.position(_POS)
-    keep = [*rows.keys, SLICE, rows.at, *rows.ties, _POS]
-    events = rows.df.select(*keep)
-    row_type = events.select(F.struct(*keep).alias("s")).schema["s"].dataType
-    both = events.select(
-        *rows.keys,
-        F.col(rows.at).alias("_t"),
-        F.lit(1).alias("_side"),
-        F.struct(F.col(_POS).alias("pos"), F.col(rows.at).alias("at")).alias("_seen"),
-        F.lit(None).cast(row_type).alias("_ask"),
-        F.col(_POS).alias("_rank"),
-    ).unionByName(
-        events.select(
-            *rows.keys,
-            (F.col(rows.at) + span_us).alias("_t"),
-            F.lit(0).alias("_side"),
-            F.lit(None).cast("struct<pos: bigint, at: bigint>").alias("_seen"),
-            F.struct(*keep).alias("_ask"),
-            F.col(_POS).alias("_rank"),
-        )
+
+def _openers_across_slices(rows: Ordered, span_us: int, rows_per_slice: int) -> DataFrame:
+    """The same for hot keys: events and probes are sliced together by their moments."""
+    both = _asked(rows, span_us).withColumnRenamed(SLICE, "_home")
+    event = F.when(F.col("_side") == 1, F.struct(F.col(_POS).alias("pos"), F.col(rows.at).alias("at")))
+    ordered = order_by_key(both, rows.keys, "_t", ("_side", _POS), rows_per_slice)
+    found = ordered.fill_forward(event, "_last").result().filter(F.col("_side") == 0)
+    return (
+        found.withColumn(_END, F.col("_last.pos"))
+        .withColumn(_END_AT, F.col("_last.at"))
+        .drop("_t", "_side", "_last")
+        .withColumnRenamed("_home", SLICE)
     )
-    asked = order_by_key(both, rows.keys, "_t", ("_side", "_rank"), rows_per_slice)
-    found = asked.fill_forward("_seen", "_last").result().filter(F.col("_ask").isNotNull())
-    return found.select("_ask.*", F.col("_last.pos").alias(_END), F.col("_last.at").alias(_END_AT))
 
 
 def _pick(keys: list[str]):

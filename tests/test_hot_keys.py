@@ -197,6 +197,15 @@ def test_bursts_of_an_even_beat_cross_many_slices(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sequential_bursts(rows, 3, 70)
 
 
+def test_bursts_of_a_dense_key_take_linear_time(spark):
+    """Every span holds all 200,000 events: going through each span per row would not end."""
+    df = spark.range(200_000).select(
+        "id", F.lit(1).cast("long").alias("user"), F.timestamp_micros(F.col("id")).alias("ts")
+    )
+    got = burst_match(df, ["user"], "ts", ["id"]).collect()
+    assert [r["n"] for r in got] == [200_000]
+
+
 @pytest.mark.parametrize("sizes,expected", [([2], []), ([3], [3]), ([7], [7])])
 def test_runs_within_the_span(spark, sizes, expected):
     rows = [(i, 1, BASE + dt.timedelta(minutes=i), 1.0) for i in range(sizes[0])]
