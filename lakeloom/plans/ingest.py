@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import ntz
 from ..functions.names import archive_base, archive_table, business_date, delivery_flag, version_time
-from ..session import new_path
+from ..session import new_path, settle
 from ..sinks.tables import append_table, check_compat, ingest_files, read_table, replace_table, write_checked, write_partitioned
 from ..sources import archives as ar
 from ..sources.files import batch_glob, file_profile, read_csv_union, scan_merged
@@ -94,9 +94,11 @@ def event_archives(t) -> DataFrame:
     header = F.when(F.col("short"), "event_id; user_id ; value").otherwise("event_id;user_id;note;value")
     encoding = F.when(F.col("event_type") == "view", "latin-1").otherwise("utf-8")
     content = _zip(header, F.col("rows.line"), encoding)
-    return packed.select(
+    archives = packed.select(
         F.concat(F.lit("in/20240201/"), "name", F.lit(".csv.ZIP")).alias("path"), content.alias("content")
     ).select("path", F.length("content").cast("long").alias("length"), "content")
+    # Packed once, as delivered files would be; reading names does not pack again.
+    return settle(archives, "archives")
 
 
 LINES_SQL = f"""

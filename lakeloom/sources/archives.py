@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.names import archive_base, archive_table, file_name
-from ..operators.bounded import collect_bounded
+from ..operators.bounded import broadcast_if_small, collect_bounded
 from ..session import settle
 
 SEPARATOR = ";"
@@ -163,13 +163,26 @@ def align(lines: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def replaced_deliveries(archives: DataFrame) -> DataFrame:
+    """Paths that a later folder's archive of the same name replaces. Reads names only."""
+    named = archives.select(
+        "path", archive_table(F.col("path")).alias("table"), archive_base(F.col("path")).alias("base")
+    )
+    last = named.groupBy("table", "base").agg(F.max("path").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    return (
+        named.join(last.filter(F.col("_n") > 1), ["table", "base"])
+        .filter(F.col("path") != F.col("_last"))
+        .select("path")
+    )
+
+
 class Delivery:
     """All archives of a root, opened once; tables are read from the shared copy of their lines."""
 
     def __init__(self, archives: DataFrame):
-        named = archives.withColumn("table", archive_table(F.col("path")))
-        winners = latest_delivery(archives).filter(F.col("table").isNotNull())
-        kept = named.join(winners.select("path"), "path", "left_semi")
+        # The few replaced paths are excluded by a broadcast: the packed bytes stay where they are.
+        replaced = broadcast_if_small(settle(replaced_deliveries(archives), "replaced"))
+        kept = archives.filter(archive_table(F.col("path")).isNotNull()).join(replaced, "path", "left_anti")
         lines = zip_lines(kept).withColumn("table", archive_table(F.col("path")))
         self.lines = settle(lines, "zip-lines", ["table"])
         self.columns = header_union(self.lines)

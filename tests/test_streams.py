@@ -4,7 +4,6 @@ import datetime as dt
 import random
 import time
 
-import pytest
 from pyspark.sql import functions as F
 from test_hot_keys import sequential_batches, sequential_bursts
 
