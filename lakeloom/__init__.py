@@ -1 +1,8 @@
 """Lakehouse ingest, history, event and search jobs written on PySpark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
