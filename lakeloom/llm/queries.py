@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import prepare
+from ..session import new_path, prepare
 from ..sources.tables import Tables
 from .exact_dedup import exact_groups
+from .packing import pack
 from .token_counts import token_prefixes
+from .token_files import read_token_files, write_token_files
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -60,3 +62,15 @@ def op1_exact_dedup(t: Tables) -> DataFrame:
 @query("op2_token_counts")
 def op2_token_counts(t: Tables) -> DataFrame:
     return token_prefixes(t.documents, tokenizer(), limit=2048)
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(t: Tables) -> DataFrame:
+    return pack(t.documents, tokenizer(), limit=2048, end_id=0)
+
+
+@query("op9_token_files")
+def op9_token_files(t: Tables) -> DataFrame:
+    path = new_path(t.spark, "token-files")
+    write_token_files(t.documents, path, tokenizer(), end_id=1)
+    return read_token_files(t.spark, path)
