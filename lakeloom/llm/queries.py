@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_path, prepare
 from ..sources.tables import Tables
+from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .packing import pack
 from .token_counts import token_prefixes
@@ -74,3 +75,47 @@ def op9_token_files(t: Tables) -> DataFrame:
     path = new_path(t.spark, "token-files")
     write_token_files(t.documents, path, tokenizer(), end_id=1)
     return read_token_files(t.spark, path)
+
+
+@query(
+    "op8_decontamination",
+    r"""
+    WITH b AS (
+        SELECT item_id::VARCHAR AS item_id, [x FOR x IN regexp_split_to_array(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w
+        FROM benchmark),
+    win AS (
+        SELECT DISTINCT item_id, size, array_to_string(w[i + 1:i + size], ' ') AS g
+        FROM (SELECT item_id, w, least(len(w), 13) AS size, unnest(range(0, len(w) - least(len(w), 13) + 1)) AS i
+            FROM b WHERE len(w) > 0)),
+    d AS (
+        SELECT doc_id, [x FOR x IN regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w
+        FROM documents),
+    grams AS (
+        SELECT doc_id, size, i, array_to_string(w[i + 1:i + size], ' ') AS g
+        FROM (SELECT doc_id, w, size, unnest(range(0, len(w) - size + 1)) AS i
+            FROM d, (SELECT DISTINCT size FROM win) WHERE len(w) >= size)),
+    hit AS (SELECT DISTINCT doc_id, i, size, item_id FROM grams JOIN win USING (size, g)),
+    covered AS (
+        SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY 1),
+    listed AS (
+        SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+        FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(listed.n, 0) AS n_items,
+        sha256(coalesce(ids, '')) AS items_sha256,
+        coalesce(covered.n, 0) > 0 AND 20 * coalesce(covered.n, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+    """,
+)
+def op8_decontamination(t: Tables) -> DataFrame:
+    return contamination(t.documents, t.benchmark).select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        F.col("n_hit").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
