@@ -12,8 +12,10 @@ from ..sources.tables import Tables
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .packing import pack
+from .quality import quality
 from .token_counts import token_prefixes
 from .token_files import read_token_files, write_token_files
+from .toxicity import toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -119,3 +121,14 @@ def op8_decontamination(t: Tables) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(t: Tables) -> DataFrame:
+    return quality(t.documents, t.labels, modulus=4, value=2, threshold=0.7)
+
+
+@query("op7_toxicity")
+def op7_toxicity(t: Tables) -> DataFrame:
+    scored = toxicity(t.documents, t.labels, modulus=5, value=0, threshold=0.5)
+    return scored.withColumn("sentences", F.size("sentences"))
