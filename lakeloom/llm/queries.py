@@ -11,6 +11,7 @@ from ..session import new_path, prepare
 from ..sources.tables import Tables
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
+from .minhash_dedup import near_duplicates
 from .packing import pack
 from .quality import quality
 from .token_counts import token_prefixes
@@ -132,3 +133,8 @@ def op6_quality_classifier(t: Tables) -> DataFrame:
 def op7_toxicity(t: Tables) -> DataFrame:
     scored = toxicity(t.documents, t.labels, modulus=5, value=0, threshold=0.5)
     return scored.withColumn("sentences", F.size("sentences"))
+
+
+@query("op3_minhash_near_dedup")
+def op3_minhash_near_dedup(t: Tables) -> DataFrame:
+    return near_duplicates(t.documents, width=2, percent=80)
