@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
 from ..session import new_path, prepare
 from ..sources.tables import Tables
 from .decontaminate import contamination
@@ -138,3 +140,8 @@ def op7_toxicity(t: Tables) -> DataFrame:
 @query("op3_minhash_near_dedup")
 def op3_minhash_near_dedup(t: Tables) -> DataFrame:
     return near_duplicates(t.documents, width=2, percent=80)
+
+
+LLM_QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
