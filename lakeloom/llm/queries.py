@@ -16,6 +16,7 @@ from .exact_dedup import exact_groups
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .quality import quality
+from .substring_dedup import repeated_passages
 from .token_counts import token_prefixes
 from .token_files import read_token_files, write_token_files
 from .toxicity import toxicity
@@ -142,6 +143,31 @@ def op3_minhash_near_dedup(t: Tables) -> DataFrame:
     return near_duplicates(t.documents, width=2, percent=80)
 
 
+@query(
+    "op5_substring_dedup",
+    r"""
+    WITH d AS (
+        SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+        FROM documents),
+    grams AS (
+        SELECT doc_id, s, array_to_string(w[s + 1:s + 20], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS s FROM d WHERE len(w) >= 20)),
+    repeated AS (
+        SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS k FROM grams)
+        WHERE k > 1),
+    hit AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM repeated),
+    words AS (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS p FROM d),
+    kept AS (
+        SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN hit USING (doc_id, p) GROUP BY 1),
+    cut AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, coalesce(cut.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op5_substring_dedup(t: Tables) -> DataFrame:
+    return repeated_passages(t.documents, length=20)
+
+
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
