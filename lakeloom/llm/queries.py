@@ -11,6 +11,7 @@ import corpus_pipeline
 
 from ..session import new_path, prepare
 from ..sources.tables import Tables
+from .bwt_dedup import repeated_bytes
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .minhash_dedup import near_duplicates
@@ -168,6 +169,11 @@ def op5_substring_dedup(t: Tables) -> DataFrame:
     return repeated_passages(t.documents, length=20)
 
 
+@query("op10_suffix_array_dedup")
+def op10_suffix_array_dedup(t: Tables) -> DataFrame:
+    return repeated_bytes(t.documents, length=100)
+
+
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -21,6 +21,10 @@ from .common import process_store, slices
 NO_ID = np.iinfo(np.int64).max
 #: Entries of a task that are combined and sent at once.
 FLUSH = 4_000_000
+#: Windows of a document that are looked at together.
+STRETCH = 1 << 20
+#: The value of each byte, for documents as rows of bytes.
+BYTE_VALUES = np.random.default_rng(100).integers(0, 2**64, 256, dtype=np.uint64)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 MESSAGE = "part int, doc_id long, data binary"
 
@@ -81,6 +85,13 @@ def anchors(values: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.
     return hashes, least_of(hashes, length - seed + 1)
 
 
+def stretches(values: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The values in parts that overlap so that each window lies in one; bounds the memory of a long text."""
+    for low in range(0, max(1, len(values) - length + 1), STRETCH):
+        part = values[low : low + STRETCH + length - 1]
+        yield low, (BYTE_VALUES[part] if part.dtype == np.uint8 else part)
+
+
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of the runs of equal neighbours."""
     if not len(keys):
@@ -189,12 +200,13 @@ def repeated_anchors(
         values, hashes, ids, held = values_of(), [], [], 0
         for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams, at = anchors(values(text), length, seed)
-                if len(at):
-                    found = grams[np.unique(at)]
-                    hashes.append(found)
-                    ids.append(np.full(len(found), NO_ID if doc_id is None else doc_id, np.int64))
-                    held += len(found)
+                for _, part in stretches(values(text), length):
+                    grams, at = anchors(part, length, seed)
+                    if len(at):
+                        found = grams[at[np.r_[True, at[1:] != at[:-1]]]]
+                        hashes.append(found)
+                        ids.append(np.full(len(found), NO_ID if doc_id is None else doc_id, np.int64))
+                        held += len(found)
             if held >= FLUSH:
                 yield from flush(hashes, ids)
                 hashes, ids, held = [], [], 0

@@ -27,7 +27,7 @@ from ..session import settle
 from .common import process_store, slices, slim
 from .seeds import (
     NO_ID, FLUSH, anchors, covered, exchange, flush_windows, parts_of, reduce_windows, repeated_anchors, rolling,
-    unpack, with_answers,
+    stretches, unpack, with_answers,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -106,14 +106,15 @@ def repeated_passages(
         values, held, size = _values(), [], 0
         for batch in slices(batches):
             for doc_id, text, seeds_ in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                v = values(text)
-                grams, at = anchors(v, length, seed)
-                start = np.flatnonzero(np.isin(grams, np.frombuffer(seeds_, "<u8"))[at])
-                if len(start):
-                    key, check = rolling(v, length)[start], (rolling(v, length, 1)[start] >> np.uint64(32)).astype("<u4")
-                    doc = np.full(len(start), NO_ID if doc_id is None else doc_id, np.int64)
-                    held.append((key, check, doc, np.full(len(start), _mark(text), "<u4"), start))
-                    size += len(start)
+                for low, part in stretches(values(text), length):
+                    grams, at = anchors(part, length, seed)
+                    start = np.flatnonzero(np.isin(grams, np.frombuffer(seeds_, "<u8"))[at])
+                    if len(start):
+                        key, check = rolling(part, length)[start], rolling(part, length, 1)[start] >> np.uint64(32)
+                        doc = np.full(len(start), NO_ID if doc_id is None else doc_id, np.int64)
+                        mark = np.full(len(start), _mark(text), "<u4")
+                        held.append((key, check.astype("<u4"), doc, mark, start + low))
+                        size += len(start)
             if size >= FLUSH:
                 yield from flush_windows(*(np.concatenate(c) for c in zip(*held, strict=True)), n_parts)
                 held, size = [], 0
