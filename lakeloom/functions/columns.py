@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def micros(ts: str | Column) -> Column:
@@ -17,3 +17,9 @@ def ntz(ts: str | Column) -> Column:
 
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
+
+
+def json_schema(df: DataFrame, column: str) -> DataFrame:
+    """(schema, n): one schema for the JSON texts of all rows, and how many rows are JSON."""
+    parsed = df.select(F.try_parse_json(column).alias("v"))
+    return parsed.agg(F.schema_of_variant_agg("v").alias("schema"), F.count("v").alias("n"))

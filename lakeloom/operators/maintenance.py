@@ -69,7 +69,7 @@ def compaction_plan(
 
 def compact(spark, source: str, target: str, target_bytes: int) -> int:
     """Rewrite a Parquet folder into files of about `target_bytes`; returns the number of files."""
-    df = spark.read.parquet(source)
+    df = spark.read.option("mergeSchema", "true").parquet(source)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
     total = listed.filter(F.col("path").endswith(".parquet")).agg(F.sum("length")).first()[0] or 0
     count = max(1, -(-total // target_bytes))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -171,6 +172,40 @@ def tech_columns(target: str, target_schemas: dict[str, set[str]] | None) -> lis
     return [c for c in everything if c in target_schemas[target]]
 
 
+def readable(src: DataFrame, rows: list[MapRow]) -> tuple[DataFrame, DataFrame]:
+    """(rows to load, rejected rows) of a source, after the row conditions.
+
+    A row is rejected if a present value does not fit the type its target asks for; `_broken`
+    names the columns. Values that are computed on loading (period, local day) are not checked.
+    """
+    for condition in conditions(rows):
+        src = src.filter(F.expr(f"({condition})"))
+    computed = (fx.PERIOD_ID, fx.LOCAL_DAY, fx.UTC_TIME)
+    broken = []
+    for row in first_per_target(rows):
+        if row.target_column in computed or row.data_type() is None:
+            continue
+        value = F.col(f"`{row.source_column}`")
+        if isinstance(src.schema[row.source_column].dataType, T.StringType):
+            value = F.nullif(value, F.lit(""))
+        broken.append(F.when(value.isNotNull() & typed(value, row.data_type()).isNull(), F.lit(row.source_column)))
+    if not broken:
+        return src, src.withColumn("_broken", F.array().cast("array<string>")).limit(0)
+    checked = src.withColumn("_broken", F.array_compact(F.array(*broken)))
+    return checked.filter(F.size("_broken") == 0).drop("_broken"), checked.filter(F.size("_broken") > 0)
+
+
+def load_rejects(sources: dict[str, DataFrame], mapping: list[MapRow], target: str) -> DataFrame:
+    """(source_table, broken, row): what `load_target` leaves out, each row as JSON."""
+    parts = []
+    for name, rows in by_source(mapping, target).items():
+        if name in sources:
+            _, bad = readable(sources[name], rows)
+            whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sources[name].columns]))
+            parts.append(bad.select(F.lit(name).alias("source_table"), F.col("_broken").alias("broken"), whole.alias("row")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def load_source(
     src: DataFrame,
     rows: list[MapRow],
@@ -183,22 +218,23 @@ def load_source(
     """One source of a target: conditions, calendar lookup, projection and validity.
 
     The history runs over the key's *source* columns and after the conditions, so a
-    rejected version does not close the one before it.
+    rejected version does not close the one before it. Rows with an unreadable value are
+    left out; `load_rejects` gives them.
     """
     tech = tech_columns("", None) if tech is None else tech
-    rows = first_per_target(rows)
-    for condition in conditions(rows):
-        src = src.filter(F.expr(f"({condition})"))
+    # A row that loses its target to an earlier one still counts for conditions, keys and the calendar.
+    every, rows = rows, first_per_target(rows)
+    src, _ = readable(src, every)
 
     clock = next(
-        (r.source_column for r in rows
+        (r.source_column for r in every
          if r.target_column == fx.PERIOD_ID and r.source_column in fx.TIME_SOURCES),
         None,
     )
     if clock is not None:
         if calendar is None:
             raise ValueError(f"{fx.PERIOD_ID} needs a calendar")
-        mapped = {r.source_column for r in rows}
+        mapped = {r.source_column for r in every}
         grain = next((g for g in fx.GRAIN_COLUMNS if g in mapped), fx.GRAIN_COLUMNS[0])
         src = period_lookup(src, clock, grain, calendar, "_period", "_local_day")
 
@@ -212,7 +248,7 @@ def load_source(
             return column.try_cast("timestamp")
         return typed(column, row.data_type())
 
-    keys = key_columns(rows, extract_key)
+    keys = key_columns(every, extract_key)
     if fx.VALID_TO in tech or fx.VALID_FROM in tech:
         if fx.VALID_TO in tech:
             src = with_validity(src, keys, fx.EXTRACT_TIME, ties or (), rows_per_slice=rows_per_slice)

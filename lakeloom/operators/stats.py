@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settle
@@ -54,13 +56,21 @@ def latency_rollup(
     window_seconds: int = 3600,
     alert_above: float = 500.0,
 ) -> DataFrame:
-    """Request count and rate, error rate and latency percentiles per window and key."""
+    """Request count and rate, error rate and latency percentiles per window and key.
+
+    Requests without a latency count, and a window that has none is kept with NULL
+    percentiles: that is what an outage looks like. `failed` counts as false where NULL.
+    """
     placed = log.withColumn("window_start", F.window(at, window)["start"])
     group = ["window_start", *keys]
-    errors = placed.groupBy(*group).agg(F.avg(failed.cast("double")).alias("error_rate"))
-    tails = percentiles(placed, group, latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    share = F.avg(F.coalesce(failed, F.lit(False)).cast("double"))
+    requests = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), share.alias("error_rate"))
+    tails = percentiles(placed, group, latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99}).drop("n")
+    tails = tails.withColumnsRenamed({k: f"_{k}" for k in group})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in group]
     return (
-        tails.join(errors, group)
+        requests.join(tails, reduce(Column.__and__, same), "left")
+        .drop(*(f"_{k}" for k in group))
         .withColumn("per_second", F.col("n") / window_seconds)
         .withColumn("alert", F.col("p99") > alert_above)
     )

@@ -137,8 +137,11 @@ def bm25_topk(
     return results.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
 
 
-def tfidf_vectors(df: DataFrame, text: str, out: str = "features", size: int = 1 << 12) -> DataFrame:
-    """Hashed term frequencies weighted by inverse document frequency (sparse vectors)."""
+def tfidf_vectors(df: DataFrame, text: str, out: str = "features", size: int = 1 << 18) -> DataFrame:
+    """Hashed term frequencies weighted by inverse document frequency (sparse vectors).
+
+    With n distinct terms, a term shares its slot with a share 1 - exp(-n / size) of the others.
+    """
     counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=size).transform(
         df.withColumn("_words", terms(F.coalesce(text, F.lit(""))))
     )

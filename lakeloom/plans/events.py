@@ -231,12 +231,15 @@ SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS
   quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99,
   round(avg(CASE WHEN value > 60 THEN 1.0 ELSE 0.0 END), 6) AS error_rate, round(count(*) / 86400, 8) AS per_second,
   quantile_disc(value, 0.99) > 100 AS alert
-FROM events GROUP BY ALL
+FROM (SELECT ts, event_type, CASE WHEN event_type = 'error' OR event_id % 50 = 0 THEN NULL ELSE value END AS value FROM events)
+GROUP BY ALL
 """)
 def latency_rollup_events(t):
-    """Events as a request log: type is the endpoint, value the latency."""
+    """Events as a request log: type is the endpoint, value the latency; some requests have none, one endpoint never has."""
+    lost = (F.col("event_type") == "error") | (F.col("event_id") % 50 == 0)
+    log = t.events.select("ts", "event_type", F.when(~lost, F.col("value")).alias("value"))
     rolled = latency_rollup(
-        t.events, ["event_type"], "ts", "value", F.col("value") > 60, "1 day", 86400, alert_above=100.0
+        log, ["event_type"], "ts", "value", F.col("value") > 60, "1 day", 86400, alert_above=100.0
     )
     return (
         rolled.withColumn("window_start", ntz("window_start"))

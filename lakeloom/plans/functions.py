@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import json_schema
 from .registry import query
 
 
@@ -23,7 +24,7 @@ def fn_string(t):
         F.initcap("p_name").alias("title"),
         F.translate("p_name", "aeiou", "12345").alias("coded"),
         F.lpad(F.col("p_size").cast("string"), 4, "0").alias("size4"),
-        F.substring("p_brand", 7, 100).alias("brand_no"),
+        F.expr("substring(p_brand, 7)").alias("brand_no"),
         F.length("p_name").cast("bigint").alias("n"),
         F.reverse("p_type").alias("rev"),
         F.base64(F.encode("p_name", "UTF-8")).alias("b64"),
@@ -130,7 +131,7 @@ SELECT c_custkey, trunc(c_acctbal) :: BIGINT AS whole_b, CAST(CAST(c_acctbal AS
 FROM customer
 """)
 def fn_cast(t):
-    tail = F.substring("c_name", 10, 100)
+    tail = F.expr("substring(c_name, 10)")
     return t.customer.select(
         "c_custkey",
         F.col("c_acctbal").cast("bigint").alias("whole_b"),
@@ -236,8 +237,7 @@ def fn_stack(t):
     t.lineitem.createOrReplaceTempView("stack_lines")
     return t.spark.sql("""
         SELECT kind, count(*) AS n, round(sum(amount), 2) AS total
-        FROM (SELECT inline(array(struct('price' AS kind, l_extendedprice AS amount), struct('quantity' AS kind, l_quantity AS amount)))
-              FROM stack_lines)
+        FROM (SELECT stack(2, 'price', l_extendedprice, 'quantity', l_quantity) AS (kind, amount) FROM stack_lines)
         GROUP BY kind""")
 
 
@@ -340,13 +340,10 @@ def fn_datetime_more(t):
     )
 
 
-@query("fn_json_schema", "SELECT 'STRUCT<k: BIGINT>' AS schema, count(*) AS n FROM events")
+@query("fn_json_schema", "SELECT 'OBJECT<k: BIGINT>' AS schema, count(*) AS n FROM events")
 def fn_json_schema(t):
-    """Schema of a message, then the messages that parse with it."""
-    first = t.events.select("props").first()[0]
-    schema = F.schema_of_json(F.lit(first))
-    parsed = t.events.select(F.from_json("props", schema).alias("p")).filter("p.k IS NOT NULL")
-    return parsed.agg(F.first(schema).alias("schema"), F.count(F.lit(1)).alias("n"))
+    """The schema that all messages have in common, and the number of messages that parse."""
+    return json_schema(t.events, "props")
 
 
 @query("fn_map_arrays", """

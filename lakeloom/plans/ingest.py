@@ -143,16 +143,16 @@ def archive_inventory(t):
 
 
 @query("archive_name_parse", """
-SELECT event_id, 'RBUS_' || upper(event_type) AS "table", strftime(ts, '%Y-%m-%d') AS business_date,
+SELECT event_id, 'DEPOT_' || upper(event_type) AS "table", strftime(ts, '%Y-%m-%d') AS business_date,
   CASE WHEN event_id % 3 = 0 THEN '' ELSE 'K' END AS flag, date_trunc('millisecond', ts) AS version_time,
-  'RBUS_' || upper(event_type) || '_' || strftime(ts, '%Y%m%d') || '_' || CASE WHEN event_id % 3 = 0 THEN '' ELSE 'K' END
+  'DEPOT_' || upper(event_type) || '_' || strftime(ts, '%Y%m%d') || '_' || CASE WHEN event_id % 3 = 0 THEN '' ELSE 'K' END
     || '_' || strftime(ts, '%Y%m%d%H%M%S%g') AS base
 FROM events
 """)
 def archive_name_parse(t):
     """Table, business date, flag and version time from the name of an archive per event."""
     path = F.concat(
-        F.lit("in/20240201/RBUS_"), F.upper("event_type"), F.lit("_"), F.date_format("ts", "yyyyMMdd"), F.lit("_"),
+        F.lit("in/20240201/DEPOT_"), F.upper("event_type"), F.lit("_"), F.date_format("ts", "yyyyMMdd"), F.lit("_"),
         F.when(F.col("event_id") % 3 == 0, "").otherwise("K"), F.lit("_"),
         F.date_format("ts", "yyyyMMddHHmmssSSS"), F.when(F.col("event_id") % 2 == 0, ".csv.ZIP").otherwise(".CSV.zip"),
     )

@@ -155,19 +155,19 @@ def stream_changelog(t):
 
 
 @query("order_tracker", """
-SELECT user_id, count(*) AS total FROM events WHERE event_type = 'purchase' GROUP BY user_id
+SELECT user_id, count(*) AS total, count(*) AS held FROM events WHERE event_type = 'purchase' GROUP BY user_id
 """)
 def order_tracker(t):
     """Purchases counted per user in keyed state, next to a list that expires."""
     out = new_path(t.spark, "tracker")
     orders = event_stream(t).filter(F.col("event_type") == "purchase")
-    tracked = state.track_orders(orders, "user_id", "event_id")
+    tracked = state.track_orders(orders, "user_id", "event_id", quiet_ms=3_600_000)
 
     def write(batch, batch_id, folder):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     each_batch(tracked, "tracker", write, "update", idle_batches=False)
-    return read_table(t.spark, out).groupBy("user_id").agg(F.max("total").alias("total"))
+    return read_table(t.spark, out).groupBy("user_id").agg(F.max("total").alias("total"), F.max("held").alias("held"))
 
 
 @query("stream_file_batches", f"""

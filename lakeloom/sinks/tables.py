@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-from ..operators.bounded import collect_bounded
 
 
 class SchemaMismatch(ValueError):
@@ -72,23 +71,27 @@ def write_partitioned(df: DataFrame, key: str, path: str) -> None:
     df.hint("rebalance", key).write.partitionBy(key).parquet(path)
 
 
-def ingest_files(files: DataFrame, target: Callable[[str], str], max_files: int = 100_000) -> dict[str, int]:
+def ingest_files(files: DataFrame, target: Callable[[str], str]) -> dict[str, int]:
     """Append requested Parquet files, (table, file) rows, to their tables; files per table.
 
-    The lists of paths are metadata; a table's files are read and appended in one job.
+    The schemas of all files of a table are merged, so no column of any file is lost, and all
+    tables are checked before the first one is written to. A file that is asked for twice is read
+    once. The lists of paths are metadata, which the scans hold on the driver as well.
     """
     spark = files.sparkSession
-    requested = files.groupBy("table").agg(F.count(F.lit(1)).alias("n"))
-    done = {}
-    for row in collect_bounded(requested, max_files):
-        paths = [r["file"] for r in collect_bounded(files.filter(F.col("table") == row["table"]), max_files)]
-        rows, place = spark.read.parquet(*paths), target(row["table"])
-        if table_exists(spark, place):
-            append_table(rows, place)
-        else:
-            replace_table(rows, place)
-        done[row["table"]] = len(paths)
-    return done
+    asked = files.distinct().groupBy("table").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()
+    ready, problems = [], []
+    for row in sorted(asked, key=lambda r: r["table"]):
+        rows, place = spark.read.option("mergeSchema", "true").parquet(*row["files"]), target(row["table"])
+        known = table_exists(spark, place)
+        if known:
+            problems += [f"{row['table']}: {p}" for p in schema_differences(read_table(spark, place).schema, rows.schema)]
+        ready.append((row["table"], rows, place, known, len(row["files"])))
+    if problems:
+        raise SchemaMismatch("; ".join(problems))
+    for _, rows, place, known, _ in ready:
+        (append_table if known else replace_table)(rows, place)
+    return {table: n for table, _, _, _, n in ready}
 
 
 def table_exists(spark: SparkSession, target: str) -> bool:

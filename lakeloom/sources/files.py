@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,9 +19,39 @@ def diagonal_union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def csv_headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
+    """(header line, files that start with it), by the first file's path; files without a line are left out.
+
+    One distributed job over the first block of each file. What comes back is the list of files,
+    which any scan of them holds on the driver as well.
+    """
+    lines = spark.read.text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    rows = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()
+    return [(r["header"], [unquote(f) for f in r["files"]]) for r in sorted(rows, key=lambda r: r["files"][0])]
+
+
+def column_names(header: str, sep: str = ",") -> list[str]:
+    """Names of a header line; blank ones are numbered, repeated ones get their place behind them."""
+    cells = [c or f"_c{i}" for i, c in enumerate(next(csv.reader([header.removeprefix("\ufeff")], delimiter=sep)))]
+    return [f"{c}{i}" if cells.count(c) > 1 else c for i, c in enumerate(cells)]
+
+
 def read_csv_union(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
-    """CSV files of different headers as one table of text columns, in sorted path order."""
-    return diagonal_union([read_csv_strings(spark, p, sep) for p in sorted(paths)])
+    """CSV files and folders, also of mixed headers, as one table of text columns.
+
+    Every file is read by its own header, in one scan per distinct header.
+    """
+    frames = []
+    for header, files in csv_headers(spark, sorted(paths)):
+        schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in column_names(header, sep))
+        frames.append(spark.read.schema(schema).csv(files, header=True, sep=sep))
+    return diagonal_union(frames)
 
 
 def scan_merged(spark: SparkSession, *paths: str, source: str = "source") -> DataFrame:

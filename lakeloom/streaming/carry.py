@@ -76,7 +76,8 @@ def batch_stream(
         numbered = batch_files(rows, keys, at, size, ties, max_files, timeout_seconds)
         totals = batch_totals(numbered, keys, at, size)
         quiet = micros("last_at") + timeout_seconds * 1_000_000 <= micros(F.lit(watermark))
-        full = F.col("file_count") >= max_files
+        # A full batch may still change its files until the watermark has passed its last one.
+        full = (F.col("file_count") >= max_files) & (micros("last_at") <= micros(F.lit(watermark)))
         still_open = totals.filter(~(quiet | full)).select(*keys, "batch_start")
         cond = F.col("a.batch_start") == F.col("b.batch_start")
         for key in keys:

@@ -1,7 +1,7 @@
 """Keyed state that does not depend on the order of rows within a trigger.
 
-State per key is bounded and rows are combined before the shuffle, so a hot key sends
-little to its one task. Jobs that need time order are in `carry.py`.
+State per key is bounded by time, and rows are combined before the shuffle, so a hot key sends
+one row per batch to its one task. Jobs that need time order are in `carry.py`.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-class OrderTracker(StatefulProcessor):
-    """Count of rows per key and a list of recent ones.
+class KeyTally(StatefulProcessor):
+    """Rows counted per key, and the items seen lately.
 
-    The list is cleared by a timer `quiet_ms` after the key's last trigger and its entries
-    expire after `ttl_ms`; the count stays. It can start from existing totals.
+    The items are forgotten by a timer `quiet_ms` after the key's last trigger, and each of them
+    `ttl_ms` after it came; nothing else bounds them. The tally stays. It can start from totals.
     """
 
     def __init__(self, key: str, quiet_ms: int = 60_000, ttl_ms: int = 3_600_000):
@@ -25,61 +25,57 @@ class OrderTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.count = handle.getValueState("count", "n bigint")
-        self.recent = handle.getListState("recent", "item bigint", ttlDurationMs=self.ttl_ms)
-
-    def _known(self) -> int:
-        return int(self.count.get()[0]) if self.count.exists() else 0
+        self.tally = handle.getValueState("tally", "total bigint")
+        self.items = handle.getListState("items", "item bigint", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n = self._known()
+        total = int(self.tally.get()[0]) if self.tally.exists() else 0
         for batch in rows:
-            n += int(batch["n"].sum())
+            total += int(batch["n"].sum())
             for items in batch["items"]:
-                for item in items:
-                    self.recent.appendValue((int(item),))
-        self.count.update((n,))
+                self.items.appendList([(int(item),) for item in items])
+        self.tally.update((total,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        now = timerValues.getCurrentProcessingTimeInMs()
-        self.handle.registerTimer(now + self.quiet_ms)
-        yield pd.DataFrame({self.key: [key[0]], "total": [n]})
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        held = sum(1 for _ in self.items.get()) if self.items.exists() else 0
+        yield pd.DataFrame({self.key: [key[0]], "total": [total], "held": [held]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.recent.clear()
+        self.items.clear()
         return iter(())
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.count.update((int(initialState["total"].sum()),))
+        self.tally.update((int(initialState["total"].sum()),))
 
     def close(self) -> None:
         pass
 
 
-RECENT = 10
-
-
 def _per_batch(key: str, item: str):
-    """Rows per key and Arrow batch with the last few items: what the state needs, before the shuffle."""
+    """Rows per key and Arrow batch in one row with all their items, before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             groups = batch.groupby(key)[item]
             out = groups.size().rename("n").to_frame()
-            out["items"] = groups.apply(lambda x: x.tail(RECENT).tolist())
+            out["items"] = groups.apply(list)
             yield out.reset_index()
 
     return run
 
 
 def track_orders(df: DataFrame, key: str, item: str, initial: DataFrame | None = None, **limits: int) -> DataFrame:
-    """(key, total) after each trigger; `initial` has the columns key and total."""
+    """(key, total, held) after each trigger: rows in all, and items that are still remembered.
+
+    `initial` has the columns key and total.
+    """
     partial = df.select(key, item).filter(F.col(key).isNotNull()).mapInPandas(
         _per_batch(key, item), f"{key} bigint, n bigint, items array<bigint>"
     )
     return partial.groupBy(key).transformWithStateInPandas(
-        OrderTracker(key, **limits),
-        outputStructType=f"{key} bigint, total bigint",
+        KeyTally(key, **limits),
+        outputStructType=f"{key} bigint, total bigint, held bigint",
         outputMode="Update",
         timeMode="ProcessingTime",
         initialState=None if initial is None else initial.select(key, "total").groupBy(key),

@@ -102,8 +102,8 @@ def test_write_keeps_tables_and_errors_apart(spark, delivery, tmp_path):
 
 def test_names(spark):
     names = [
-        ("d/RBUS_ENERBIL5_20250516_K_20250716110858726.csv.ZIP", "RBUS_ENERBIL5", dt.date(2025, 5, 16), "K",
-         dt.datetime(2025, 7, 16, 11, 8, 58, 726000), "RBUS_ENERBIL5_20250516_K_20250716110858726"),
+        ("d/DEPOT_ENERBIL5_20250516_K_20250716110858726.csv.ZIP", "DEPOT_ENERBIL5", dt.date(2025, 5, 16), "K",
+         dt.datetime(2025, 7, 16, 11, 8, 58, 726000), "DEPOT_ENERBIL5_20250516_K_20250716110858726"),
         ("PLA_BPKD_20250516_2_20250515174420841.csv.ZIP", "PLA_BPKD", dt.date(2025, 5, 16), "2",
          dt.datetime(2025, 5, 15, 17, 44, 20, 841000), "PLA_BPKD_20250516_2_20250515174420841"),
         ("RBES_PARAMTECHZAS_20251214__20240612194246664.csv.zip", "RBES_PARAMTECHZAS", dt.date(2025, 12, 14), "",
