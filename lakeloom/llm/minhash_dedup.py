@@ -6,11 +6,12 @@ minhashes. Two documents of similarity 0.8 share none of them with a probability
 
 Documents of equal shingle sets are one vertex, so large groups of copies fall together in an
 aggregate before anything is paired. The rows of a first band meet by its hash, 16 per vertex, and
-the pairs of bands are formed there. In a small table bucket every pair whose signatures agree on
-at least 58 of 96 places is a candidate (a pair of similarity 0.8 agrees on fewer with a probability
-below 1e-5). In a large bucket first only the most central members are paired with all; after those
-links are confirmed, the members that are still in different components are paired with each other,
-which loses no link that matters to the components. Candidates are confirmed on whole sets.
+the pairs of bands are formed there. In a table bucket one member is paired with all others, in a
+large bucket the most central ones, if their signatures agree on at least 58 of 96 places (a pair of
+similarity 0.8 agrees on fewer with a probability below 1e-5). Candidates are confirmed on whole
+sets. Members of a bucket that are then still in different components, and whose signatures agree
+enough, are compared by the prefix filter over their whole sets, which loses no link. Pairs inside
+a component are not looked at: they cannot change it.
 
 Words are runs without white space (space, tab to carriage return), A-Z in lower case. A null or
 empty text has an empty set and is linked with nothing. Rows of one doc_id are one document of
@@ -37,7 +38,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BANDS, ROWS = 16, 3
 AGREE = 58
-#: Members of a table bucket up to which all its pairs are candidates, and centres of a larger one.
+#: Members of a small table bucket, and centres of a larger one.
 SMALL, CENTRES = 12, 4
 #: Ids that are broadcast at most to pick the texts to confirm; more are joined by a shuffle.
 MAX_IDS = 1_000_000
@@ -72,22 +73,21 @@ def shingles(text: str, width: int, hashes: WordHashes) -> np.ndarray:
 
 
 def multipliers() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(0, 2**64, 2 * BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+    return np.random.default_rng(20240229).integers(0, 2**32, 2 * BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
 
 def signature(of: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """The minhashes of a set."""
-    out = np.full(len(by), np.iinfo(np.uint64).max)
-    for low in range(0, len(of), 4096):  # bounds the memory of a very long text
-        part = of[low : low + 4096, None] * by[None, :]
-        part ^= part >> np.uint64(32)
-        out = np.minimum(out, (part * _M2).min(axis=0))
+    """The minhashes of a set: the least of its hashes under each multiplication modulo 2**32."""
+    out = np.full(len(by), np.iinfo(np.uint32).max)
+    high = (of >> np.uint64(32)).astype(np.uint32)
+    for low in range(0, len(high), 4096):  # bounds the memory of a very long text
+        out = np.minimum(out, (high[None, low : low + 4096] * by[:, None]).min(axis=1))
     return out
 
 
 def band_keys(minhashes: np.ndarray) -> np.ndarray:
     """A key for each band of the first collection, different from band to band."""
-    rows = minhashes[: BANDS * ROWS].reshape(BANDS, ROWS)
+    rows = minhashes[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64) * _M2
     for k in range(ROWS):
         key = (key ^ rows[:, k]) * _M1
@@ -143,63 +143,155 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, starts[sizes > 1], sizes[sizes > 1]
 
 
-def pair_up(band: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int, label: np.ndarray | None = None):
-    """Candidate pairs of rows, and the rows in large buckets, of all rows of some first bands.
+def table_buckets(band: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each band of the second collection: rows, and starts and sizes of the runs that share both bands."""
+    order, starts, sizes = _runs(band)
+    rows = order[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+    second = sig[rows, BANDS * ROWS :].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    first = band[rows].view(np.uint64)
+    for j in range(BANDS):
+        key = (first ^ (second[:, j, 0] | second[:, j, 1] << np.uint64(8) | second[:, j, 2] << np.uint64(16)) * _M1) * _M2
+        inner, at, many = _runs(key)
+        yield rows[inner], at, many
+
 
-    With `label` only large buckets are looked at, and pairs of different labels are candidates.
+def pair_up(band: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of rows, one row for each column, and the rows in buckets of more than two.
+
+    In a bucket one row is paired with all others: the first in a small bucket, the ones that agree most
+    with the rest in a large one.
     """
-    second = sig[:, BANDS * ROWS :].reshape(-1, BANDS, ROWS).astype(np.uint32)
-    second = second[:, :, 0] | second[:, :, 1] << 8 | second[:, :, 2] << 16
-    order, starts, sizes = _runs(band)
-    pairs, large = [], []
-    for start, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-        group = order[start : start + n]
-        found = []
-        for j in range(BANDS):
-            inner, firsts, lengths = _runs(second[group, j])
-            for first, m in zip(firsts.tolist(), lengths.tolist(), strict=True):
-                bucket = group[inner[first : first + m]]
-                if m <= SMALL:
-                    if label is None:
-                        a, b = np.triu_indices(m, 1)
-                        found.append(np.stack([bucket[a], bucket[b]]))
-                elif label is None:
-                    large.append(bucket)
-                    common = np.array([np.bincount(c, minlength=256).argmax() for c in sig[bucket].T], np.uint8)
-                    centres = np.argsort(-(sig[bucket] == common).sum(axis=1), kind="stable")[:CENTRES]
-                    found += [np.stack([np.full(m, bucket[c]), bucket]) for c in centres]
-                else:
-                    names, inverse, counts = np.unique(label[bucket], return_inverse=True, return_counts=True)
-                    for x in bucket[inverse != counts.argmax()] if len(names) > 1 else ():
-                        other = bucket[label[bucket] != label[x]]
-                        found.append(np.stack([np.full(len(other), x), other]))
-        if found:
-            both = np.sort(np.concatenate(found, axis=1), axis=0)
-            both = np.unique(both[:, both[0] != both[1]], axis=1)
-            pairs.append(both[:, _agreeing(both[0], both[1], size, sig, percent)])
-    none = np.zeros((2, 0), np.int64)
-    return (np.concatenate(pairs, axis=1) if pairs else none), (np.unique(np.concatenate(large)) if large else none[0])
-
-
-def candidates(rows: DataFrame, percent: int, labelled: bool) -> DataFrame:
-    """From (band, id, n, sig[, label]) to (a, b, mark): pairs of ids, or with `mark` (band, id) in a large bucket."""
+    found, large = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int64)]
+    for rows, at, many in table_buckets(band, sig):
+        few = many <= SMALL
+        rest = many[few] - 1
+        others = np.repeat(at[few] + 1 - (np.cumsum(rest) - rest), rest) + np.arange(int(rest.sum()))
+        found.append(np.stack([np.repeat(rows[at[few]], rest), rows[others]]))
+        for first, m in zip(at[~few].tolist(), many[~few].tolist(), strict=True):
+            bucket = rows[first : first + m]
+            common = np.array([np.bincount(c, minlength=256).argmax() for c in sig[bucket].T], np.uint8)
+            for c in np.argsort(-(sig[bucket] == common).sum(axis=1), kind="stable")[:CENTRES]:
+                found.append(np.stack([np.full(m, bucket[c]), bucket]))
+        inside = np.zeros(len(rows) + 1, np.int64)
+        np.add.at(inside, at[many > 2], 1)
+        np.add.at(inside, (at + many)[many > 2], -1)
+        large.append(rows[np.cumsum(inside[:-1]) > 0])
+    both = np.sort(np.concatenate(found, axis=1), axis=0)
+    both = both[:, both[0] != both[1]]
+    key = np.unique(both[0] * len(band) + both[1])
+    both = np.stack([key // max(len(band), 1), key % max(len(band), 1)])
+    return both[:, _agreeing(both[0], both[1], size, sig, percent)], np.unique(np.concatenate(large))
+
+
+def still_open(band: np.ndarray, size: np.ndarray, sig: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
+    """Rows that share a bucket with a row of another component they can be linked with."""
+    out = np.zeros(len(band), bool)
+    for rows, at, many in table_buckets(band, sig):
+        if not len(at):
+            continue
+        ends = np.stack([at, at + many], axis=1).ravel()
+        of = label[np.r_[rows, rows[-1:]]]
+        mixed = np.minimum.reduceat(of, ends)[::2] != np.maximum.reduceat(of, ends)[::2]
+        for first, m in zip(at[mixed].tolist(), many[mixed].tolist(), strict=True):
+            bucket = rows[first : first + m]
+            names, inverse, counts = np.unique(label[bucket], return_inverse=True, return_counts=True)
+            for x in bucket[inverse != counts.argmax()]:
+                other = bucket[label[bucket] != label[x]]
+                if out[x]:
+                    other = other[~out[other]]
+                near = _agreeing(np.full(len(other), x), other, size, sig, percent)
+                out[other[near]] = True
+                out[x] |= near.any()
+    return out
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
+    """band, id, n, sig and any more columns of a partition: 16 rows of about 120 bytes for each of its vertices."""
+    batches = list(batches)
+    if not sum(b.num_rows for b in batches):
+        return None
+    table = pa.Table.from_batches(batches)
+    band, ids, size, *more = (table.column(k).to_numpy() for k in (0, 1, 2, *range(4, table.num_columns)))
+    sig = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(len(ids), -1)
+    return band, ids, size, sig, *more
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """From (band, id, n, sig) to (a, b, mark): pairs of ids, or with `mark` (band, id) in a bucket of more than two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A partition's rows: 16 of about 120 bytes for each vertex, over all partitions.
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        band, ids, size = (table.column(k).to_numpy() for k in range(3))
-        sig = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(len(ids), -1)
-        pairs, large = pair_up(band, size, sig, percent, table.column(4).to_numpy() if labelled else None)
-        a, b = np.minimum(ids[pairs[0]], ids[pairs[1]]), np.maximum(ids[pairs[0]], ids[pairs[1]])
-        for x, y, mark in ((a, b, False), (band[large], ids[large], True)):
-            yield pa.RecordBatch.from_pydict(
-                {"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64()), "mark": pa.array(np.full(len(x), mark))}
-            )
+        columns = _columns(batches)
+        if columns:
+            band, ids, size, sig = columns
+            pairs, large = pair_up(band, size, sig, percent)
+            a, b = np.minimum(ids[pairs[0]], ids[pairs[1]]), np.maximum(ids[pairs[0]], ids[pairs[1]])
+            for x, y, mark in ((a, b, False), (band[large], ids[large], True)):
+                yield pa.RecordBatch.from_pydict(
+                    {"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64()), "mark": pa.array(np.full(len(x), mark))}
+                )
+
+    return rows.select("band", "id", "n", "sig").repartition("band").mapInArrow(run, "a long, b long, mark boolean")
 
-    columns = ["band", "id", "n", "sig", *(["label"] if labelled else [])]
-    return rows.select(*columns).repartition("band").mapInArrow(run, "a long, b long, mark boolean")
+
+def unresolved(rows: DataFrame, percent: int) -> DataFrame:
+    """From (band, id, n, sig, label) to the ids that may still be linked with another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = _columns(batches)
+        if columns:
+            band, ids, size, sig, label = columns
+            found = np.unique(ids[still_open(band, size, sig, label, percent)])
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(found, pa.int64())})
+
+    return rows.select("band", "id", "n", "sig", "label").repartition("band").mapInArrow(run, "doc_id long").distinct()
+
+
+def by_prefixes(open_: DataFrame, docs: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among some documents, without loss.
+
+    Two sets of n shingles or more that are similar enough have one in common among the rarest
+    n - ceil(n * percent / 100) + 1 of each. In a dense group a document that is not close to the
+    centre has many shingles of its own, which come first, so it meets few others or none.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = process_store("word_hashes", WordHashes)
+        for batch in slices(batches):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingles(text, width, hashes).view(np.int64)
+                yield pa.RecordBatch.from_pydict(
+                    {"id": pa.array(np.full(len(s), doc_id)), "n": pa.array(np.full(len(s), len(s))), "shingle": pa.array(s)}
+                )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if not sum(b.num_rows for b in batches):
+            return
+        table = pa.Table.from_batches(batches)
+        shingle, ids, size, label = (table.column(k).to_numpy() for k in range(4))
+        order, starts, sizes = _runs(shingle)
+        found = [np.zeros((2, 0), np.int64)]
+        for first, m in zip(starts.tolist(), sizes.tolist(), strict=True):
+            rows = order[first : first + m]
+            names, inverse, counts = np.unique(label[rows], return_inverse=True, return_counts=True)
+            for x in rows[inverse != counts.argmax()] if len(names) > 1 else ():
+                other = rows[label[rows] != label[x]]
+                low, high = np.minimum(size[other], size[x]), np.maximum(size[other], size[x])
+                other = other[low * 100 >= high * percent]
+                found.append(np.stack([np.minimum(ids[other], ids[x]), np.maximum(ids[other], ids[x])]))
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(both[0]), "b": pa.array(both[1])})
+
+    chosen = docs.join(broadcast_if_small(open_, MAX_IDS), "doc_id", "left_semi").select("doc_id", "text")
+    tokens = settle(chosen.mapInArrow(spell, "id long, n long, shingle long"), "shingles")
+    seen = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
+    shared = tokens.join(seen, "shingle").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "shingle"))).alias("shared"))
+    # The shingles of one document alone come first in its order; only the rest of the prefix can meet.
+    place = F.expr(f"n - cast(ceil(n * {percent} / 100) as long) + 1 - (n - size(shared))")
+    prefix = shared.withColumn("place", place.cast("int")).filter("place > 0")
+    rows = prefix.select("id", "n", F.explode(F.expr("slice(shared, 1, place)")).alias("s")).select("id", "n", "s.shingle")
+    named = rows.join(labels.select("id", "label"), "id").select("shingle", "id", "n", "label")
+    return named.repartition("shingle").mapInArrow(meet, "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -247,22 +339,20 @@ def near_duplicates(
         "sets-once",
     )
     rows = reps.select(F.explode("bands").alias("band"), "id", "n", "sig")
-    found = settle(candidates(rows, percent, labelled=False), "candidates")
+    found = settle(candidates(rows, percent), "candidates")
     pairs = found.filter("not mark").select("a", "b").distinct()
     links = settle(confirm(pairs, base, width, percent), "confirmed")
     # The same id may name several sets: rows of one doc_id are one document.
     of = components(links)
     marked = found.filter("mark").select(F.col("a").alias("band"), F.col("b").alias("id")).distinct()
     if not marked.isEmpty():
-        labelled = (
-            marked.join(reps.select("id", "n", "sig"), "id")
-            .join(of, "id", "left")
-            .withColumn("label", F.coalesce("component", "id"))
-        )
-        later = settle(candidates(labelled, percent, labelled=True).select("a", "b").distinct(), "candidates")
-        if not later.isEmpty():
-            links = links.unionByName(confirm(later, base, width, percent))
-            of = components(links)
+        labels = reps.select("id").distinct().join(of, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+        labelled = marked.join(reps.select("id", "n", "sig"), "id").join(labels, "id")
+        open_ = settle(unresolved(labelled, percent), "unresolved")
+        if not open_.isEmpty():
+            later = settle(by_prefixes(open_, base, labels, width, percent), "candidates")
+            more = confirm(later, base, width, percent)
+            of = components(links.unionByName(more))
     named = reps.select("set_hash", "id").join(of, "id", "left").select("set_hash", F.coalesce("component", "id").alias("reached"))
     # A document of several texts reaches what any of them reaches.
     classes = every.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")

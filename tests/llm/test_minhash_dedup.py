@@ -75,12 +75,32 @@ def test_like_brute_force(docs, width):
 
 def test_large_buckets_lose_no_link(docs, monkeypatch):
     rows = corpus(1)
-    monkeypatch.setattr(minhash_dedup, "SMALL", 1)
+    monkeypatch.setattr(minhash_dedup, "SMALL", 2)
     monkeypatch.setattr(minhash_dedup, "CENTRES", 1)
     got = by_id(near_duplicates(docs(*rows), 2))
     assert {i: r["component_id"] for i, r in got.items()} == {i: r[1] for i, r in brute(rows, 2).items()}
 
 
+def test_dense_groups_around_a_centre(docs):
+    """Members near the limit of their centre, far from each other, and a few linked to one member only."""
+    rng, rows = random.Random(5), []
+    for g in range(3):
+        centre = [f"c{g}-{k}" for k in range(120)]
+        for i in range(50):
+            words = list(centre)
+            for at in rng.sample(range(120), rng.randrange(3, 13)):
+                words[at] = f"own{g}-{i}-{at}"
+            rows.append((g * 1000 + i + 1, " ".join(words)))
+            if i % 10 == 0:
+                words[5:9] = [f"far{g}-{i}-{k}" for k in range(4)]
+                rows.append((g * 1000 + 500 + i, " ".join(words)))
+        rows.append((g * 1000 + 900, " ".join(centre)))
+    got = by_id(near_duplicates(docs(*rows), 2))
+    want = brute(rows, 2)
+    assert len({r[1] for r in want.values()}) > 10
+    assert {i: r["component_id"] for i, r in got.items()} == {i: r[1] for i, r in want.items()}
+
+
 def test_null_ids_repeats_and_nothing(docs):
     text = " ".join(f"t{k}" for k in range(50))
     got = near_duplicates(docs((None, text), (None, text), (3, text), (3, text), (5, text))).collect()
