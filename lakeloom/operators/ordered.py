@@ -6,8 +6,9 @@ time slices of about that size; every window then runs per (key, slice), and wha
 to cross a slice border (one row per slice) travels in a small side table. Keys below
 the limit keep slice 0 and cost nothing extra.
 
-Slices come from exact counts on an equal-width grid, so recomputing a lost task
-assigns every row to the same slice. Rows of equal time always share a slice.
+Slices come from exact counts on a grid that is refined where it is too full, so recomputing a
+lost task assigns every row to the same slice, and far-off times do no harm. Rows of equal time
+always share a slice.
 """
 
 from __future__ import annotations
@@ -159,29 +160,42 @@ def order_by_key(
     if hot.isEmpty():
         return Ordered(df.withColumn(SLICE, F.lit(0).cast("long")), keys, at, tuple(ties), None)
     hot = settle(hot, "hot-keys")
+    cuts = _as_side(settle(_cuts(df, keys, at, hot, rows_per_slice), "cuts"), keys)
+    cond = _on_keys(keys) & (F.col(at) >= F.col("_from")) & (F.col(at) < F.col("_to"))
+    sliced = df.join(broadcast_if_small(cuts), cond, "left").withColumn(SLICE, F.coalesce("_cut", F.lit(0)).cast("long"))
+    sliced = sliced.drop("_cut", "_from", "_to", *[f"_k_{k}" for k in keys])
+    return Ordered(sliced, keys, at, tuple(ties), hot)
 
-    grid = F.ceil(F.col("_n") / rows_per_slice) * GRID_PER_SLICE
-    hot = hot.withColumn("_width", F.floor((F.col("_hi") - F.col("_lo")) / grid) + 1)
-    side = _as_side(hot.select(*keys, "_lo", "_width"), keys)
-    celled = df.join(broadcast_if_small(side), _on_keys(keys), "left").withColumn(
-        "_cell", F.floor((F.col(at) - F.col("_lo")) / F.col("_width"))
-    )
-    drop = [f"_k_{k}" for k in keys] + ["_lo", "_width"]
-    celled = celled.drop(*drop)
 
-    filled = celled.filter(F.col("_cell").isNotNull()).groupBy(*keys, "_cell").count()
-    upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    cells = filled.withColumn("_before", F.sum("count").over(upto) - F.col("count")).select(
-        *keys,
-        F.col("_cell").alias("_k_cell"),
-        F.floor(F.col("_before") / rows_per_slice).alias("_cell_slice"),
-    )
-    cells = _as_side(settle(cells, "cells"), keys)
-    cond = _on_keys(keys) & (F.col("_cell") == F.col("_k_cell"))
-    sliced = celled.join(broadcast_if_small(cells, 2_000_000), cond, "left").withColumn(
-        SLICE, F.coalesce("_cell_slice", F.lit(0)).cast("long")
-    )
-    sliced = sliced.drop("_cell", "_k_cell", "_cell_slice", *[f"_k_{k}" for k in keys])
-    return Ordered(sliced, keys, at, tuple(ties), hot)
+def _cuts(df: DataFrame, keys: list[str], at: str, hot: DataFrame, rows_per_slice: int) -> DataFrame:
+    """(keys, _cut, _from, _to): time ranges of about `rows_per_slice` rows of each hot key.
+
+    Each range is counted on a grid; a cell that is still too full, as when one far-off time
+    stretches the grid, is counted again on a grid of its own. Only a single instant stays whole.
+    """
+    times, fine = df.select(*keys, F.col(at).alias("_t")), None
+    open_ = hot.select(*keys, "_n", "_lo", "_hi")
+    while True:
+        grid = F.ceil(F.col("_n") / rows_per_slice) * GRID_PER_SLICE
+        side = _as_side(open_.withColumn("_width", F.floor((F.col("_hi") - F.col("_lo")) / grid) + 1).drop("_n"), keys)
+        inside = _on_keys(keys) & F.col("_t").between(F.col("_lo"), F.col("_hi"))
+        counted = (
+            times.join(broadcast_if_small(side), inside)
+            .withColumn("_from", F.col("_lo") + F.floor((F.col("_t") - F.col("_lo")) / F.col("_width")) * F.col("_width"))
+            .groupBy(*keys, "_from", F.least(F.col("_from") + F.col("_width") - 1, "_hi").alias("_upto"))
+            .agg(F.count(F.lit(1)).alias("_n"))
+        )
+        cells = settle(counted, "cells")
+        full = (F.col("_n") > rows_per_slice / 2) & (F.col("_upto") > F.col("_from"))
+        good = cells.filter(~full).select(*keys, "_from", "_n")
+        fine = good if fine is None else fine.unionByName(good)
+        open_ = cells.filter(full).select(*keys, "_n", F.col("_from").alias("_lo"), F.col("_upto").alias("_hi"))
+        if open_.isEmpty():
+            break
+    in_order = Window.partitionBy(*keys).orderBy("_from")
+    before = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    numbered = fine.withColumn("_cut", F.floor(before / rows_per_slice))
+    starts = numbered.groupBy(*keys, "_cut").agg(F.min("_from").alias("_from"))
+    # No time is beyond the largest number, so the last range is open.
+    behind = F.coalesce(F.lead("_from").over(in_order), F.lit((1 << 63) - 1))
+    return starts.withColumn("_to", behind)

@@ -67,6 +67,16 @@ def test_one_instant_stays_one_slice(spark):
     assert ordered_rows(df, 10).df.select(SLICE).distinct().count() == 1
 
 
+def test_far_off_times_do_not_undo_the_slices(spark):
+    far = [(10_000, 1, dt.datetime(9999, 12, 31), 1.0), (10_001, 1, dt.datetime(1970, 1, 1), 1.0)]
+    df = spark.createDataFrame([(i, 1, BASE + dt.timedelta(seconds=i), 1.0) for i in range(2000)] + far, SCHEMA)
+    rows = ordered_rows(df, 100)
+    sizes = [r["count"] for r in rows.df.groupBy(SLICE).count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 200 and sum(sizes) == 2002
+    places = {r["id"]: r["pos"] for r in rows.position("pos").result().collect()}
+    assert places[10_001] == 1 and places[0] == 2 and places[1999] == 2001 and places[10_000] == 2002
+
+
 def test_running_results_equal_plain_windows(df):
     rows = ordered_rows(df, 25)
     rows = rows.position("pos").lead("id", "next_id").lag("value", "before").running_sum("value", "total")
