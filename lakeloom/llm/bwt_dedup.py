@@ -66,21 +66,21 @@ def flush_segments(held: list[tuple], n_parts: int) -> Iterator[pa.RecordBatch]:
             parts[x[0] % n_parts].append(x)
         elif seen[x[5]][1::2][:2] != (x[1], x[3]):
             later.append(x)
-    yield from _answered(later)
+    yield from _answered(later, n_parts)
     for part, of in parts.items():
         *columns, strings = zip(*of, strict=True)
         columns = [np.array(c, k) for c, k in zip([*columns, [len(s) for s in strings]], SEGMENT_COLUMNS, strict=True)]
         yield message([part], [None], [pack(SEGMENTS, *columns, tail=b"".join(strings))])
 
 
-def _answered(later: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _answered(later: list[tuple], n_parts: int) -> Iterator[pa.RecordBatch]:
     if later:
         _, doc, mark, start, many, _ = zip(*later, strict=True)
         columns = [np.array(mark, "<u4"), np.array(start, "<i8"), np.array(many, "<u4")]
-        yield from to_docs(WINDOWS, np.array(doc, "<i8"), columns)
+        yield from to_docs(WINDOWS, np.array(doc, "<i8"), columns, n_parts)
 
 
-def reduce_segments(blobs: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
+def reduce_segments(blobs: list[bytes], length: int, n_parts: int) -> Iterator[pa.RecordBatch]:
     held = []
     for blob in blobs:
         (anchor, doc, mark, start, many, size), tail = unpack(blob, SEGMENT_COLUMNS)
@@ -95,20 +95,20 @@ def reduce_segments(blobs: list[bytes], length: int) -> Iterator[pa.RecordBatch]
         elif seen[x[5]][1::2][:2] != (x[1], x[3]):
             later.append(x)
     del held, seen
-    yield from _answered(later)
+    yield from _answered(later, n_parts)
     # Families of one string have nothing to compare; the others are merged, several at a time.
     batch, size = [], 0
     for of in [f for f in families.values() if len(f) > 1]:
         batch += of
         size += sum(len(x[5]) for x in of)
         if size >= TOGETHER:
-            yield from _merged(batch, length)
+            yield from _merged(batch, length, n_parts)
             batch, size = [], 0
     if batch:
-        yield from _merged(batch, length)
+        yield from _merged(batch, length, n_parts)
 
 
-def _merged(batch: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
+def _merged(batch: list[tuple], length: int, n_parts: int) -> Iterator[pa.RecordBatch]:
     doc = np.array([x[1] for x in batch], np.int64)
     base = np.array([x[3] for x in batch], np.int64)
     mark = np.array([x[2] for x in batch], "<u4")
@@ -122,7 +122,7 @@ def _merged(batch: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
     if rows:
         d, m, at = (np.concatenate(c) for c in zip(*rows, strict=True))
         if len(d):
-            yield from to_docs(WINDOWS, d, [m, at, np.ones(len(d), "<u4")])
+            yield from to_docs(WINDOWS, d, [m, at, np.ones(len(d), "<u4")], n_parts)
 
 
 def repeated_bytes(
@@ -155,7 +155,7 @@ def repeated_bytes(
             out = []
             for text, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if data:
-                    hashes = np.unique(np.concatenate([unpack(d, ["<u8"])[0][0] for d in data]))
+                    hashes = np.unique(unpack(data, ["<u8"])[0][0])
                     out.append((text, hashes.tobytes(), *[None] * len(kinds)))
                 else:
                     out.append((None, None, *row(_raw(text), None)))
@@ -200,9 +200,9 @@ def repeated_bytes(
         for blob in blobs:
             of[kind_of(blob)].append(blob)
         if of[WINDOWS]:
-            yield from reduce_windows(of[WINDOWS])
+            yield from reduce_windows(of[WINDOWS], n_parts)
         if of[SEGMENTS]:
-            yield from reduce_segments(of[SEGMENTS], length)
+            yield from reduce_segments(of[SEGMENTS], length, n_parts)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

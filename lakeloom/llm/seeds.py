@@ -27,6 +27,10 @@ STRETCH = 1 << 20
 BYTE_VALUES = np.random.default_rng(100).integers(0, 2**64, 256, dtype=np.uint64)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 MESSAGE = "part int, doc_id long, data binary"
+#: Kinds of messages, and the columns of answers: the document, then its anchors, or the windows found repeated
+#: as the fingerprint of the text, the start and how many windows follow on.
+ANCHORS, HOT, WINDOWS, SEGMENTS = 0, 1, 2, 3
+ANSWERS = {ANCHORS: ["<i8", "<u8"], WINDOWS: ["<i8", "<u4", "<i8", "<u4"]}
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,20 +139,35 @@ def to_parts(kind: int, key: np.ndarray, columns: list[np.ndarray], n_parts: int
         yield message([int(part[rows[0]])], [None], [pack(kind, *(c[rows] for c in columns))])
 
 
-def to_docs(kind: int, docs: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """An answer for each document; answers pass through the exchange at any place."""
-    order = np.argsort(docs, kind="stable")
-    starts, sizes = runs(docs[order])
-    ids, data = [], []
+def to_docs(kind: int, docs: np.ndarray, columns: list[np.ndarray], n_parts: int) -> Iterator[pa.RecordBatch]:
+    """Answers to documents, dealt to buckets of documents; bucket k is part -1 - k."""
+    bucket = (mixed(docs.astype(np.int64).view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    starts, sizes = runs(bucket[order])
     for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
         rows = order[s : s + n]
-        ids.append(int(docs[rows[0]]))
-        data.append(pack(kind, *(c[rows] for c in columns)))
-        if len(ids) == 1024:
-            yield message([-1 - (i % 997) for i in ids], ids, data)
-            ids, data = [], []
-    if ids:
-        yield message([-1 - (i % 997) for i in ids], ids, data)
+        yield message([-1 - int(bucket[rows[0]])], [None], [pack(kind, docs[rows], *(c[rows] for c in columns))])
+
+
+def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The answers of some buckets, one row for each document; other messages as they are."""
+    held = []
+    for batch in batches:
+        answer = pa.compute.less(batch.column(0), 0)
+        yield batch.filter(pa.compute.invert(answer))
+        held += batch.filter(answer).column(2).to_pylist()
+    if not held:
+        return
+    kind = kind_of(held[0])
+    columns = [unpack(data, ANSWERS[kind])[0] for data in held]
+    docs, *rest = (np.concatenate(c) for c in zip(*columns, strict=True))
+    order = np.argsort(docs, kind="stable")
+    docs, rest = docs[order], [c[order] for c in rest]
+    starts, sizes = runs(docs)
+    for low in range(0, len(starts), 1024):
+        at = list(zip(starts[low : low + 1024].tolist(), sizes[low : low + 1024].tolist(), strict=True))
+        data = [pack(kind, *(c[s : s + n] for c in rest)) for s, n in at]
+        yield message([-1] * len(at), docs[starts[low : low + 1024]].tolist(), data)
 
 
 def exchange(
@@ -157,27 +176,25 @@ def exchange(
     reduce: Callable[[list[bytes]], Iterator[pa.RecordBatch]],
     n_parts: int,
 ) -> DataFrame:
-    """Answers (part, doc_id, data) to what `send` makes of the rows: its own, and those of `reduce`."""
+    """Answers (part, doc_id, data) to what `send` makes of the rows: its own and those of `reduce`, one row per document."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            own = batch.column(1).is_null()
-            yield batch.filter(pa.compute.invert(own))
-            held += batch.filter(own).column(2).to_pylist()
+            answer = pa.compute.less(batch.column(0), 0)
+            yield batch.filter(answer)
+            held += batch.filter(pa.compute.invert(answer)).column(2).to_pylist()
         if held:
             yield from reduce(held)
 
-    return rows.mapInArrow(send, MESSAGE).repartition(n_parts, "part").mapInArrow(gather, MESSAGE)
+    gathered = rows.mapInArrow(send, MESSAGE).repartition(n_parts, "part").mapInArrow(gather, MESSAGE)
+    return gathered.repartition(n_parts, "part").mapInArrow(by_document, MESSAGE)
 
 
 def parts_of(rows: DataFrame) -> int:
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Kinds of messages.
-ANCHORS, HOT, WINDOWS, SEGMENTS = 0, 1, 2, 3
-
 
 def repeated_anchors(
     docs: DataFrame, values_of: Callable[[], Callable[[str], np.ndarray]], length: int, seed: int, hot: int
@@ -193,7 +210,7 @@ def repeated_anchors(
         starts, sizes = runs(key)
         many = np.repeat(sizes > 1, sizes)
         if many.any():
-            yield from to_docs(ANCHORS, doc[many], [key[many]])
+            yield from to_docs(ANCHORS, doc[many], [key[many]], n_parts)
         yield from to_parts(ANCHORS, key[starts], [key[starts], doc[starts], sizes.astype("<u4")], n_parts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +238,7 @@ def repeated_anchors(
         starts, sizes = runs(key)
         many = np.repeat(sizes > 1, sizes)
         if many.any():
-            yield from to_docs(ANCHORS, doc[many], [key[many]])
+            yield from to_docs(ANCHORS, doc[many], [key[many]], n_parts)
         total = np.add.reduceat(count.astype(np.int64), starts)
         top = total >= hot
         yield message([0], [None], [pack(HOT, key[starts][top], total[top])])
@@ -229,18 +246,10 @@ def repeated_anchors(
     return exchange(docs, send, reduce, n_parts)
 
 
-def answers(df: DataFrame) -> DataFrame:
-    """All answers of a document in one row."""
-    return (
-        df.filter("doc_id is not null")
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_list("data").alias("answers"))
-    )
-
-
 def with_answers(docs: DataFrame, df: DataFrame) -> DataFrame:
-    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    return docs.join(answers(df), key == F.col("_id"), "left").drop("_id")
+    """The documents, with `answer` where they have one."""
+    found = df.filter("doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("data").alias("answer"))
+    return docs.join(found, F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("_id"), "left").drop("_id")
 
 
 def first_of_each(key: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,24 +271,26 @@ def flush_windows(key, check, doc, mark, start, n_parts: int) -> Iterator[pa.Rec
     order, first, later = first_of_each((check, key), doc, start)
     repeated = order[later]
     if len(repeated):
-        yield from to_docs(WINDOWS, doc[repeated], [mark[repeated], start[repeated], np.ones(len(repeated), "<u4")])
+        columns = [mark[repeated], start[repeated], np.ones(len(repeated), "<u4")]
+        yield from to_docs(WINDOWS, doc[repeated], columns, n_parts)
     yield from to_parts(WINDOWS, key[first], [c[first] for c in (key, check, doc, mark, start)], n_parts)
 
 
-def reduce_windows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+def reduce_windows(blobs: list[bytes], n_parts: int) -> Iterator[pa.RecordBatch]:
     columns = [unpack(b, WINDOW_COLUMNS)[0] for b in blobs]
     key, check, doc, mark, start = (np.concatenate(c) for c in zip(*columns, strict=True))
     order, _, later = first_of_each((check, key), doc, start)
     repeated = order[later]
     if len(repeated):
-        yield from to_docs(WINDOWS, doc[repeated], [mark[repeated], start[repeated], np.ones(len(repeated), "<u4")])
+        columns = [mark[repeated], start[repeated], np.ones(len(repeated), "<u4")]
+        yield from to_docs(WINDOWS, doc[repeated], columns, n_parts)
 
 
-def covered(n: int, length: int, mark: int, found: list[bytes]) -> np.ndarray:
-    """Which of n values lie in a repeated window, from the answers (mark, start, how many windows from there)."""
+def covered(n: int, length: int, mark: int, answer: bytes | None) -> np.ndarray:
+    """Which of n values lie in a repeated window, from the answer (mark, start, how many windows from there)."""
     edge = np.zeros(n + 1, np.int64)
-    for data in found or ():
-        (of, start, many), _ = unpack(data, ["<u4", "<i8", "<u4"])
+    if answer:
+        (of, start, many), _ = unpack(answer, ANSWERS[WINDOWS][1:])
         mine = of == mark
         np.add.at(edge, start[mine], 1)
         np.add.at(edge, start[mine] + many[mine] - 1 + length, -1)

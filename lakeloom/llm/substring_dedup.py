@@ -94,7 +94,7 @@ def repeated_passages(
             out = []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if found:
-                    hashes = np.unique(np.concatenate([unpack(d, ["<u8"])[0][0] for d in found]))
+                    hashes = np.unique(unpack(found, ["<u8"])[0][0])
                     out.append((text, hashes.tobytes(), *[None] * len(kinds)))
                 else:
                     words = WORD.findall(text)
@@ -136,7 +136,7 @@ def repeated_passages(
     )
     done = sorted_out.filter("text is null").drop("text", "seeds")
     open_ = sorted_out.filter("text is not null").select("doc_id", "text", "seeds")
-    repeats = exchange(open_, send, reduce_windows, n_parts)
+    repeats = exchange(open_, send, lambda blobs: reduce_windows(blobs, n_parts), n_parts)
     return done.unionByName(with_answers(open_.select("doc_id", "text"), repeats).mapInArrow(finish, schema))
 
 

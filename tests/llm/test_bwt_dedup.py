@@ -74,7 +74,7 @@ def test_repeated_starts():
 @pytest.mark.parametrize(("length", "seed", "hot"), [(100, 32, 1024), (100, 32, 3), (12, 4, 1024), (12, 4, 2)])
 def test_like_brute_force(docs, length, seed, hot):
     rows = corpus(length)
-    table = docs(*rows).withColumns({c: F.lit(1) for c in ("data", "part", "answers", "n_bytes", "seeds")})
+    table = docs(*rows).withColumns({c: F.lit(1) for c in ("data", "part", "answer", "n_bytes", "seeds")})
     got = by_id(repeated_bytes(table, length, seed, hot))
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == brute(rows, length)
 

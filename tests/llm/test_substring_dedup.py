@@ -49,7 +49,7 @@ def corpus(seed=0, length=20):
 @pytest.mark.parametrize(("length", "seed"), [(20, 8), (5, 2), (20, 20)])
 def test_like_brute_force(docs, length, seed):
     rows = corpus(length=length)
-    table = docs(*rows).withColumns({c: F.lit(1) for c in ("data", "part", "answers", "n_words", "_id")})
+    table = docs(*rows).withColumns({c: F.lit(1) for c in ("data", "part", "answer", "n_words", "_id")})
     got = by_id(repeated_passages(table, length, seed))
     assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == brute(rows, length)
 
