@@ -22,7 +22,6 @@ read. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,6 @@ from ..session import settle
 from .common import process_store, slices, slim
 from .components import components
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BANDS, ROWS = 16, 3
 AGREE = 58
 #: Members of a small table bucket, and centres of a larger one.
@@ -50,17 +47,17 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 class WordHashes(dict):
     """A 64-bit hash of each word."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        raw = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        raw = hashlib.blake2b(word, digest_size=8).digest()
         value = self[word] = int.from_bytes(raw, "little")
         return value
 
 
 def shingles(text: str, width: int, hashes: WordHashes) -> np.ndarray:
     """The distinct hashes of `width` consecutive words, in order; of fewer words, the hash of all."""
-    words = WORD.findall(text.translate(LOWER))
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and white space of ASCII
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))

@@ -15,7 +15,6 @@ empty result.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +29,6 @@ from .seeds import (
     stretches, unpack, with_answers,
 )
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SEED = 8
 MEMORY = 1_000_000
 
@@ -38,19 +36,24 @@ MEMORY = 1_000_000
 class WordValues(dict):
     """A 64-bit value for each word."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        raw = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        raw = hashlib.blake2b(word, digest_size=8).digest()
         value = self[word] = int.from_bytes(raw, "little")
         return value
 
 
+def _words(text: str) -> list[bytes]:
+    """Runs without white space; splitting bytes knows the six ASCII characters of it only."""
+    return text.encode("utf-8", "surrogatepass").split()
+
+
 def _values():
     memory = process_store("word_values", WordValues)
 
     def of(text: str) -> np.ndarray:
-        words = WORD.findall(text)
+        words = _words(text)
         return np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
 
     return of
@@ -60,8 +63,8 @@ def _mark(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
-def _sha(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+def _sha(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
 def repeated_passages(
@@ -78,12 +81,12 @@ def repeated_passages(
     more = ", spans array<array<int>>, kept string" if keep_text else ""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + more
 
-    def row(words: list[str], cut: np.ndarray) -> tuple:
+    def row(words: list[bytes], cut: np.ndarray) -> tuple:
         kept = [w for w, c in zip(words, cut.tolist(), strict=True) if not c] if cut.any() else words
         if not keep_text:
             return len(words), len(words) - len(kept), _sha(kept)
         edges = np.flatnonzero(np.diff(np.r_[0, cut.astype(np.int8), 0])).reshape(-1, 2).tolist()
-        return len(words), len(words) - len(kept), _sha(kept), edges, " ".join(kept)
+        return len(words), len(words) - len(kept), _sha(kept), edges, b" ".join(kept).decode("utf-8", "surrogatepass")
 
     kinds = [pa.int64(), pa.int64(), pa.string(), *([pa.list_(pa.list_(pa.int32())), pa.string()] if keep_text else [])]
     names = ["n_words", "n_removed", "kept_sha256", *(["spans", "kept"] if keep_text else [])]
@@ -97,7 +100,7 @@ def repeated_passages(
                     hashes = np.unique(unpack(found, ["<u8"])[0][0])
                     out.append((text, hashes.tobytes(), *[None] * len(kinds)))
                 else:
-                    words = WORD.findall(text)
+                    words = _words(text)
                     out.append((None, None, *row(words, np.zeros(len(words), bool))))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.string(), pa.binary(), *kinds], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "text", "seeds", *names])
@@ -125,7 +128,7 @@ def repeated_passages(
         for batch in slices(batches):
             out = []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = WORD.findall(text)
+                words = _words(text)
                 out.append(row(words, covered(len(words), length, _mark(text), found)))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
