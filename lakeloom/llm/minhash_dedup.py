@@ -248,7 +248,8 @@ def by_prefixes(open_: DataFrame, docs: DataFrame, labels: DataFrame, width: int
 
     Two sets of n shingles or more that are similar enough have one in common among the rarest
     n - ceil(n * percent / 100) + 1 of each. In a dense group a document that is not close to the
-    centre has many shingles of its own, which come first, so it meets few others or none.
+    centre has many shingles of its own, which come first, and what it can have in common with any
+    other is at most the rest. `labels` has id, n, sig and label.
     """
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +266,8 @@ def by_prefixes(open_: DataFrame, docs: DataFrame, labels: DataFrame, width: int
         if not sum(b.num_rows for b in batches):
             return
         table = pa.Table.from_batches(batches)
-        shingle, ids, size, label = (table.column(k).to_numpy() for k in range(4))
+        shingle, ids, size, common, label = (table.column(k).to_numpy() for k in range(5))
+        sig = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(len(ids), -1)
         order, starts, sizes = _runs(shingle)
         found = [np.zeros((2, 0), np.int64)]
         for first, m in zip(starts.tolist(), sizes.tolist(), strict=True):
@@ -273,8 +275,10 @@ def by_prefixes(open_: DataFrame, docs: DataFrame, labels: DataFrame, width: int
             names, inverse, counts = np.unique(label[rows], return_inverse=True, return_counts=True)
             for x in rows[inverse != counts.argmax()] if len(names) > 1 else ():
                 other = rows[label[rows] != label[x]]
-                low, high = np.minimum(size[other], size[x]), np.maximum(size[other], size[x])
-                other = other[low * 100 >= high * percent]
+                # They have at most what is not one's alone in common.
+                most = np.minimum(common[other], common[x])
+                other = other[most * (100 + percent) >= percent * (size[other] + size[x])]
+                other = other[_agreeing(np.full(len(other), x), other, size, sig, percent)]
                 found.append(np.stack([np.minimum(ids[other], ids[x]), np.maximum(ids[other], ids[x])]))
         both = np.unique(np.concatenate(found, axis=1), axis=1)
         yield pa.RecordBatch.from_pydict({"a": pa.array(both[0]), "b": pa.array(both[1])})
@@ -286,8 +290,8 @@ def by_prefixes(open_: DataFrame, docs: DataFrame, labels: DataFrame, width: int
     # The shingles of one document alone come first in its order; only the rest of the prefix can meet.
     place = F.expr(f"n - cast(ceil(n * {percent} / 100) as long) + 1 - (n - size(shared))")
     prefix = shared.withColumn("place", place.cast("int")).filter("place > 0")
-    rows = prefix.select("id", "n", F.explode(F.expr("slice(shared, 1, place)")).alias("s")).select("id", "n", "s.shingle")
-    named = rows.join(labels.select("id", "label"), "id").select("shingle", "id", "n", "label")
+    rows = prefix.select("id", "n", F.size("shared").alias("common"), F.explode(F.expr("slice(shared, 1, place)")).alias("s"))
+    named = rows.join(labels, ["id", "n"]).select("s.shingle", "id", "n", "common", "label", "sig")
     return named.repartition("shingle").mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -343,8 +347,8 @@ def near_duplicates(
     of = components(links)
     marked = found.filter("mark").select(F.col("a").alias("band"), F.col("b").alias("id")).distinct()
     if not marked.isEmpty():
-        labels = reps.select("id").distinct().join(of, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
-        labelled = marked.join(reps.select("id", "n", "sig"), "id").join(labels, "id")
+        labels = reps.join(of, "id", "left").select("id", "n", "sig", F.coalesce("component", "id").alias("label"))
+        labelled = marked.join(labels, "id")
         open_ = settle(unresolved(labelled, percent), "unresolved")
         if not open_.isEmpty():
             later = settle(by_prefixes(open_, base, labels, width, percent), "candidates")

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import process_store, slices
@@ -153,8 +154,8 @@ def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The answers of some buckets, one row for each document; other messages as they are."""
     held = []
     for batch in batches:
-        answer = pa.compute.less(batch.column(0), 0)
-        yield batch.filter(pa.compute.invert(answer))
+        answer = pc.less(batch.column(0), 0)
+        yield batch.filter(pc.invert(answer))
         held += batch.filter(answer).column(2).to_pylist()
     if not held:
         return
@@ -181,9 +182,9 @@ def exchange(
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            answer = pa.compute.less(batch.column(0), 0)
+            answer = pc.less(batch.column(0), 0)
             yield batch.filter(answer)
-            held += batch.filter(pa.compute.invert(answer)).column(2).to_pylist()
+            held += batch.filter(pc.invert(answer)).column(2).to_pylist()
         if held:
             yield from reduce(held)
 
