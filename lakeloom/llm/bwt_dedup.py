@@ -4,8 +4,8 @@ A byte is removed if a 100-byte string that also starts earlier (in a smaller do
 the same document) covers it. Which stretches can hold such a string at all is found by winnowed
 anchors: the 32-byte sequence of least hash in each 100-byte window. Windows with an anchor that
 occurs once are out. The others go, in the stretches around their anchor, to the reducer of the
-anchor. Equal stretches are one string there. The strings that share an anchor are dealt to shards, each
-shard is transformed by itself, and the transforms are merged by interleave refinement: the rows
+anchor. Equal stretches are one string there, and what has no window whose hash occurs again is left
+out. The strings that share an anchor are dealt to shards, each shard is transformed by itself, and the transforms are merged by interleave refinement: the rows
 that have 100 bytes in common with their neighbours are the repeated strings, and all but the
 earliest of each interval are answered to their documents.
 
@@ -33,7 +33,7 @@ from ..session import settle
 from .bwt import repeated_starts
 from .common import slices, slim
 from .seeds import (
-    HOT, NO_ID, SEGMENTS, WINDOWS, anchors, covered, exchange, flush_windows, kind_of, message, pack, parts_of,
+    BYTE_VALUES, HOT, NO_ID, SEGMENTS, WINDOWS, anchors, covered, exchange, flush_windows, kind_of, message, pack, parts_of,
     reduce_windows, repeated_anchors, rolling, runs, stretches, to_docs, unpack, with_answers,
 )
 
@@ -42,7 +42,7 @@ SEED = 32
 #: are fewer hot anchors than one by this share.
 HOT_LEAST, HOT_SHARE = 1024, 1e-5
 #: Bytes of strings that are transformed together, and shards they are dealt to.
-TOGETHER, SHARDS = 2 << 20, 4
+TOGETHER, SHARDS = 4 << 20, 4
 #: Stretches or windows of a task that are combined and sent at once.
 FLUSH = 1_000_000
 
@@ -102,13 +102,38 @@ def reduce_segments(blobs: list[bytes], length: int, n_parts: int) -> Iterator[p
         batch += of
         size += sum(len(x[5]) for x in of)
         if size >= TOGETHER:
-            yield from _merged(batch, length, n_parts)
+            yield from _merged(_trimmed(batch, length), length, n_parts)
             batch, size = [], 0
     if batch:
-        yield from _merged(batch, length, n_parts)
+        yield from _merged(_trimmed(batch, length), length, n_parts)
+
+
+def _trimmed(batch: list[tuple], length: int) -> list[tuple]:
+    """The stretches cut down to the windows whose hash occurs again in the batch; those without any are left out."""
+    sizes = np.array([len(x[5]) for x in batch])
+    many = sizes - length + 1
+    first = np.cumsum(sizes) - sizes
+    hashes = rolling(BYTE_VALUES[np.frombuffer(b"".join(x[5] for x in batch), np.uint8)], length)
+    of = np.repeat(np.arange(len(batch)), many)
+    inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    key = hashes[first[of] + inside]
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    again = np.zeros(len(key), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    of, inside = of[again], inside[again]
+    out = []
+    starts, counts = runs(of)
+    for s, n in zip(starts.tolist(), counts.tolist(), strict=True):
+        anchor, doc, mark, start, _, string = batch[of[s]]
+        low, high = int(inside[s]), int(inside[s + n - 1])
+        out.append((anchor, doc, mark, start + low, high - low + 1, string[low : high + length]))
+    return out
 
 
 def _merged(batch: list[tuple], length: int, n_parts: int) -> Iterator[pa.RecordBatch]:
+    if not batch:
+        return
     doc = np.array([x[1] for x in batch], np.int64)
     base = np.array([x[3] for x in batch], np.int64)
     mark = np.array([x[2] for x in batch], "<u4")
