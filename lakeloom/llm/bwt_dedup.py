@@ -42,7 +42,7 @@ SEED = 32
 #: are fewer hot anchors than one by this share.
 HOT_LEAST, HOT_SHARE = 1024, 1e-5
 #: Bytes of strings that are transformed together, and shards they are dealt to.
-TOGETHER, SHARDS = 4 << 20, 4
+TOGETHER, SHARDS = 4 << 20, 2
 #: Stretches or windows of a task that are combined and sent at once.
 FLUSH = 1_000_000
 
