@@ -37,6 +37,8 @@ BANDS, ROWS = 16, 3
 AGREE = 58
 #: Members of a small table bucket, and centres of a larger one.
 SMALL, CENTRES = 12, 4
+#: Documents that have a rare shingle at most.
+RARE = 16
 #: Ids that are broadcast at most to pick the texts to confirm; more are joined by a shuffle.
 MAX_IDS = 1_000_000
 MEMORY = 1_000_000
@@ -275,7 +277,7 @@ def by_prefixes(open_: DataFrame, docs: DataFrame, labels: DataFrame, width: int
             names, inverse, counts = np.unique(label[rows], return_inverse=True, return_counts=True)
             for x in rows[inverse != counts.argmax()] if len(names) > 1 else ():
                 other = rows[label[rows] != label[x]]
-                # They have at most what is not one's alone in common.
+                # They have at most so many in common that each shares with any other.
                 most = np.minimum(common[other], common[x])
                 other = other[most * (100 + percent) >= percent * (size[other] + size[x])]
                 other = other[_agreeing(np.full(len(other), x), other, size, sig, percent)]
@@ -290,7 +292,11 @@ def by_prefixes(open_: DataFrame, docs: DataFrame, labels: DataFrame, width: int
     # The shingles of one document alone come first in its order; only the rest of the prefix can meet.
     place = F.expr(f"n - cast(ceil(n * {percent} / 100) as long) + 1 - (n - size(shared))")
     prefix = shared.withColumn("place", place.cast("int")).filter("place > 0")
-    rows = prefix.select("id", "n", F.size("shared").alias("common"), F.explode(F.expr("slice(shared, 1, place)")).alias("s"))
+    often = F.size(F.filter("shared", lambda s: s["seen"] > RARE))
+    rows = prefix.select("id", "n", "shared", often.alias("often"), F.explode(F.expr("slice(shared, 1, place)")).alias("s"))
+    # Prefixes that reach an often seen shingle hold all rare ones of their sets: two that meet there have either
+    # met at a rare one as well, or have no rare one in common.
+    rows = rows.withColumn("common", F.when(F.col("s.seen") > RARE, F.col("often")).otherwise(F.size("shared")))
     named = rows.join(labels, ["id", "n"]).select("s.shingle", "id", "n", "common", "label", "sig")
     return named.repartition("shingle").mapInArrow(meet, "a long, b long").distinct()
 
