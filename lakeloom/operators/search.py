@@ -17,6 +17,8 @@ from .bounded import collect_bounded
 
 QUERY_BLOCK = 1024
 DIGITS = 6
+#: Queries and stored rows, at most about, that the number of cells for an asked recall is measured on.
+MEASURED_QUERIES, MEASURED_ROWS = 256, 8192
 
 
 def _query_blocks(queries: DataFrame, query_id: str, vector: str, block: int) -> Iterator[tuple]:
@@ -140,7 +142,11 @@ class CellIndex:
         metric: str = "l2",
         query_id: str = "query_id",
         block: int = QUERY_BLOCK,
+        recall: float | None = None,
     ) -> DataFrame:
+        """Like `knn` over the `probes` nearest cells of each query; with `recall`, over as many more as it takes."""
+        if recall is not None:
+            probes = self.probes_for(queries, k, probes, recall, metric, query_id)
         results = None
         for ids, matrix in _query_blocks(queries, query_id, self.vector, block):
             order = np.argsort(distances("l2", self.centres, matrix), axis=1)[:, :probes]
@@ -153,6 +159,37 @@ class CellIndex:
             results = found if results is None else results.unionByName(found)
         return _ranked(self.base, results, k, metric)
 
+    def probes_for(
+        self, queries: DataFrame, k: int, least: int, recall: float, metric: str = "l2", query_id: str = "query_id"
+    ) -> int:
+        """The fewest cells, `least` or more, that hold the share `recall` of the k closest rows, two standard errors safe.
+
+        It is measured on samples of the queries and of the stored rows, chosen by hashes of their ids. In a sample the k
+        closest are farther off and lie in more cells than in the whole, so that too many cells are read rather than too few.
+        """
+        asked = _sample(queries.select(query_id, self.vector), query_id, MEASURED_QUERIES)
+        rows = _sample(self.base.select(self.base_id, self.vector, "cell"), self.base_id, MEASURED_ROWS)
+        if not asked or not rows:
+            return least
+        points = np.array([r[1] for r in asked], dtype=np.float64)
+        cell = np.array([r[2] for r in rows])
+        far = distances(metric, np.array([r[1] for r in rows], dtype=np.float64), points) * closer_sign(metric)
+        closest = np.argsort(far, axis=1, kind="stable")[:, :k]
+        # The place of each cell in each query's order; a neighbour is found from that many cells on.
+        place = np.argsort(np.argsort(distances("l2", self.centres, points), axis=1), axis=1)
+        needed = np.take_along_axis(place, cell[closest], axis=1) + 1
+        for probes in range(least, len(self.centres)):
+            found = (needed <= probes).mean(axis=1)
+            if found.mean() - 2 * found.std() / len(found) ** 0.5 >= recall:
+                return probes
+        return max(least, len(self.centres))
+
+
+def _sample(rows: DataFrame, id_col: str, most: int) -> list:
+    """Rows chosen by a hash of their id, about `most` of more; the same ones each time."""
+    n = -(-rows.count() // most)
+    return rows.filter(F.pmod(F.xxhash64(id_col), F.lit(n)) == 0).limit(4 * most).collect() if n else []
+
 
 def build_cells(
     base: DataFrame, cells: int, base_id: str = "vec_id", vector: str = "embedding", seed: int = 7

@@ -10,6 +10,8 @@ from ..session import new_path
 from .registry import query
 
 K = 10
+#: Share of the true neighbours that the index queries find at least.
+RECALL = 0.9
 
 
 def centres(t):
@@ -62,11 +64,15 @@ def knn_filtered(t):
     return knn(centres(t), base, K, "l2").withColumn("place", F.col("place").cast("bigint"))
 
 
+def _ivf(t, queries):
+    index = build_cells(t.embeddings.select("vec_id", "embedding"), cells=16).write(new_path(t.spark, "cells"))
+    return index.search(queries, K, probes=4, recall=RECALL)
+
+
 @query("knn_ivf")
 def knn_ivf(t):
-    """Approximate search in the nearest cells; k-means has no SQL equivalent, recall is tested."""
-    index = build_cells(t.embeddings.select("vec_id", "embedding"), cells=16).write(new_path(t.spark, "cells"))
-    return index.search(centres(t), K, probes=4)
+    """Approximate search in the nearest cells, as many as the recall takes; k-means has no SQL equivalent."""
+    return _ivf(t, centres(t))
 
 
 @query("sq8_encode", """

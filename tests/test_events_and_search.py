@@ -19,7 +19,9 @@ from lakeloom.operators.ranges import band_join, interval_join
 from lakeloom.operators.search import build_cells, dimension_ranges, knn, sq8_decode, sq8_encode
 from lakeloom.operators.stats import changelog_table, mark_late, null_profile, percentiles
 from lakeloom.operators.text import bm25_topk, embed, terms
+from lakeloom.plans import QUERIES
 from lakeloom.sources.messages import explode_notifications, parse_json, parse_requests
+from lakeloom.sources.tables import Tables
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -244,6 +246,23 @@ def test_cells_find_most_neighbours_and_all_with_every_cell(spark, tmp_path):
     assert every == exact
 
 
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_registered_index_search_has_its_recall(spark, sf_dir):
+    exact = {(r["query_id"], r["base_id"]) for r in QUERIES["knn_l2"](spark, sf_dir).collect()}
+    found = {(r["query_id"], r["base_id"]) for r in QUERIES["knn_ivf"](spark, sf_dir).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_index_recall_over_real_rows(spark, sf_dir):
+    base = Tables(spark, sf_dir).embeddings
+    queries = base.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = {(r["query_id"], r["base_id"]) for r in knn(queries, base, 10).collect()}
+    index = build_cells(base.select("vec_id", "embedding"), 16)
+    found = {(r["query_id"], r["base_id"]) for r in index.search(queries, 10, probes=4, recall=0.9).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+
+
 def test_sq8_error_is_below_half_a_step(spark):
     data, base = vectors(spark)
     low, high = dimension_ranges(base)
