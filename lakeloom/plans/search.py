@@ -23,6 +23,12 @@ def centres(t):
     return means.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(vector.alias("embedding"))
 
 
+def asking_rows(t):
+    """The query set of real rows: every vector whose id is divisible by 50."""
+    asking = t.embeddings.filter("vec_id % 50 = 0 AND embedding IS NOT NULL")
+    return asking.select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 CENTRES_SQL = """
 WITH x AS (SELECT vec_id, label, unnest(embedding) :: DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 m AS (SELECT label AS query_id, i, avg(x) AS x FROM x GROUP BY label, i),
@@ -30,6 +36,12 @@ q AS (SELECT query_id, list(x ORDER BY i) AS qv FROM m GROUP BY query_id),
 b AS (SELECT vec_id, label, list(x ORDER BY i) AS bv FROM x GROUP BY vec_id, label),
 """
 
+ROWS_SQL = """
+WITH x AS (SELECT vec_id, label, unnest(embedding) :: DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+b AS (SELECT vec_id, label, list(x ORDER BY i) AS bv FROM x GROUP BY vec_id, label),
+q AS (SELECT vec_id AS query_id, bv AS qv FROM b WHERE vec_id % 50 = 0),
+"""
+
 DISTANCE_SQL = {
     "l2": "list_distance(qv, bv)",
     "ip": "list_inner_product(qv, bv)",
@@ -40,28 +52,39 @@ DISTANCE_SQL = {
 }
 
 
-def knn_sql(metric: str, where: str = "true") -> str:
+def knn_sql(metric: str, where: str = "true", asked: str = CENTRES_SQL) -> str:
     order = "DESC" if metric == "ip" else "ASC"
-    return f"""{CENTRES_SQL}
+    return f"""{asked}
 d AS (SELECT query_id, vec_id AS base_id, round(({DISTANCE_SQL[metric]}) :: DOUBLE, 6) AS distance FROM q, b WHERE {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance {order}, base_id) AS place FROM d)
 SELECT query_id :: BIGINT AS query_id, base_id, distance, place FROM r WHERE place <= {K}"""
 
 
-def _knn(t, metric: str):
-    found = knn(centres(t), t.embeddings, K, metric)
+def _knn(t, metric: str, asked=centres):
+    found = knn(asked(t), t.embeddings, K, metric)
     return found.withColumn("place", F.col("place").cast("bigint"))
 
 
 for _metric in DISTANCE_SQL:
     query(f"knn_{_metric}", knn_sql(_metric))(lambda t, metric=_metric: _knn(t, metric))
+    query(f"knn_rows_{_metric}", knn_sql(_metric, asked=ROWS_SQL))(lambda t, metric=_metric: _knn(t, metric, asking_rows))
 
 
 @query("knn_filtered", knn_sql("l2", "label IN (1, 3, 5)"))
 def knn_filtered(t):
     """Only the vectors of the named partitions are searched."""
+    return _filtered(t, centres(t))
+
+
+@query("knn_rows_filtered", knn_sql("l2", "label IN (1, 3, 5)", ROWS_SQL))
+def knn_rows_filtered(t):
+    """The same, asked with rows of all partitions."""
+    return _filtered(t, asking_rows(t))
+
+
+def _filtered(t, queries):
     base = t.embeddings.filter(F.col("label").isin(1, 3, 5))
-    return knn(centres(t), base, K, "l2").withColumn("place", F.col("place").cast("bigint"))
+    return knn(queries, base, K, "l2").withColumn("place", F.col("place").cast("bigint"))
 
 
 def _ivf(t, queries):
@@ -75,6 +98,12 @@ def knn_ivf(t):
     return _ivf(t, centres(t))
 
 
+@query("knn_rows_ivf")
+def knn_rows_ivf(t):
+    """The same, asked with rows."""
+    return _ivf(t, asking_rows(t))
+
+
 @query("sq8_encode", """
 WITH x AS (SELECT vec_id, unnest(embedding) :: DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 s AS (SELECT i, min(x) AS lo, max(x) - min(x) AS span FROM x GROUP BY i)

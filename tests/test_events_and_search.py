@@ -247,12 +247,21 @@ def test_cells_find_most_neighbours_and_all_with_every_cell(spark, tmp_path):
 
 
 @pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
-def test_registered_index_search_has_its_recall(spark, sf_dir):
-    exact = {(r["query_id"], r["base_id"]) for r in QUERIES["knn_l2"](spark, sf_dir).collect()}
-    found = {(r["query_id"], r["base_id"]) for r in QUERIES["knn_ivf"](spark, sf_dir).collect()}
+@pytest.mark.parametrize("asked", ["knn_", "knn_rows_"])
+def test_registered_index_search_has_its_recall(spark, asked, sf_dir):
+    exact = {(r["query_id"], r["base_id"]) for r in QUERIES[f"{asked}l2"](spark, sf_dir).collect()}
+    found = {(r["query_id"], r["base_id"]) for r in QUERIES[f"{asked}ivf"](spark, sf_dir).collect()}
     assert len(found & exact) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("name", [*METRICS, "filtered", "ivf"])
+def test_registered_searches_ask_with_rows(spark, name):
+    sf_dir = "/root/testdata/sf0.1"
+    asking = {r[0] for r in Tables(spark, sf_dir).embeddings.filter("vec_id % 50 = 0").select("vec_id").collect()}
+    got = QUERIES[f"knn_rows_{name}"](spark, sf_dir).groupBy("query_id").count().collect()
+    assert {r["query_id"] for r in got} == asking and {r["count"] for r in got} == {10}
+
+
 @pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
 def test_index_recall_over_real_rows(spark, sf_dir):
     base = Tables(spark, sf_dir).embeddings
