@@ -11,7 +11,8 @@ large bucket the most central ones, if their signatures agree on at least 58 of
 similarity 0.8 agrees on fewer with a probability below 1e-5). Candidates are confirmed on whole
 sets. Members of a bucket that are then still in different components, and whose signatures agree
 enough, are compared by the prefix filter over their whole sets, which loses no link. Pairs inside
-a component are not looked at: they cannot change it.
+a component are not looked at: they cannot change it. These figures are for 80 percent and more; for
+less, bands are shorter or more, and fewer places must agree, for misses as rare (`scheme`).
 
 Words are runs without white space (space, tab to carriage return), A-Z in lower case. A null or
 empty text has an empty set and is linked with nothing. Rows of one doc_id are one document of
@@ -22,7 +23,10 @@ read. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +37,10 @@ from ..session import settle
 from .common import process_store, slices, slim
 from .components import components
 
-BANDS, ROWS = 16, 3
-AGREE = 58
+#: Of 80 percent: bands of a collection, minhashes of a band, minhashes in all at least.
+BANDS, ROWS, PLACES = 16, 3, 96
+#: A pair as similar as asked shares no table key, or agrees on too few places, with these probabilities at most.
+NO_TABLE, NO_AGREEMENT = 2.5e-5, 5e-6
 #: Members of a small table bucket, and centres of a larger one.
 SMALL, CENTRES = 12, 4
 #: Documents that have a rare shingle at most.
@@ -46,6 +52,35 @@ MEMORY = 1_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+@dataclass(frozen=True)
+class Scheme:
+    """Bands of a collection, minhashes of a band, minhashes in all, and how many of them must agree."""
+
+    bands: int
+    rows: int
+    places: int
+    agree: int
+
+
+@cache
+def scheme(percent: int) -> Scheme:
+    """The longest bands, and the most agreeing places, that miss a pair of `percent` rarely enough."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent is {percent}, not 1 to 100")
+    s = min(percent, 80) / 100
+    needed = {r: max(BANDS, math.ceil(math.log(NO_TABLE / 2) / math.log(1 - s**r))) for r in range(ROWS, 0, -1)}
+    rows = next((r for r, n in needed.items() if n <= 2 * BANDS), 1)
+    bands = needed[rows]
+    places = max(PLACES, 2 * bands * rows)
+    agree, below = 0, 0.0
+    while True:
+        log_p = math.lgamma(places + 1) - math.lgamma(agree + 1) - math.lgamma(places - agree + 1)
+        below += math.exp(log_p + agree * math.log(s) + (places - agree) * math.log(1 - s))
+        if below > NO_AGREEMENT:
+            return Scheme(bands, rows, places, agree)
+        agree += 1
+
+
 class WordHashes(dict):
     """A 64-bit hash of each word."""
 
@@ -71,8 +106,8 @@ def shingles(text: str, width: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out * _M2)
 
 
-def multipliers() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(0, 2**32, 2 * BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+def multipliers(places: int) -> np.ndarray:
+    return np.random.default_rng(20240229).integers(0, 2**32, places, dtype=np.uint32) | np.uint32(1)
 
 
 def signature(of: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -84,21 +119,22 @@ def signature(of: np.ndarray, by: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(minhashes: np.ndarray) -> np.ndarray:
+def band_keys(minhashes: np.ndarray, by: Scheme) -> np.ndarray:
     """A key for each band of the first collection, different from band to band."""
-    rows = minhashes[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64) * _M2
-    for k in range(ROWS):
+    rows = minhashes[: by.bands * by.rows].reshape(by.bands, by.rows).astype(np.uint64)
+    key = np.arange(by.bands, dtype=np.uint64) * _M2
+    for k in range(by.rows):
         key = (key ^ rows[:, k]) * _M1
         key ^= key >> np.uint64(31)
     return key.view(np.int64)
 
 
-def vertices(docs: DataFrame, width: int) -> DataFrame:
+def vertices(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, set_hash, and for non-empty sets sig (a byte per minhash) and bands."""
+    plan = scheme(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, by = process_store("word_hashes", WordHashes), multipliers()
+        hashes, by = process_store("word_hashes", WordHashes), multipliers(plan.places)
         for batch in slices(batches):
             sizes, of, sigs, bands = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -107,7 +143,7 @@ def vertices(docs: DataFrame, width: int) -> DataFrame:
                 of.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 m = signature(s, by)
                 sigs.append(m.astype(np.uint8).tobytes() if len(s) else None)
-                bands.append(band_keys(m) if len(s) else None)
+                bands.append(band_keys(m, plan) if len(s) else None)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column(0),
@@ -123,13 +159,14 @@ def vertices(docs: DataFrame, width: int) -> DataFrame:
 
 def _agreeing(a: np.ndarray, b: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
     """Which of the pairs (a, b) of rows can be as similar as asked."""
+    agree = scheme(percent).agree
     low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
     ok = low * 100 >= high * percent
     out = np.zeros(len(a), bool)
     at = np.flatnonzero(ok)
     for k in range(0, len(at), 100_000):
         i = at[k : k + 100_000]
-        out[i] = (sig[a[i]] == sig[b[i]]).sum(axis=1) >= AGREE
+        out[i] = (sig[a[i]] == sig[b[i]]).sum(axis=1) >= agree
     return out
 
 
@@ -142,14 +179,16 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, starts[sizes > 1], sizes[sizes > 1]
 
 
-def table_buckets(band: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def table_buckets(band: np.ndarray, sig: np.ndarray, by: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each band of the second collection: rows, and starts and sizes of the runs that share both bands."""
     order, starts, sizes = _runs(band)
     rows = order[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
-    second = sig[rows, BANDS * ROWS :].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    n = by.bands * by.rows
+    second = sig[rows, n : 2 * n].reshape(-1, by.bands, by.rows).astype(np.uint64)
     first = band[rows].view(np.uint64)
-    for j in range(BANDS):
-        key = (first ^ (second[:, j, 0] | second[:, j, 1] << np.uint64(8) | second[:, j, 2] << np.uint64(16)) * _M1) * _M2
+    places = np.uint64(8) * np.arange(by.rows, dtype=np.uint64)
+    for j in range(by.bands):
+        key = (first ^ np.bitwise_or.reduce(second[:, j] << places, axis=1) * _M1) * _M2
         inner, at, many = _runs(key)
         yield rows[inner], at, many
 
@@ -161,7 +200,7 @@ def pair_up(band: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int) -
     with the rest in a large one.
     """
     found, large = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int64)]
-    for rows, at, many in table_buckets(band, sig):
+    for rows, at, many in table_buckets(band, sig, scheme(percent)):
         few = many <= SMALL
         rest = many[few] - 1
         others = np.repeat(at[few] + 1 - (np.cumsum(rest) - rest), rest) + np.arange(int(rest.sum()))
@@ -185,7 +224,7 @@ def pair_up(band: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int) -
 def still_open(band: np.ndarray, size: np.ndarray, sig: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
     """Rows that share a bucket with a row of another component they can be linked with."""
     out = np.zeros(len(band), bool)
-    for rows, at, many in table_buckets(band, sig):
+    for rows, at, many in table_buckets(band, sig, scheme(percent)):
         if not len(at):
             continue
         ends = np.stack([at, at + many], axis=1).ravel()
@@ -205,7 +244,7 @@ def still_open(band: np.ndarray, size: np.ndarray, sig: np.ndarray, label: np.nd
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
-    """band, id, n, sig and any more columns of a partition: 16 rows of about 120 bytes for each of its vertices."""
+    """band, id, n, sig and any more columns of a partition: rows of about 120 bytes, one a band, for each of its vertices."""
     batches = list(batches)
     if not sum(b.num_rows for b in batches):
         return None
@@ -246,7 +285,7 @@ def unresolved(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def by_prefixes(open_: DataFrame, docs: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components among some documents, without loss.
+    """Pairs (a, b) of different components among some documents, without loss but for the rare one by `_agreeing`.
 
     Two sets of n shingles or more that are similar enough have one in common among the rarest
     n - ceil(n * percent / 100) + 1 of each. In a dense group a document that is not close to the
@@ -337,7 +376,7 @@ def near_duplicates(
     make a shingle. component_id is the least doc_id that can be reached over links.
     """
     base = slim(docs, id_col, text_col)
-    every = settle(vertices(base, width), "vertices")
+    every = settle(vertices(base, width, percent), "vertices")
     # Equal sets are one vertex, named by its least id.
     reps = settle(
         every.filter("n_shingles > 0 and doc_id is not null")

@@ -101,6 +101,26 @@ def test_dense_groups_around_a_centre(docs):
     assert {i: r["component_id"] for i, r in got.items()} == {i: r[1] for i, r in want.items()}
 
 
+@pytest.mark.parametrize("percent", [50, 60, 70])
+def test_any_percent_like_brute_force(docs, percent):
+    """Pairs just above and just below the asked similarity, besides the corpus."""
+    rng, rows = random.Random(percent), corpus(2)
+    for g in range(40):
+        both = round(percent * 200 / (100 + percent)) + g % 2
+        first = [f"p{g}-{k}" for k in range(100)]
+        second = first[:both] + [f"q{g}-{k}" for k in range(100 - both)]
+        rows += [(2000 + 2 * g, " ".join(first)), (2001 + 2 * g, " ".join(rng.sample(second, 100)))]
+    got = by_id(near_duplicates(docs(*rows), 1, percent))
+    assert {i: r["component_id"] for i, r in got.items()} == {i: r[1] for i, r in brute(rows, 1, percent).items()}
+
+
+def test_scheme():
+    assert minhash_dedup.scheme(80) == minhash_dedup.scheme(95) == minhash_dedup.Scheme(16, 3, 96, 58)
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            minhash_dedup.scheme(percent)
+
+
 def test_null_ids_repeats_and_nothing(docs):
     text = " ".join(f"t{k}" for k in range(50))
     got = near_duplicates(docs((None, text), (None, text), (3, text), (3, text), (5, text))).collect()
