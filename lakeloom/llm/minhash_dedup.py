@@ -26,7 +26,6 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +61,6 @@ class Scheme:
     agree: int
 
 
-@cache
 def scheme(percent: int) -> Scheme:
     """The longest bands, and the most agreeing places, that miss a pair of `percent` rarely enough."""
     if not 1 <= percent <= 100:
@@ -157,16 +155,17 @@ def vertices(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sig binary, bands array<long>")
 
 
-def _agreeing(a: np.ndarray, b: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
+def _agreeing(
+    a: np.ndarray, b: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int, plan: Scheme
+) -> np.ndarray:
     """Which of the pairs (a, b) of rows can be as similar as asked."""
-    agree = scheme(percent).agree
     low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
     ok = low * 100 >= high * percent
     out = np.zeros(len(a), bool)
     at = np.flatnonzero(ok)
     for k in range(0, len(at), 100_000):
         i = at[k : k + 100_000]
-        out[i] = (sig[a[i]] == sig[b[i]]).sum(axis=1) >= agree
+        out[i] = (sig[a[i]] == sig[b[i]]).sum(axis=1) >= plan.agree
     return out
 
 
@@ -193,14 +192,16 @@ def table_buckets(band: np.ndarray, sig: np.ndarray, by: Scheme) -> Iterator[tup
         yield rows[inner], at, many
 
 
-def pair_up(band: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def pair_up(
+    band: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int, plan: Scheme
+) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of rows, one row for each column, and the rows in buckets of more than two.
 
     In a bucket one row is paired with all others: the first in a small bucket, the ones that agree most
     with the rest in a large one.
     """
     found, large = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int64)]
-    for rows, at, many in table_buckets(band, sig, scheme(percent)):
+    for rows, at, many in table_buckets(band, sig, plan):
         few = many <= SMALL
         rest = many[few] - 1
         others = np.repeat(at[few] + 1 - (np.cumsum(rest) - rest), rest) + np.arange(int(rest.sum()))
@@ -218,13 +219,15 @@ def pair_up(band: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int) -
     both = both[:, both[0] != both[1]]
     key = np.unique(both[0] * len(band) + both[1])
     both = np.stack([key // max(len(band), 1), key % max(len(band), 1)])
-    return both[:, _agreeing(both[0], both[1], size, sig, percent)], np.unique(np.concatenate(large))
+    return both[:, _agreeing(both[0], both[1], size, sig, percent, plan)], np.unique(np.concatenate(large))
 
 
-def still_open(band: np.ndarray, size: np.ndarray, sig: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
+def still_open(
+    band: np.ndarray, size: np.ndarray, sig: np.ndarray, label: np.ndarray, percent: int, plan: Scheme
+) -> np.ndarray:
     """Rows that share a bucket with a row of another component they can be linked with."""
     out = np.zeros(len(band), bool)
-    for rows, at, many in table_buckets(band, sig, scheme(percent)):
+    for rows, at, many in table_buckets(band, sig, plan):
         if not len(at):
             continue
         ends = np.stack([at, at + many], axis=1).ravel()
@@ -237,7 +240,7 @@ def still_open(band: np.ndarray, size: np.ndarray, sig: np.ndarray, label: np.nd
                 other = bucket[label[bucket] != label[x]]
                 if out[x]:
                     other = other[~out[other]]
-                near = _agreeing(np.full(len(other), x), other, size, sig, percent)
+                near = _agreeing(np.full(len(other), x), other, size, sig, percent, plan)
                 out[other[near]] = True
                 out[x] |= near.any()
     return out
@@ -256,12 +259,13 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
     """From (band, id, n, sig) to (a, b, mark): pairs of ids, or with `mark` (band, id) in a bucket of more than two."""
+    plan = scheme(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _columns(batches)
         if columns:
             band, ids, size, sig = columns
-            pairs, large = pair_up(band, size, sig, percent)
+            pairs, large = pair_up(band, size, sig, percent, plan)
             a, b = np.minimum(ids[pairs[0]], ids[pairs[1]]), np.maximum(ids[pairs[0]], ids[pairs[1]])
             for x, y, mark in ((a, b, False), (band[large], ids[large], True)):
                 yield pa.RecordBatch.from_pydict(
@@ -273,12 +277,13 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
 
 def unresolved(rows: DataFrame, percent: int) -> DataFrame:
     """From (band, id, n, sig, label) to the ids that may still be linked with another component."""
+    plan = scheme(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _columns(batches)
         if columns:
             band, ids, size, sig, label = columns
-            found = np.unique(ids[still_open(band, size, sig, label, percent)])
+            found = np.unique(ids[still_open(band, size, sig, label, percent, plan)])
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(found, pa.int64())})
 
     return rows.select("band", "id", "n", "sig", "label").repartition("band").mapInArrow(run, "doc_id long").distinct()
@@ -292,6 +297,7 @@ def by_prefixes(open_: DataFrame, docs: DataFrame, labels: DataFrame, width: int
     centre has many shingles of its own, which come first, and what it can have in common with any
     other is at most the rest. `labels` has id, n, sig and label.
     """
+    plan = scheme(percent)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = process_store("word_hashes", WordHashes)
@@ -319,7 +325,7 @@ def by_prefixes(open_: DataFrame, docs: DataFrame, labels: DataFrame, width: int
                 # They have at most so many in common that each shares with any other.
                 most = np.minimum(common[other], common[x])
                 other = other[most * (100 + percent) >= percent * (size[other] + size[x])]
-                other = other[_agreeing(np.full(len(other), x), other, size, sig, percent)]
+                other = other[_agreeing(np.full(len(other), x), other, size, sig, percent, plan)]
                 found.append(np.stack([np.minimum(ids[other], ids[x]), np.maximum(ids[other], ids[x])]))
         both = np.unique(np.concatenate(found, axis=1), axis=1)
         yield pa.RecordBatch.from_pydict({"a": pa.array(both[0]), "b": pa.array(both[1])})
