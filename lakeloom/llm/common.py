@@ -7,7 +7,7 @@ import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Rows of an Arrow batch that Python functions take at once.
 BATCH_ROWS = 256
@@ -46,6 +46,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def same_document(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     """Join on doc_id and the fingerprint `row_key`; a null doc_id meets a null doc_id."""
     r = right.withColumnsRenamed({"doc_id": "_doc_id", "row_key": "_row_key"})
