@@ -125,7 +125,7 @@ FROM events WHERE event_type = 'signup' AND event_id % 50 <> 0
 """)
 def zip_table_load(t):
     """One delivery table: two header layouts united, ragged lines left out."""
-    return ar.Delivery(event_archives(t)).table("SIGNUP").select("event_id", "user_id", "note", "value")
+    return ar.Delivery(event_archives(t), ["SIGNUP"]).table("SIGNUP").select("event_id", "user_id", "note", "value")
 
 
 @query("ragged_quarantine", f'SELECT base, "table", line_no, line FROM ({LINES_SQL}) WHERE event_id % 50 = 0')

@@ -70,3 +70,9 @@ def settle(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     path = new_path(df.sparkSession, label)
     df.write.partitionBy(*(partition_by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in any store Spark reaches; nothing happens where there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

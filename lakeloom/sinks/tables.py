@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
+from ..session import delete_path
 
 
 class SchemaMismatch(ValueError):
@@ -71,6 +72,18 @@ def write_partitioned(df: DataFrame, key: str, path: str) -> None:
     df.hint("rebalance", key).write.partitionBy(key).parquet(path)
 
 
+def replace_partitions(rows: DataFrame, path: str, keys: list[str], replaced: DataFrame) -> None:
+    """Write `rows` in folders by `keys`, in place of the partitions named in `replaced`; all others stay as they are.
+
+    A replaced partition that has no row any more is deleted. What is collected are the keys of such partitions.
+    """
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for gone in replaced.select(*keys).exceptAll(rows.select(*keys).distinct()).collect():
+        delete_path(spark, "/".join([path, *(f"{k}={escape(str(gone[k]))}" for k in keys)]))
+
+
 def ingest_files(files: DataFrame, target: Callable[[str], str]) -> dict[str, int]:
     """Append requested Parquet files, (table, file) rows, to their tables; files per table.
 

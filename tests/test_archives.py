@@ -100,6 +100,59 @@ def test_write_keeps_tables_and_errors_apart(spark, delivery, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/errors").count() == 2
 
 
+def test_one_table_reads_no_other_archive(spark, tmp_path):
+    """Another table's archives are larger than Spark can hold, so that reading one would end the load."""
+    day = tmp_path / "20250101"
+    day.mkdir()
+    (day / "TAB_A_20250101_K_1.csv.zip").write_bytes(packed(a__csv=b"k\n1\n"))
+    (day / "TAB_AB_20250101_K_1.csv.zip").write_bytes(packed(a__csv=b"other\n1\n"))
+    with (day / "TAB_B_20250101_K_1.csv.zip").open("wb") as f:
+        f.truncate(2**31 + 5)  # no blocks are written
+    one = ar.Delivery.of_folder(spark, str(tmp_path), tables=["TAB_A"])
+    assert one.columns == {"TAB_A": ["k"]} and one.table("TAB_A").count() == 1
+    assert one.lines.select("path").distinct().count() == 1 and one.problems().count() == 0
+    every = ar.Delivery.of_folder(spark, str(tmp_path))
+    assert sorted(every.columns) == ["TAB_A", "TAB_AB"]
+    assert [r["problem"] for r in every.problems().collect()] == [f"too large: {2**31 + 5} bytes"]
+    none = ar.Delivery.of_folder(spark, str(tmp_path), tables=["TAB_X"])
+    assert none.columns == {} and none.quarantine().count() == 0
+
+
+def test_replaced_archives_are_not_read(spark, root):
+    delivery = ar.Delivery.of_folder(spark, root)
+    assert [tuple(r) for r in delivery.table("TAB_B").select("k", "v").collect()] == [("1", "Köln")]
+    paths = {r["path"] for r in delivery.lines.select("path").distinct().collect()}
+    assert not any("20250101/TAB_B" in p for p in paths) and any("20250102/TAB_B" in p for p in paths)
+
+
+def test_a_later_delivery_replaces_its_own_partitions(spark, tmp_path):
+    first, second, out = tmp_path / "in1/1", tmp_path / "in2/2", str(tmp_path / "out")
+    for folder in (first, second):
+        folder.mkdir(parents=True)
+    name = "TAB_A_20250101_K_%d.csv.zip"
+    (first / (name % 1)).write_bytes(packed(a__csv=b"k;v\n1;a\n2;b\n3\n"))
+    (first / (name % 2)).write_bytes(packed(a__csv=b"k;v\n4;c\n"))
+    (first / (name % 3)).write_bytes(packed(a__csv=b"k;v\n5;d\n"))
+    (second / (name % 1)).write_bytes(packed(a__csv=b"k;w\n1;new\n"))  # its ragged line is gone
+    (second / (name % 2)).write_bytes(packed(a__csv=b"k;v\n4;c;x\n"))  # only a ragged line is left
+
+    def rows():
+        table = spark.read.option("mergeSchema", "true").parquet(f"{out}/TAB_A")
+        found = sorted((r["base"][-1], r["k"], r["v"], r.asDict().get("w")) for r in table.collect())
+        return found, sorted((r["base"][-1], r["line"]) for r in spark.read.parquet(f"{out}/errors").collect())
+
+    ar.Delivery.of_folder(spark, str(tmp_path / "in1")).write(out)
+    before = ([("1", "1", "a", None), ("1", "2", "b", None), ("2", "4", "c", None), ("3", "5", "d", None)], [("1", "3")])
+    assert rows() == before
+    ar.Delivery.of_folder(spark, str(tmp_path / "in1")).write(out)
+    assert rows() == before
+    kept = sorted((tmp_path / "out/TAB_A").glob("base=*_3/*.parquet"))
+    for _ in range(2):
+        ar.Delivery.of_folder(spark, str(tmp_path / "in2")).write(out)
+        assert rows() == ([("1", "1", None, "new"), ("3", "5", "d", None)], [("2", "4;c;x")])
+    assert sorted((tmp_path / "out/TAB_A").glob("base=*_3/*.parquet")) == kept
+
+
 def test_names(spark):
     names = [
         ("d/DEPOT_ENERBIL5_20250516_K_20250716110858726.csv.ZIP", "DEPOT_ENERBIL5", dt.date(2025, 5, 16), "K",
