@@ -7,8 +7,10 @@ to cross a slice border (one row per slice) travels in a small side table. Keys
 the limit keep slice 0 and cost nothing extra.
 
 Slices come from exact counts on a grid that is refined where it is too full, so recomputing a
-lost task assigns every row to the same slice, and far-off times do no harm. Rows of equal time
-always share a slice.
+lost task assigns every row to the same slice, and far-off times do no harm. A row finds its slice by
+equality on (key, cell), so the work grows with the rows and not with rows times slices. Rows of equal
+time share a slice, unless one instant has more rows than a slice; those are cut in the order of their
+ties.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql.window import WindowSpec
 
 from ..session import settle
 from .bounded import broadcast_if_small
+from .ranks import ranked
 
 ROWS_PER_SLICE = 1_000_000
 GRID_PER_SLICE = 8
@@ -156,46 +159,93 @@ def order_by_key(
     sizes = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
     )
-    hot = sizes.filter((F.col("_n") > rows_per_slice) & (F.col("_hi") > F.col("_lo")))
+    hot = sizes.filter(F.col("_n") > rows_per_slice)
     if hot.isEmpty():
         return Ordered(df.withColumn(SLICE, F.lit(0).cast("long")), keys, at, tuple(ties), None)
     hot = settle(hot, "hot-keys")
-    cuts = _as_side(settle(_cuts(df, keys, at, hot, rows_per_slice), "cuts"), keys)
-    cond = _on_keys(keys) & (F.col(at) >= F.col("_from")) & (F.col(at) < F.col("_to"))
-    sliced = df.join(broadcast_if_small(cuts), cond, "left").withColumn(SLICE, F.coalesce("_cut", F.lit(0)).cast("long"))
-    sliced = sliced.drop("_cut", "_from", "_to", *[f"_k_{k}" for k in keys])
-    return Ordered(sliced, keys, at, tuple(ties), hot)
+    grids, cells = _grids(df, keys, at, hot, rows_per_slice)
+    cuts = settle(_cuts(cells, keys, rows_per_slice), "cuts")
+    # Written once: every pass over the ordered rows reads the slices, none finds them again.
+    sliced = settle(_in_slices(df, keys, at, grids, cuts), "sliced")
+    crowded = cuts.filter("_before is not null")
+    if not crowded.isEmpty():
+        sliced = _split_instants(sliced, keys, at, ties, rows_per_slice)
+    return Ordered(sliced.drop("_before"), keys, at, tuple(ties), hot)
 
 
-def _cuts(df: DataFrame, keys: list[str], at: str, hot: DataFrame, rows_per_slice: int) -> DataFrame:
-    """(keys, _cut, _from, _to): time ranges of about `rows_per_slice` rows of each hot key.
+def _widths(ranges: DataFrame, rows_per_slice: int) -> DataFrame:
+    """The grid over each range (_lo to _hi, _n rows): the width of its cells."""
+    grid = F.ceil(F.col("_n") / rows_per_slice) * GRID_PER_SLICE
+    return ranges.withColumn("_width", F.floor((F.col("_hi") - F.col("_lo")) / grid) + 1).drop("_n", "_hi")
 
-    Each range is counted on a grid; a cell that is still too full, as when one far-off time
-    stretches the grid, is counted again on a grid of its own. Only a single instant stays whole.
+
+def _cell(time: Column) -> Column:
+    """Where the grid cell of a time begins; NULL where there is no grid."""
+    return F.col("_lo") + F.floor((time - F.col("_lo")) / F.col("_width")) * F.col("_width")
+
+
+def _grids(
+    df: DataFrame, keys: list[str], at: str, hot: DataFrame, rows_per_slice: int
+) -> tuple[list[DataFrame], DataFrame]:
+    """Grids from coarse to fine, and the cells (keys, _g, _n, _instant) in which no more is refined.
+
+    Every hot key has a grid. A cell that is too full, as when one far-off time stretches the grid, gets one
+    of its own between its least and greatest time. Only rows of such cells are read again.
     """
-    times, fine = df.select(*keys, F.col(at).alias("_t")), None
-    open_ = hot.select(*keys, "_n", "_lo", "_hi")
+    grids = [settle(_widths(hot.select(*keys, "_n", "_lo", "_hi"), rows_per_slice), "grid")]
+    side = _as_side(grids[0], keys)
+    times = df.select(*keys, F.col(at).alias("_t")).join(broadcast_if_small(side), _on_keys(keys))
+    fine = None
     while True:
-        grid = F.ceil(F.col("_n") / rows_per_slice) * GRID_PER_SLICE
-        side = _as_side(open_.withColumn("_width", F.floor((F.col("_hi") - F.col("_lo")) / grid) + 1).drop("_n"), keys)
-        inside = _on_keys(keys) & F.col("_t").between(F.col("_lo"), F.col("_hi"))
-        counted = (
-            times.join(broadcast_if_small(side), inside)
-            .withColumn("_from", F.col("_lo") + F.floor((F.col("_t") - F.col("_lo")) / F.col("_width")) * F.col("_width"))
-            .groupBy(*keys, "_from", F.least(F.col("_from") + F.col("_width") - 1, "_hi").alias("_upto"))
-            .agg(F.count(F.lit(1)).alias("_n"))
-        )
-        cells = settle(counted, "cells")
-        full = (F.col("_n") > rows_per_slice / 2) & (F.col("_upto") > F.col("_from"))
-        good = cells.filter(~full).select(*keys, "_from", "_n")
+        counted = times.withColumn("_g", _cell(F.col("_t"))).groupBy(*keys, "_g")
+        cells = settle(counted.agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi")), "cells")
+        full = (F.col("_n") > rows_per_slice / 2) & (F.col("_hi") > F.col("_lo"))
+        good = cells.filter(~full).select(*keys, "_g", "_n", (F.col("_hi") == F.col("_lo")).alias("_instant"))
         fine = good if fine is None else fine.unionByName(good)
-        open_ = cells.filter(full).select(*keys, "_n", F.col("_from").alias("_lo"), F.col("_upto").alias("_hi"))
+        open_ = cells.filter(full)
         if open_.isEmpty():
-            break
-    in_order = Window.partitionBy(*keys).orderBy("_from")
-    before = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    numbered = fine.withColumn("_cut", F.floor(before / rows_per_slice))
-    starts = numbered.groupBy(*keys, "_cut").agg(F.min("_from").alias("_from"))
-    # No time is beyond the largest number, so the last range is open.
-    behind = F.coalesce(F.lead("_from").over(in_order), F.lit((1 << 63) - 1))
-    return starts.withColumn("_to", behind)
+            return grids, fine
+        grids.append(settle(_widths(open_.select(*keys, "_g", "_n", "_lo", "_hi"), rows_per_slice), "grid"))
+        side = _as_side(grids[-1], keys).withColumnRenamed("_g", "_k_g")
+        inside = times.withColumn("_g", _cell(F.col("_t"))).select(*keys, "_t", "_g")
+        times = settle(
+            inside.join(broadcast_if_small(side), _on_keys(keys) & (F.col("_g") == F.col("_k_g"))).select(*keys, "_t", "_lo", "_width"),
+            "crowded",
+        )
+
+
+def _cuts(cells: DataFrame, keys: list[str], rows_per_slice: int) -> DataFrame:
+    """(keys, _g, _cut, _before): the slice of each cell; `_before`, the rows in front, for an instant of too many rows."""
+    upto = Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum("_n").over(upto) - F.col("_n")
+    crowded = F.col("_instant") & (F.col("_n") > rows_per_slice)
+    return cells.select(
+        *keys, "_g", F.floor(before / rows_per_slice).alias("_cut"), F.when(crowded, before).alias("_before")
+    )
+
+
+def _in_slices(df: DataFrame, keys: list[str], at: str, grids: list[DataFrame], cuts: DataFrame) -> DataFrame:
+    """`df` with the slice of each row, found by equality on (key, cell), one row for a row in every step."""
+    found = df.join(broadcast_if_small(_as_side(grids[0], keys)), _on_keys(keys), "left").withColumn("_g", _cell(F.col(at)))
+    names = ["_lo", "_width", *(f"_k_{k}" for k in keys)]
+    found = found.drop(*names)
+    for grid in grids[1:]:
+        side = _as_side(grid, keys).withColumnRenamed("_g", "_k_g")
+        same = _on_keys(keys) & (F.col("_g") == F.col("_k_g"))
+        found = found.join(broadcast_if_small(side), same, "left")
+        found = found.withColumn("_g", F.coalesce(_cell(F.col(at)), F.col("_g"))).drop(*names, "_k_g")
+    side = _as_side(cuts, keys).withColumnRenamed("_g", "_k_g")
+    same = _on_keys(keys) & (F.col("_g") == F.col("_k_g"))
+    found = found.join(broadcast_if_small(side), same, "left")
+    return found.withColumn(SLICE, F.coalesce("_cut", F.lit(0)).cast("long")).drop("_cut", "_g", "_k_g", *names)
+
+
+def _split_instants(
+    sliced: DataFrame, keys: list[str], at: str, ties: tuple[str, ...] | list[str], rows_per_slice: int
+) -> DataFrame:
+    """Rows of an instant of too many rows in slices of their own, in the order of their ties."""
+    crowded = sliced.filter("_before is not null")
+    order = [F.col(c).asc_nulls_first() for c in ties]
+    placed_ = ranked(crowded, [*keys, at], order, "instants")
+    split = placed_.withColumn(SLICE, F.floor((F.col("_before") + F.col("idx")) / rows_per_slice)).drop("idx", "n")
+    return sliced.filter("_before is null").unionByName(split)

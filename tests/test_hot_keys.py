@@ -62,9 +62,31 @@ def test_hot_keys_are_cut_and_others_are_not(df):
     assert all(slices[u] == 1 for u in cold)
 
 
-def test_one_instant_stays_one_slice(spark):
-    df = spark.createDataFrame([(i, 1, BASE, 1.0) for i in range(50)], SCHEMA)
-    assert ordered_rows(df, 10).df.select(SLICE).distinct().count() == 1
+def test_one_instant_of_many_rows_is_cut_by_its_ties(spark):
+    rows = [(i, 1, BASE + dt.timedelta(seconds=max(0, i - 49)), float(i)) for i in range(80)] + [(100, 2, BASE, 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    found = ordered_rows(df, 10)
+    sizes = {(r["user"], r[SLICE]): r["count"] for r in found.df.groupBy("user", SLICE).count().collect()}
+    assert len(sizes) >= 8 and max(sizes.values()) <= 20 and sum(sizes.values()) == 81
+    by_slice = sorted((r[SLICE], r["id"]) for r in found.df.filter("user = 1").collect())
+    assert [i for _, i in by_slice] == list(range(80))
+    done = found.position("pos").lead("id", "next").lag("id", "before").running_sum("value", "total").fill_forward("value", "known")
+    got = {r["id"]: (r["pos"], r["next"], r["before"], r["total"], r["known"]) for r in done.result().filter("user = 1").collect()}
+    assert got == {i: (i + 1, i + 1 if i < 79 else None, i - 1 if i else None, i * (i + 1) / 2, float(i)) for i in range(80)}
+
+
+@pytest.mark.parametrize("limit", [1000, 10])
+def test_slices_are_found_by_equality(spark, limit):
+    """Whatever the number of cuts, each join has a row's key and cell as its equality and gives a row for a row."""
+    df = spark.range(10_000).select("id", F.lit(1).alias("user"), F.col("id").alias("at"))
+    hot = df.groupBy("user").agg(F.count("*").alias("_n"), F.min("at").alias("_lo"), F.max("at").alias("_hi"))
+    grids, cells = ordered._grids(df, ["user"], "at", hot, limit)
+    cuts = ordered._cuts(cells, ["user"], limit)
+    sliced = ordered._in_slices(df, ["user"], "at", grids, cuts)
+    plan = sliced._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any(" >= " in j or " < " in j for j in joins) and "NestedLoop" not in plan
+    assert sliced.count() == 10_000 and sliced.select(SLICE).distinct().count() == 10_000 // limit
 
 
 def test_far_off_times_do_not_undo_the_slices(spark):
