@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.bounded import broadcast_if_small
 from ..session import settle
 from .common import slices
-from .ranks import in_order, placed
+from ..operators.ranks import in_order, placed
 from .tokens import word_memory
 
 START, END = "<|im_start|>", "<|im_end|>"

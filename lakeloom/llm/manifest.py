@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
-from .ranks import ranked
+from ..operators.ranks import ranked
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Nodes of a run, and levels from one written level to the next.
