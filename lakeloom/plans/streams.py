@@ -13,10 +13,11 @@ from ..operators.bounded import broadcast_if_small
 from ..operators.events import fan_out
 from ..operators.stats import latest_by_key
 from ..session import new_path
+from ..sinks.messages import as_messages, read_messages, send_messages
 from ..sinks.tables import read_table
 from ..sources.messages import parse_json
 from ..streaming import carry, jobs, state
-from ..streaming.run import each_batch, stream_table, to_table
+from ..streaming.run import each_batch, stream_table, to_table, write_in_time
 from .events import (
     BATCH_SQL, BURST_SQL, CHANGELOG_SQL, DEDUP_SQL, SESSION_SQL, TRIGGERS, arriving_files, changes, cloud_events,
     orders_and_payments, replayed,
@@ -190,6 +191,75 @@ def stream_burst_match(t):
     return carry.burst_stream(rows, ["user_id"], "ts", ["event_id"], min_events=3, span_seconds=12 * 3600)
 
 
+# ---- streams that take a bounded part of their input at a time
+
+SLICES = 4
+
+
+def events_in_time(t, **bound):
+    """(`events` as a stream over several triggers, in time order; the seconds of a trigger)."""
+    path = new_path(t.spark, "events-in-time")
+    step = write_in_time(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", path, SLICES)
+    return stream_table(t.spark, path, **bound), step
+
+
+@query("stream_three_way_join", """
+SELECT o.event_id AS order_id, o.user_id, o.ts AS order_time, p.event_id AS payment_id, p.ts AS payment_time,
+  v.event_id AS view_id, v.ts AS view_time
+FROM events o JOIN events p ON p.event_type = 'click' AND p.user_id = o.user_id AND p.ts BETWEEN o.ts AND o.ts + INTERVAL 12 HOUR
+JOIN events v ON v.event_type = 'view' AND v.user_id = o.user_id AND v.ts BETWEEN o.ts AND o.ts + INTERVAL 6 HOUR
+WHERE o.event_type = 'purchase'
+""")
+def stream_three_way_join(t):
+    """Orders, payments and views of a user joined as three streams, a file of each per trigger."""
+    events, step = events_in_time(t, maxFilesPerTrigger=1)
+    orders, payments = orders_and_payments(events)
+    views = events.filter(F.col("event_type") == "view").select(
+        F.col("event_id").alias("view_id"), F.col("user_id").alias("viewer"), F.col("ts").alias("view_time")
+    )
+    delay = f"{step} seconds"
+    joined = jobs.interval_chain(orders, "user_id", "order_time", delay, [
+        jobs.Leg(payments, "payer", "payment_time", "12 HOUR", delay),
+        jobs.Leg(views, "viewer", "view_time", "6 HOUR", delay),
+    ])
+    rows = to_table(joined, "three-way-join")
+    return rows.withColumns({c: ntz(c) for c in ("order_time", "payment_time", "view_time")})
+
+
+@query("stream_windows_by_file", f"""
+WITH w AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total
+  FROM events GROUP BY ALL), s AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events)
+SELECT w.*, window_start + INTERVAL 1 HOUR AS window_end FROM w, s
+WHERE epoch_us(window_start + INTERVAL 1 HOUR) <= hi - ceil(((hi - lo) // {SLICES} + 1) / 1e6) * 1000000
+""")
+def stream_windows_by_file(t):
+    """Windows over a stream that reads one file per trigger."""
+    events, step = events_in_time(t, maxFilesPerTrigger=1)
+    return flat_times(to_table(jobs.tumbling_window(events, "ts", ["event_type"], "1 hour", totals(), f"{step} seconds"), "by-file"))
+
+
+@query("stream_dedup_by_bytes", DEDUP_SQL)
+def stream_dedup_by_bytes(t):
+    """Replayed events dropped from a stream that reads a bounded number of bytes per trigger."""
+    events, step = events_in_time(t, maxBytesPerTrigger=1 << 16)
+    rows = jobs.deduplicate(replayed(events), ["event_id"], "ts", f"{step + 3600} seconds")
+    return to_table(rows, "by-bytes").withColumn("ts", ntz("ts"))
+
+
+@query("message_sink", """
+SELECT event_type AS topic, CAST(user_id AS VARCHAR) AS key, event_id, value, 'events/' || event_type AS source
+FROM events WHERE event_type IN ('purchase', 'error')
+""")
+def message_sink(t):
+    """Events sent as JSON messages keyed by user, a topic per type; two of the topics read back."""
+    events, _ = events_in_time(t, maxFilesPerTrigger=1)
+    attributes = {"id": F.col("event_id"), "source": F.concat(F.lit("events/"), "event_type")}
+    messages = as_messages(events, F.col("event_type"), F.col("user_id"), ["event_id", "value"], attributes)
+    back = read_messages(t.spark, send_messages(messages, "message-sink"), ["purchase", "error"])
+    good, _ = parse_json(back, "event_id bigint, value double")
+    return good.select("topic", "key", "event_id", "value", F.col("headers")["ce_source"].alias("source"))
+
+
 @query("state_readback")
 def state_readback(t):
     """Open windows read from a stream's checkpoint; what is in there depends on the run."""

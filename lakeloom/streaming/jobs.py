@@ -5,6 +5,8 @@ Event times are `timestamp` columns; every stateful step is bounded by a waterma
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sinks.tables import read_table
@@ -60,6 +62,34 @@ def interval_join(
     return left.withWatermark(left_at, left_delay).join(right.withWatermark(right_at, right_delay), cond, how)
 
 
+@dataclass(frozen=True)
+class Leg:
+    """A stream that joins a chain: its key, its time, how long after the first stream's row it may come, its delay."""
+
+    df: DataFrame
+    key: str
+    at: str
+    within: str
+    delay: str
+
+
+def interval_chain(first: DataFrame, key: str, at: str, delay: str, legs: list[Leg], how: str = "inner") -> DataFrame:
+    """The first stream joined with any number of others, each within a time after the first one's row.
+
+    The joins are chained. Every leg is bounded by the first stream's time, which stays the event time of what a join
+    hands on, so that each join drops from its state what its own time bound has passed, by the watermark that the join
+    before it lets through. With `leftOuter` a row without a partner comes out with NULLs once none can arrive.
+    """
+    out = first.withWatermark(at, delay)
+    for leg in legs:
+        on_time = F.col(leg.at).between(F.col(at), F.col(at) + F.expr(f"INTERVAL {leg.within}"))
+        other = leg.df.withWatermark(leg.at, leg.delay)
+        joined = out.join(other, (F.col(key) == F.col(leg.key)) & on_time, how).drop(leg.key)
+        # A plain value from here on: the next join follows one event time.
+        out = joined.withColumn(leg.at, F.timestamp_micros(F.unix_micros(leg.at)))
+    return out
+
+
 def deduplicate(df: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
     """First row per key; a replay is recognised within the watermark delay."""
     return df.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..session import new_path, prepare
 
@@ -34,8 +36,33 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return bool(listed) and listed[0]["path"].rstrip("/").endswith("/" + path.rstrip("/").rpartition("/")[2])
 
 
+@dataclass(frozen=True)
+class Trigger:
+    """What one micro-batch read, and the rows that its stateful steps keep behind it."""
+
+    batch_id: int
+    input_rows: int
+    state_rows: int
+    late_rows: int
+
+
+def _triggers(query: StreamingQuery) -> list[Trigger]:
+    """The micro-batches of a run, as many of the last ones as Spark keeps reports of (100 by default)."""
+    out = []
+    for p in query.recentProgress:
+        kept = [s.numRowsTotal for s in p.stateOperators]
+        late = [s.numRowsDroppedByWatermark for s in p.stateOperators]
+        out.append(Trigger(p.batchId, sum(max(0, s.numInputRows) for s in p.sources), sum(kept), sum(late)))
+    return out
+
+
 def to_table(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything available now into a Parquet table and read it back."""
+    return run_to_table(df, label, mode)[0]
+
+
+def run_to_table(df: DataFrame, label: str, mode: str = "append") -> tuple[DataFrame, list[Trigger]]:
+    """The same, with a report of every trigger."""
     spark = prepare(df.sparkSession)
     out = new_path(spark, label)
     with _settings(spark):
@@ -48,7 +75,21 @@ def to_table(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
             .start()
         )
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/rows")
+    return spark.read.schema(df.schema).parquet(f"{out}/rows"), _triggers(query)
+
+
+def write_in_time(df: DataFrame, at: str, path: str, slices: int) -> int:
+    """Write a table in `slices` steps of equal time, earlier ones first, so that a stream reads it in time order.
+
+    Returns the seconds of a step. Files of one step are in no order among each other, so a stream that takes
+    some of them at a time waits that long for late rows and then loses none.
+    """
+    low, high = df.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+    step = (high - low) // slices + 1 if low is not None else 1_000_000
+    place = F.floor((F.unix_micros(at) - F.lit(low)) / step)
+    for k in range(slices):
+        df.filter(place == k).write.mode("append").parquet(path)
+    return -(-step // 1_000_000)
 
 
 def each_batch(
@@ -57,15 +98,18 @@ def each_batch(
     write: Callable[[DataFrame, int, str], None],
     mode: str = "append",
     idle_batches: bool = True,
+    out: str | None = None,
 ) -> str:
     """Run a stream with `write(batch, batch_id, folder)` per micro-batch; returns the folder.
 
+    With the folder `out` of an earlier run, the stream goes on where that run's checkpoint ends.
+
     A batch that is replayed after a failure comes with the same id, so `write` stays
     idempotent by overwriting the folder of its id. Processing-time timers ask for batches
     without data for ever; a replay that uses them ends only with `idle_batches` off.
     """
     spark = prepare(df.sparkSession)
-    out = new_path(spark, label)
+    out = out or new_path(spark, label)
     with _settings(spark, idle_batches):
         query = (
             df.writeStream.outputMode(mode)
