@@ -6,7 +6,7 @@ import csv
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def read_csv_strings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -15,12 +15,13 @@ def read_csv_strings(spark: SparkSession, path: str, sep: str = ",") -> DataFram
 
 
 def diagonal_union(frames: list[DataFrame]) -> DataFrame:
-    """Union by name; absent columns are NULL, columns in order of first appearance."""
+    """Union by name; absent columns are NULL, columns in order of first appearance. At least one frame."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def csv_headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
-    """(header line, files that start with it), by the first file's path; files without a line are left out.
+    """(header line, files that start with it), by the first file's path; blank lines in front do not count, and
+    files without any other line are left out.
 
     One distributed job over the first block of each file. What comes back is the list of files,
     which any scan of them holds on the driver as well.
@@ -31,7 +32,8 @@ def csv_headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[s
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
-    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    written = (F.col("block") == 0) & F.col("value").rlike(r"[^\x00-\x20]")
+    first = lines.filter(written).groupBy("file").agg(F.min_by("value", "line").alias("header"))
     rows = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()
     return [(r["header"], [unquote(f) for f in r["files"]]) for r in sorted(rows, key=lambda r: r["files"][0])]
 
@@ -45,13 +47,20 @@ def column_names(header: str, sep: str = ",") -> list[str]:
 def read_csv_union(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
     """CSV files and folders, also of mixed headers, as one table of text columns.
 
-    Every file is read by its own header, in one scan per distinct header.
+    Every file is read by its own header, in one scan per distinct header. A header with a line break inside quotes
+    is read by the parser that knows such records, which takes a file as a whole. Without any header the table has no
+    columns and no rows.
     """
     frames = []
     for header, files in csv_headers(spark, sorted(paths)):
+        if header.count('"') % 2:  # the record goes on in the next line
+            for file in files:
+                rows = spark.read.csv(file, header=True, sep=sep, multiLine=True)
+                frames.append(rows.toDF(*(c.removeprefix("\ufeff") for c in rows.columns)))
+            continue
         schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in column_names(header, sep))
         frames.append(spark.read.schema(schema).csv(files, header=True, sep=sep))
-    return diagonal_union(frames)
+    return diagonal_union(frames) if frames else spark.createDataFrame([], T.StructType([]))
 
 
 def scan_merged(spark: SparkSession, *paths: str, source: str = "source") -> DataFrame:

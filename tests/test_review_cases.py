@@ -110,3 +110,14 @@ def test_compaction_keeps_all_columns(spark, tmp_path):
     parquet(spark, tmp_path / "many", [(2, "c")], "id long, c string")
     compact(spark, str(tmp_path / "many"), str(tmp_path / "few"), 1 << 20)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "few")).select("id", "c").collect())) == [(1, None), (2, "c")]
+
+
+def test_csv_headers_behind_blank_lines_with_line_breaks_and_none_at_all(spark, tmp_path):
+    files = {"a": "\n \t\nid,name\n1,x\n", "b": '﻿"id","na\nme"\n2,"y\nz"\n', "c": "", "d": "\n\n", "e": 'id,"say ""hi"""\n3,w\n'}
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text, encoding="utf-8")
+    got = read_csv_union(spark, [str(tmp_path)])
+    assert got.columns == ["id", "name", "na\nme", 'say "hi"']
+    assert sorted(map(tuple, got.collect())) == [("1", "x", None, None), ("2", None, "y\nz", None), ("3", None, None, "w")]
+    only_empty = read_csv_union(spark, [str(tmp_path / "c.csv"), str(tmp_path / "d.csv")])
+    assert only_empty.columns == [] and only_empty.count() == 0
