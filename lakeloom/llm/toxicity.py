@@ -14,6 +14,7 @@ Without labelled rows of both kinds every document gets the score of the prior.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -24,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import settle
 from .common import process_store, slices, slim
-from .labels import MAX_EXAMPLES, examples, held_out
+from .labels import MAX_EXAMPLES, held_out, sample
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 MARKS = " \t\"'()[]{}<>|*%$&#@^~_-+=/\\.,;:!?«»¿¡…"
@@ -54,50 +56,95 @@ class Model:
         return f"toxicity:{zlib.crc32(self.weights.tobytes())}:{self.bias}"
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 100, rate: float = 1.0, sparse: float = 4e-3, decay: float = 1e-5) -> Model:
+@dataclass
+class Bags:
+    """Labelled documents as bags of sentences: a word number per token, words per sentence, sentences per document.
+
+    `slots` has the features of each word, filled up with -1.
+    """
+
+    token: np.ndarray
+    words: np.ndarray
+    sentences: np.ndarray
+    label: np.ndarray
+    slots: np.ndarray
+
+
+def bags(sampled: DataFrame) -> Bags:
+    """The bags of a bounded sample (doc_id, text, label). Texts are cut up and hashed by the tasks; packed numbers alone
+    reach the driver, about eight bytes a word."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            token, sizes, vocabulary = [], [], []
+            for text in batch.column("text").to_pylist():
+                parts = [part.split() for part in SENTENCE.findall(text) or [""]]
+                of = {w: int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for p in parts for w in p}
+                token.append(np.array([of[w] for p in parts for w in p], np.uint64).tobytes())
+                sizes.append(np.array([len(p) for p in parts], np.int32).tobytes())
+                known = [(h, [*features(w), -1, -1, -1, -1][: 1 + len(HEADS)]) for w, h in of.items()]
+                vocabulary.append([{"word": np.uint64(h).astype(np.int64), "slots": f} for h, f in known])
+            kind = pa.list_(pa.struct([("word", pa.int64()), ("slots", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column("doc_id"),
+                    "label": batch.column("label"),
+                    "token": pa.array(token, pa.binary()),
+                    "sizes": pa.array(sizes, pa.binary()),
+                    "vocabulary": pa.array(vocabulary, kind),
+                }
+            )
+
+    schema = "doc_id long, label int, token binary, sizes binary, vocabulary array<struct<word:bigint,slots:array<int>>>"
+    cut_up = settle(sampled.repartition("doc_id").mapInArrow(cut, schema), "toxic-sample")
+    rows = cut_up.select("doc_id", "label", "token", "sizes").orderBy(F.xxhash64("doc_id"), "doc_id", "token", "label").toArrow()
+    words = cut_up.select(F.explode("vocabulary").alias("w")).groupBy("w.word").agg(F.first("w.slots").alias("slots")).toArrow()
+    names = words.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    slots = words.column("slots").combine_chunks().flatten().to_numpy().reshape(len(names), 1 + len(HEADS))[order].astype(np.int32)
+    sizes = [np.frombuffer(b, np.int32) for b in rows.column("sizes").to_pylist()]
+    token = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, np.uint64) for b in rows.column("token").to_pylist())])
+    return Bags(
+        np.searchsorted(names[order], token).astype(np.int32),
+        np.concatenate([np.zeros(0, np.int32), *sizes]),
+        np.array([len(s) for s in sizes], np.int32),
+        rows.column("label").to_numpy().astype(float),
+        slots,
+    )
+
+
+def fit(rows: Bags, rounds: int = 100, rate: float = 1.0, sparse: float = 4e-3, decay: float = 1e-5) -> Model:
     """Noisy-or over sentences, fitted by accelerated proximal gradient on the likelihood of the document labels."""
-    kinds = {label for _, label in rows}
-    if len(kinds) < 2:
-        prior = (sum(label for _, label in rows) + 0.5) / (len(rows) + 1.0)
+    label, n_docs, n_words = rows.label, len(rows.label), len(rows.slots)
+    if len(np.unique(label)) < 2:
+        prior = (label.sum() + 0.5) / (n_docs + 1.0)
         return Model(np.zeros(SLOTS, np.float32), math.log(prior / (1 - prior)))
-    words: dict[str, int] = {}
-    slots: list[list[int]] = []
-    token, sentence_of, document_of = [], [], []
+    document_of = np.repeat(np.arange(n_docs, dtype=np.int32), rows.sentences)
+    sentence_of = np.repeat(np.arange(len(rows.words), dtype=np.int32), rows.words)
+    token = rows.token
     seen = np.zeros(SLOTS, np.int32)
-    for d, (text, _) in enumerate(rows):
-        here = set()
-        for part in SENTENCE.findall(text) or [""]:
-            for word in part.split():
-                k = words.get(word)
-                if k is None:
-                    k = words[word] = len(words)
-                    slots.append(features(word))
-                token.append(k)
-                sentence_of.append(len(document_of))
-                here.add(k)
-            document_of.append(d)
-        seen[list({s for k in here for s in slots[k]})] += 1
+    ends = np.cumsum(np.bincount(document_of, rows.words, n_docs).astype(np.int64))
+    for first, end in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+        here = np.unique(rows.slots[np.unique(token[first:end])])
+        seen[here[here >= 0]] += 1
     # The features worth learning, numbered anew.
     kept = np.flatnonzero(seen >= LEAST_DOCUMENTS)
     place = np.full(SLOTS, -1)
     place[kept] = np.arange(len(kept))
-    word_of = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    feature = place[np.fromiter((f for s in slots for f in s), np.int64, len(word_of))]
+    word_of, at = np.nonzero(rows.slots >= 0)
+    feature = place[rows.slots[word_of, at]]
     word_of, feature = word_of[feature >= 0], feature[feature >= 0]
-    token, sentence_of = np.array(token, np.int64), np.array(sentence_of, np.int64)
-    document_of = np.array(document_of, np.int64)
-    label = np.array([label for _, label in rows], float)
     # Both labels weigh the same; a feature's gradient is then the share of documents that ask for it,
     # so the threshold of the proximal step leaves words of a few documents at zero.
     weight = np.where(label > 0, 0.5 / label.sum(), 0.5 / (1 - label).sum())
     w, ahead, bias, momentum = np.zeros(len(kept)), np.zeros(len(kept)), -4.0, 0.0
     for step in range(1, rounds + 1):
-        of_word = np.bincount(word_of, ahead[feature], len(words))
+        of_word = np.bincount(word_of, ahead[feature], n_words)
         z = np.clip(bias + np.bincount(sentence_of, of_word[token], len(document_of)), -30, 30)
-        none = np.bincount(document_of, np.logaddexp(0, z), len(rows))  # -log P(no sentence is toxic)
+        none = np.bincount(document_of, np.logaddexp(0, z), n_docs)  # -log P(no sentence is toxic)
         slope = weight * np.where(label > 0, -1 / np.expm1(np.maximum(none, 1e-6)), 1.0)
         to_z = slope[document_of] / (1 + np.exp(-z))
-        to_word = np.bincount(token, to_z[sentence_of], len(words))
+        to_word = np.bincount(token, to_z[sentence_of], n_words)
         gradient = np.clip(np.bincount(feature, to_word[word_of], len(kept)), -1, 1)
         stepped = ahead - rate * gradient
         following = np.sign(stepped) * np.maximum(np.abs(stepped) - rate * sparse, 0)
@@ -110,17 +157,17 @@ def fit(rows: list[tuple[str, int]], rounds: int = 100, rate: float = 1.0, spars
     new = np.full(len(kept), -1)
     new[chosen] = np.arange(len(chosen))
     word_of, feature = word_of[new[feature] >= 0], new[feature[new[feature] >= 0]]
-    telling = np.bincount(word_of, minlength=len(words))[token] > 0
+    telling = np.bincount(word_of, minlength=n_words)[token] > 0
     token, sentence_of = token[telling], sentence_of[telling]
     w = np.append(w[chosen], bias)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, 2 * rounds + 1):
-        of_word = np.bincount(word_of, w[feature], len(words))
+        of_word = np.bincount(word_of, w[feature], n_words)
         z = np.clip(w[-1] + np.bincount(sentence_of, of_word[token], len(document_of)), -30, 30)
-        none = np.bincount(document_of, np.logaddexp(0, z), len(rows))
-        slope = np.where(label > 0, -1 / np.expm1(np.maximum(none, 1e-6)), 1.0) / len(rows)
+        none = np.bincount(document_of, np.logaddexp(0, z), n_docs)
+        slope = np.where(label > 0, -1 / np.expm1(np.maximum(none, 1e-6)), 1.0) / n_docs
         to_z = slope[document_of] / (1 + np.exp(-z))
-        to_word = np.bincount(token, to_z[sentence_of], len(words))
+        to_word = np.bincount(token, to_z[sentence_of], n_words)
         gradient = np.append(np.bincount(feature, to_word[word_of], len(chosen)) + decay * w[:-1], to_z.sum())
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
@@ -182,7 +229,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, value: int = 0, limit: int = MAX_EXAMPLES) -> Model:
     """A model from `toxic` of `labels`, without the fold that is held out."""
-    return fit(examples(docs, labels, "toxic", modulus, value, limit))
+    return fit(bags(sample(docs, labels, "toxic", modulus, value, limit)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, value: int = 0, threshold: float = 0.5) -> DataFrame:

@@ -113,3 +113,25 @@ def test_accuracy_on_the_tables(spark, module, run, label):
     docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
     scored = getattr(module, run)(docs, labels).join(labels, "doc_id").filter("held_out")
     assert scored.agg(F.avg((F.col("predicted") == F.col(label)).cast("int"))).first()[0] > 0.9
+
+
+def test_the_sample_is_bounded_by_rows_and_characters(spark, docs):
+    table = docs(*[(i, "word " * 20) for i in range(50)], (60, "x" * 300_000), (61, "y" * 3000), (1, "again"), (1, "again"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(70)], "doc_id long, toxic int")
+    taken = lambda **how: examples(table, labels, "toxic", 5, 0, **how)
+    every = taken()
+    assert len(every) > 30 and max(len(t) for t, _ in every) <= 200_000
+    few = taken(most=1500)
+    assert sum(len(t) for t, _ in few) <= 1500 and few == every[: len(few)] and taken(most=50) == []
+    assert taken(limit=7) == every[:7]
+
+
+def test_packed_sample_holds_every_word(spark, docs):
+    texts = [(1, "Abc abc! x.\ny z"), (2, None), (3, "..."), (4, "abc " * 1000)]
+    sampled = docs(*texts).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 2).cast("int").alias("label"))
+    got = T.bags(sampled)
+    assert len(got.label) == 4 and got.sentences.sum() == len(got.words) and got.words.sum() == len(got.token)
+    assert sorted(got.words.tolist()) == sorted([2, 1, 2, 0, 1, 1000])
+    of = {tuple(x for x in s if x >= 0) for s in got.slots.tolist()}
+    assert of == {tuple(T.features(w)) for w in ("Abc", "abc!", "x.", "y", "z", "...", "abc")}
+    assert len(T.bags(sampled.limit(0)).token) == 0
