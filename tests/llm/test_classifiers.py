@@ -131,7 +131,7 @@ def test_packed_sample_holds_every_word(spark, docs):
     sampled = docs(*texts).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 2).cast("int").alias("label"))
     got = T.bags(sampled)
     assert len(got.label) == 4 and got.sentences.sum() == len(got.words) and got.words.sum() == len(got.token)
-    assert sorted(got.words.tolist()) == sorted([2, 1, 2, 0, 1, 1000])
+    assert sorted(got.words.tolist()) == [0, 0, 1, 2, 2, 1000]
     of = {tuple(x for x in s if x >= 0) for s in got.slots.tolist()}
-    assert of == {tuple(T.features(w)) for w in ("Abc", "abc!", "x.", "y", "z", "...", "abc")}
+    assert of == {tuple(T.features(w)) for w in ("Abc", "abc!", "x.", "y", "z", "abc")}
     assert len(T.bags(sampled.limit(0)).token) == 0
