@@ -7,6 +7,7 @@ import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Rows of an Arrow batch that Python functions take at once.
@@ -26,11 +27,22 @@ def ascii_lower(text: Column) -> Column:
 
 
 def process_store(name: str, make: Callable[[], object]):
-    """A value kept for the life of this Python process, so that the tasks of one worker share it."""
-    held = sys.modules.setdefault("_lakeloom_kept", types.ModuleType("_lakeloom_kept"))
-    if not hasattr(held, name):
-        setattr(held, name, make())
-    return getattr(held, name)
+    """A value kept for the life of this Python process, so that the tasks of one worker share it.
+
+    Before a new value is made, those that no task of the same stage has asked for are dropped, so that a worker that
+    serves one job after the other does not gather the memories of all of them.
+    """
+    module = sys.modules.setdefault("_lakeloom_kept", types.ModuleType("_lakeloom_kept"))
+    kept = vars(module).setdefault("values", {})
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    if name not in kept:
+        for old in [k for k, (_, used) in kept.items() if used != stage]:
+            del kept[old]
+        kept[name] = (make(), stage)
+    elif kept[name][1] != stage:
+        kept[name] = (kept[name][0], stage)
+    return kept[name][0]
 
 
 def arrow_map(
