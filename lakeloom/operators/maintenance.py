@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import uuid
+from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ..session import delete_path, settle
+from .bounded import broadcast_if_small
 from .ordered import ROWS_PER_SLICE, order_by_key
 from .stats import latest_by_key
 
@@ -77,6 +82,52 @@ def compact(spark, source: str, target: str, target_bytes: int) -> int:
     return int(count)
 
 
+@dataclass(frozen=True)
+class Compaction:
+    """Files of a folder before and after, and the rows that were written anew."""
+
+    files_before: int
+    files_after: int
+    rows: int
+
+
+def compact_files(spark: SparkSession, folder: str, target_bytes: int, rows_per_slice: int = ROWS_PER_SLICE) -> Compaction:
+    """Rewrite the small Parquet files of a folder, neighbours in time together, into files of about `target_bytes`.
+
+    Sizes and times come from the listing; no content is read to decide. A file at or above the target, or alone in
+    its bin, is not touched. Each bin is written once, next to the folder; only when its rows are all there do the new
+    files move in and the old ones go. A run that ends before leaves the folder as it was. The driver holds the paths
+    of the small files, as their scan does.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
+    files = listed.select(F.lit("").alias("table"), "path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("at"))
+    plan = settle(compaction_plan(settle(files, "files"), "table", "at", "path", "size", target_bytes, rows_per_slice), "bins")
+    shared = plan.filter("bin is not null").groupBy(F.col("bin").alias("_bin")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    small = settle(plan.join(shared, F.col("bin") == F.col("_bin")).select("path", "_bin"), "small-files")
+    before, bins = plan.count(), shared.count()
+    if not bins:
+        return Compaction(before, before, 0)
+    paths = [r["path"] for r in small.select("path").collect()]
+    rows = spark.read.option("mergeSchema", "true").parquet(*paths).withColumn("_file", F.col("_metadata.file_name"))
+    of = small.select(F.element_at(F.split("path", "/"), -1).alias("_file"), "_bin")
+    staging = f"{folder.rstrip('/')}-compact-{uuid.uuid4().hex}"
+    rows.join(broadcast_if_small(of), "_file").drop("_file").repartition(bins, "_bin").write.partitionBy("_bin").parquet(staging)
+    found, written = rows.count(), spark.read.option("mergeSchema", "true").parquet(staging).count()
+    if found != written:
+        delete_path(spark, staging)
+        raise RuntimeError(f"{written} of {found} rows were written; {folder} is as it was")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    made = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(staging).select("path").collect()
+    for i, r in enumerate(made):
+        if not store.rename(hadoop.Path(r["path"]), hadoop.Path(f"{folder}/compact-{uuid.uuid4().hex}-{i}.parquet")):
+            raise RuntimeError(f"{r['path']} could not be moved into {folder}")
+    for path in paths:
+        delete_path(spark, path)
+    delete_path(spark, staging)
+    return Compaction(before, before - len(paths) + len(made), found)
+
+
 def tier_by_age(df: DataFrame, at: str, now: Column, local: str, total: str) -> DataFrame:
     """`tier`: hot up to the age `local`, cold up to `total`, gone beyond."""
     tier = (

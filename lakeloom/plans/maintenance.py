@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.maintenance import (
-    apply_deletes, build_rollup, compaction_plan, orphan_files, refresh_rollup, rollup_mean, snapshots_to_expire,
+    apply_deletes, build_rollup, compact_files, compaction_plan, orphan_files, refresh_rollup, rollup_mean, snapshots_to_expire,
     tier_by_age, upsert,
 )
-from ..session import settle
+from ..session import new_path, settle
 from .registry import query
 
 
@@ -84,6 +84,20 @@ def compaction_plan_documents(t):
     return compaction_plan(files, "table_name", "written", "doc_id", "n_chars", 20_000).drop("written")
 
 
+@query("compact_table", """
+SELECT o_orderstatus, count(*) AS n, sum(o_orderkey) :: BIGINT AS keys, round(sum(o_totalprice), 2) AS total, true AS fewer_files
+FROM orders GROUP BY o_orderstatus
+""")
+def compact_table(t):
+    """Orders written in many small files, which are then rewritten into few; the table read afterwards."""
+    path = new_path(t.spark, "many-files")
+    t.orders.repartition(24, "o_orderkey").write.parquet(path)
+    done = compact_files(t.spark, path, 1 << 20)
+    return t.spark.read.parquet(path).groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("total"),
+    ).withColumn("fewer_files", F.lit(done.files_after < done.files_before))
+
+
 @query("age_tiers", """
 SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY THEN 'hot'
   WHEN ts >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY THEN 'cold' ELSE 'gone' END AS tier FROM events
