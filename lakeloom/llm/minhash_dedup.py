@@ -10,8 +10,11 @@ the pairs of bands are formed there. In a table bucket one member is paired with
 large bucket the most central ones, if their signatures agree on at least 58 of 96 places (a pair of
 similarity 0.8 agrees on fewer with a probability below 1e-5). Candidates are confirmed on whole
 sets. Members of a bucket that are then still in different components, and whose signatures agree
-enough, are compared by the prefix filter over their whole sets, which loses no link. Pairs inside
-a component are not looked at: they cannot change it. These figures are for 80 percent and more; for
+enough, are compared by the prefix filter over their whole sets, which loses no link. Of a dense group
+that would be nearly all pairs between a document on its edge and the others, so they also need odd
+sketches (bitmaps of the parity of a set's hashes) that differ in no more bits than linked sets can
+differ in shingles, which loses none either. Pairs inside a component are not looked at: they cannot
+change it. These figures are for 80 percent and more; for
 less, bands are shorter or more, and fewer places must agree, for misses as rare (`scheme`).
 
 Words are runs without white space (space, tab to carriage return), A-Z in lower case. A null or
@@ -42,6 +45,8 @@ BANDS, ROWS, PLACES = 16, 3, 96
 NO_TABLE, NO_AGREEMENT = 2.5e-5, 5e-6
 #: Members of a small table bucket, and centres of a larger one.
 SMALL, CENTRES = 12, 4
+#: Bits of an odd sketch: with so many it tells sets of up to some 4,000 shingles apart.
+ODD_BITS = 2048
 #: Documents that have a rare shingle at most.
 RARE = 16
 #: Ids that are broadcast at most to pick the texts to confirm; more are joined by a shuffle.
@@ -127,6 +132,21 @@ def band_keys(minhashes: np.ndarray, by: Scheme) -> np.ndarray:
     return key.view(np.int64)
 
 
+def odd_sketch(of: np.ndarray) -> np.ndarray:
+    """A bit for each of ODD_BITS cells of the hashes: whether it holds an odd number of the set's.
+
+    Two sketches differ in at most as many bits as there are hashes in one set alone.
+    """
+    cells = (of >> np.uint64(64 - (ODD_BITS - 1).bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=ODD_BITS) & 1).astype(np.uint8))
+
+
+def can_differ(one: np.ndarray, others: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which `others` differ from `one` in no more bits than sets so similar can; `sizes` are of both sets together."""
+    apart = np.bitwise_count(others.view(np.uint64) ^ one.view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return apart * (100 + percent) <= sizes * (100 - percent)
+
+
 def vertices(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, set_hash, and for non-empty sets sig (a byte per minhash) and bands."""
     plan = scheme(percent)
@@ -308,13 +328,25 @@ def by_prefixes(open_: DataFrame, docs: DataFrame, labels: DataFrame, width: int
                     {"id": pa.array(np.full(len(s), doc_id)), "n": pa.array(np.full(len(s), len(s))), "shingle": pa.array(s)}
                 )
 
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = process_store("word_hashes", WordHashes)
+        for batch in slices(batches):
+            sets = [shingles(text, width, hashes) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "id": batch.column(0),
+                    "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "odd": pa.array([odd_sketch(s).tobytes() for s in sets], pa.binary()),
+                }
+            )
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
         if not sum(b.num_rows for b in batches):
             return
         table = pa.Table.from_batches(batches)
         shingle, ids, size, common, label = (table.column(k).to_numpy() for k in range(5))
-        sig = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(len(ids), -1)
+        sig, odd = (np.frombuffer(b"".join(table.column(k).to_pylist()), np.uint8).reshape(len(ids), -1) for k in (5, 6))
         order, starts, sizes = _runs(shingle)
         found = [np.zeros((2, 0), np.int64)]
         for first, m in zip(starts.tolist(), sizes.tolist(), strict=True):
@@ -326,6 +358,7 @@ def by_prefixes(open_: DataFrame, docs: DataFrame, labels: DataFrame, width: int
                 most = np.minimum(common[other], common[x])
                 other = other[most * (100 + percent) >= percent * (size[other] + size[x])]
                 other = other[_agreeing(np.full(len(other), x), other, size, sig, percent, plan)]
+                other = other[can_differ(odd[x], odd[other], size[other] + size[x], percent)]
                 found.append(np.stack([np.minimum(ids[other], ids[x]), np.maximum(ids[other], ids[x])]))
         both = np.unique(np.concatenate(found, axis=1), axis=1)
         yield pa.RecordBatch.from_pydict({"a": pa.array(both[0]), "b": pa.array(both[1])})
@@ -342,7 +375,8 @@ def by_prefixes(open_: DataFrame, docs: DataFrame, labels: DataFrame, width: int
     # Prefixes that reach an often seen shingle hold all rare ones of their sets: two that meet there have either
     # met at a rare one as well, or have no rare one in common.
     rows = rows.withColumn("common", F.when(F.col("s.seen") > RARE, F.col("often")).otherwise(F.size("shared")))
-    named = rows.join(labels, ["id", "n"]).select("s.shingle", "id", "n", "common", "label", "sig")
+    sketches = settle(chosen.mapInArrow(sketch, "id long, n long, odd binary").distinct(), "sketches")
+    named = rows.join(labels.join(sketches, ["id", "n"]), ["id", "n"]).select("s.shingle", "id", "n", "common", "label", "sig", "odd")
     return named.repartition("shingle").mapInArrow(meet, "a long, b long").distinct()
 
 

@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,46 @@ def test_any_percent_like_brute_force(docs, percent):
     assert {i: r["component_id"] for i, r in got.items()} == {i: r[1] for i, r in brute(rows, 1, percent).items()}
 
 
+def test_odd_sketches_refuse_no_linked_sets():
+    """Sets that differ in d hashes differ in d bits at most; clearly different small sets in more than is allowed."""
+    rng = np.random.default_rng(7)
+    for size in (1, 30, 150, 1000, 9000):
+        for both in (size, size - size // 9, size - size // 8, size // 2, 0):
+            of = rng.integers(0, 2**63, 2 * size - both, dtype=np.uint64) * np.uint64(2)
+            one, other = of[:size], of[size - both :]
+            a, b = minhash_dedup.odd_sketch(one), minhash_dedup.odd_sketch(other)
+            differ = int(np.unpackbits(a ^ b).sum())
+            assert differ <= 2 * (size - both)
+            sizes = np.array([2 * size])
+            kept = bool(minhash_dedup.can_differ(a, b[None, :], sizes, 80)[0])
+            if 100 * both >= 80 * (2 * size - both):
+                assert kept
+            elif both <= size // 2 and 30 <= size <= 1000:
+                assert not kept
+
+
+def test_a_dense_group_is_not_paired_off(docs, monkeypatch):
+    """Members a little too far from each other: nearly none of their pairs are proposed for whole sets."""
+    proposed = []
+    whole = minhash_dedup.by_prefixes
+
+    def count(*args):
+        out = whole(*args)
+        proposed.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "by_prefixes", count)
+    rng, centre, rows = random.Random(11), [f"c{k}" for k in range(150)], []
+    for i in range(200):
+        words = list(centre)
+        for at in rng.sample(range(150), rng.choice([4, 8, 12, 16])):
+            words[at] = f"own{i % 40}-{at}"
+        rows.append((i + 1, " ".join(words)))
+    got = by_id(near_duplicates(docs(*rows), 2))
+    assert {i: r["component_id"] for i, r in got.items()} == {i: r[1] for i, r in brute(rows, 2).items()}
+    assert proposed and sum(proposed) < 2 * len(rows)
+
+
 def test_scheme():
     assert minhash_dedup.scheme(80) == minhash_dedup.scheme(95) == minhash_dedup.Scheme(16, 3, 96, 58)
     for percent in (0, 101):
