@@ -158,12 +158,16 @@ def leaderboard(df: DataFrame, window_key: str, member: str, score: Column, top:
     return totals.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top)
 
 
-def latest_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by `order`: an aggregate, so hot keys shrink before the shuffle."""
+def latest_by_key(df: DataFrame, keys: list[str], order: list[str], *more: Column) -> DataFrame:
+    """The last row of each key by `order`: an aggregate, so hot keys shrink before the shuffle.
+
+    `more` are named aggregates over all rows of the key, computed in the same pass and put behind the row.
+    """
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    ).select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    both = [last, F.struct(*more).alias("_more")] if more else [last]
+    columns = [F.col(f"_row.`{c}`").alias(c) for c in rest] + ([F.col("_more.*")] if more else [])
+    return df.groupBy(*keys).agg(*both).select(*keys, *columns)
 
 
 def changelog_table(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:

@@ -250,9 +250,8 @@ FROM events GROUP BY user_id
 """)
 def latest_by_key_events(t):
     """Running counter and last value per key."""
-    last = latest_by_key(t.events.select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], ["ts", "event_id"])
-    counts = t.events.groupBy("user_id").agg(count_rows())
-    return last.join(counts, "user_id").select("user_id", "ts", "event_type", "value", "n")
+    rows = t.events.select("user_id", "ts", "event_id", "event_type", "value")
+    return latest_by_key(rows, ["user_id"], ["ts", "event_id"], count_rows()).drop("event_id")
 
 
 # ---- windows

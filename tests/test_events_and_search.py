@@ -17,7 +17,7 @@ from lakeloom.operators.maintenance import (
 )
 from lakeloom.operators.ranges import band_join, interval_join
 from lakeloom.operators.search import build_cells, dimension_ranges, knn, sq8_decode, sq8_encode
-from lakeloom.operators.stats import changelog_table, mark_late, null_profile, percentiles
+from lakeloom.operators.stats import changelog_table, latest_by_key, mark_late, null_profile, percentiles
 from lakeloom.operators.text import bm25_topk, embed, terms
 from lakeloom.plans import QUERIES
 from lakeloom.sources.messages import explode_notifications, parse_json, parse_requests
@@ -83,6 +83,21 @@ def test_notifications_and_requests(spark):
     assert (dead.count(), incomplete.count()) == (1, 2)
 
 
+def test_latest_with_counters_is_one_pass(spark, capsys):
+    rows = [(1, 1, "a", 2.0), (1, 3, None, 1.0), (1, 2, "c", None), (2, None, "x", None), (None, 5, "y", 4.0)]
+    df = spark.createDataFrame(rows, "k int, at int, what string, value double")
+    more = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")]
+    got = latest_by_key(df, ["k"], ["at"], *more)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert got.columns == ["k", "at", "what", "value", "n", "total"]
+    assert sorted(map(tuple, got.collect()), key=str) == [
+        (1, 3, None, 1.0, 3, 3.0), (2, None, "x", None, 1, None), (None, 5, "y", 4.0, 1, 4.0)
+    ]
+    assert latest_by_key(df, ["k"], ["at"]).columns == df.columns
+
+
 # ---- maintenance
 
 @pytest.mark.parametrize("retain,expired", [(1, [1, 2, 3]), (3, [1]), (9, [])])
