@@ -3,84 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import closer_sign, distances
-from ..session import settle
 from ..sinks.tables import write_partitioned
 from .bounded import collect_bounded
+from .nearest import FOUND, Closest, knn_join, matrix, nearest_in_cells, ranked, sort_keys, vectors_of, with_cells
 
 QUERY_BLOCK = 1024
-DIGITS = 6
-#: Queries and stored rows, at most about, that the number of cells for an asked recall is measured on.
-MEASURED_QUERIES, MEASURED_ROWS = 256, 8192
-
-
-def _query_blocks(queries: DataFrame, query_id: str, vector: str, block: int) -> Iterator[tuple]:
-    """(ids, matrix) blocks of the query set; a large set is taken in several passes."""
-    asked = queries.select(query_id, vector)
-    first = asked.limit(block + 1).collect()
-    if len(first) <= block:
-        parts = [first]
-    else:
-        asked = settle(asked, "queries")
-        n = -(-asked.count() * 2 // block)
-        placed = asked.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(n)))
-        parts = (collect_bounded(placed.filter(F.col("_block") == i), 4 * block) for i in range(n))
-    for rows in parts:
-        if rows:
-            yield [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of an Arrow list column as one float64 matrix."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
-
-
-def _nearest(ids: list, shared, base_id: str, vector: str, metric: str, k: int, probes=None):
+#: Queries, at most about, that the number of cells for an asked recall is measured on.
+MEASURED_QUERIES = 256
+#: Cells of an index, at most; their centres are sent to all tasks. Rows per cell, about, that the centres are fitted on.
+MAX_CELLS, FIT_ROWS = 65_536, 256
+
+
+def _nearest(ids: np.ndarray, shared, metric: str, k: int):
     """Task function: the k closest base rows of its partition for every query of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
-        sign = closer_sign(metric)
-        best = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(ids)
+        best = Closest(len(ids), k)
         for batch in batches:
-            present = batch.filter(batch.column(vector).is_valid())
-            if present.num_rows == 0:
-                continue
-            names = present.column(base_id).to_numpy(zero_copy_only=False)
-            found = np.round(distances(metric, _matrix(present.column(vector)), queries), DIGITS)
-            cells = None if probes is None else present.column("cell").to_numpy(zero_copy_only=False)
-            for q in range(len(ids)):
-                near, who = found[q] * sign, names
-                if cells is not None:
-                    inside = np.isin(cells, probes[q])
-                    near, who = near[inside], who[inside]
-                near = np.concatenate([best[q][0], near])
-                who = np.concatenate([best[q][1], who])
-                if len(near) > k:
-                    # Everything up to the k-th distance, so that ties are settled by id.
-                    limit = np.partition(near, k - 1)[k - 1]
-                    near, who = near[near <= limit], who[near <= limit]
-                    keep = np.lexsort((who, near))[:k]
-                    near, who = near[keep], who[keep]
-                best[q] = (near, who)
-        counts = [len(b[0]) for b in best]
-        if sum(counts):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.array(ids, dtype=np.int64), counts)),
-                    pa.array(np.concatenate([b[1] for b in best]).astype(np.int64)),
-                    pa.array(np.concatenate([b[0] for b in best]) * sign),
-                ],
-                names=["query_id", "base_id", "distance"],
-            )
+            if batch.num_rows:
+                names = batch.column(0).to_numpy(zero_copy_only=False)
+                best.add(sort_keys(metric, matrix(batch.column(1)), shared.value), names)
+        if len(best.query):
+            columns = best.rows(ids, closer_sign(metric))
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "base_id", "distance"])
 
     return run
 
@@ -97,29 +51,23 @@ def knn(
 ) -> DataFrame:
     """(query_id, base_id, distance, place): the k closest base vectors of each query.
 
-    The base is read once per block of queries and never shuffled; each task keeps k rows
-    per query, only those meet in the final ranking. Distances are rounded to six digits
-    before ranking, ties rank by id. Ids are BIGINT.
+    Up to `block` queries go to every task; the base is read once and not shuffled, and each task keeps k rows per query.
+    More queries are joined in tiles (`nearest.knn_join`). Distances are rounded to six digits before ranking, ties rank
+    by id. Ids are BIGINT; rows without an id or a vector are left out.
     """
-    results = None
-    for ids, matrix in _query_blocks(queries, query_id, vector, block):
-        found = _run(base.select(base_id, vector), ids, matrix, base_id, vector, metric, k, None)
-        results = found if results is None else results.unionByName(found)
-    return _ranked(base, results, k, metric)
-
+    first = vectors_of(queries, query_id, vector).limit(block + 1).collect()
+    if len(first) > block:
+        return knn_join(queries, base, k, metric, query_id, base_id, vector)
+    if not first:
+        return ranked(base.sparkSession.createDataFrame([], FOUND), k, metric)
+    return ranked(_read_by_all(first, base, k, metric, base_id, vector), k, metric)
 
-def _run(base, ids, matrix, base_id, vector, metric, k, probes) -> DataFrame:
-    shared = base.sparkSession.sparkContext.broadcast(matrix)
-    task = _nearest(ids, shared, base_id, vector, metric, k, probes)
-    return base.mapInArrow(task, "query_id bigint, base_id bigint, distance double")
 
-
-def _ranked(base: DataFrame, results: DataFrame | None, k: int, metric: str) -> DataFrame:
-    if results is None:
-        results = base.sparkSession.createDataFrame([], "query_id bigint, base_id bigint, distance double")
-    near = F.col("distance").desc() if metric == "ip" else F.col("distance")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(near, "base_id"))
-    return results.withColumn("place", place).filter(F.col("place") <= k)
+def _read_by_all(asked: list, base: DataFrame, k: int, metric: str, base_id: str, vector: str) -> DataFrame:
+    """What each task finds for a bounded list of (id, vector)."""
+    ids = np.array([r[0] for r in asked], dtype=np.int64)
+    shared = base.sparkSession.sparkContext.broadcast(np.array([r[1] for r in asked], dtype=np.float64))
+    return vectors_of(base, base_id, vector).mapInArrow(_nearest(ids, shared, metric, k), FOUND)
 
 
 class CellIndex:
@@ -141,62 +89,76 @@ class CellIndex:
         probes: int,
         metric: str = "l2",
         query_id: str = "query_id",
-        block: int = QUERY_BLOCK,
         recall: float | None = None,
     ) -> DataFrame:
-        """Like `knn` over the `probes` nearest cells of each query; with `recall`, over as many more as it takes."""
+        """Like `knn` over the `probes` nearest cells of each query; with `recall`, over as many more as it takes.
+
+        Queries are a table like the base: a row for each query and near cell, joined with the rows on the cell.
+        """
         if recall is not None:
             probes = self.probes_for(queries, k, probes, recall, metric, query_id)
-        results = None
-        for ids, matrix in _query_blocks(queries, query_id, self.vector, block):
-            order = np.argsort(distances("l2", self.centres, matrix), axis=1)[:, :probes]
-            cells = sorted({int(c) for c in order.ravel()})
-            near = self.base.filter(F.col("cell").isin(cells))
-            found = _run(
-                near.select(self.base_id, self.vector, "cell"),
-                ids, matrix, self.base_id, self.vector, metric, k, list(order),
-            )
-            results = found if results is None else results.unionByName(found)
-        return _ranked(self.base, results, k, metric)
+        rows = vectors_of(self.base, self.base_id, self.vector, "cell")
+        return ranked(nearest_in_cells(self._asked(queries, probes, query_id), rows, k, metric), k, metric)
+
+    def _asked(self, queries: DataFrame, probes: int, query_id: str) -> DataFrame:
+        return with_cells(vectors_of(queries, query_id, self.vector), self.centres, probes)
+
+    def pairs_compared(self, queries: DataFrame, probes: int, query_id: str = "query_id") -> int:
+        """The distances that a search computes."""
+        asked = self._asked(queries, probes, query_id).groupBy("cell").agg(F.count("*").alias("asked"))
+        rows = self.base.groupBy("cell").agg(F.count("*").alias("rows"))
+        return asked.join(rows, "cell").agg(F.sum(F.col("asked") * F.col("rows"))).first()[0] or 0
 
     def probes_for(
         self, queries: DataFrame, k: int, least: int, recall: float, metric: str = "l2", query_id: str = "query_id"
     ) -> int:
         """The fewest cells, `least` or more, that hold the share `recall` of the k closest rows, two standard errors safe.
 
-        It is measured on samples of the queries and of the stored rows, chosen by hashes of their ids. In a sample the k
-        closest are farther off and lie in more cells than in the whole, so that too many cells are read rather than too few.
+        It is measured by brute force over all rows for a sample of the queries, chosen by hashes of their ids: one scan,
+        which is little beside a search with many queries. A search with few can be given its `probes` instead.
         """
-        asked = _sample(queries.select(query_id, self.vector), query_id, MEASURED_QUERIES)
-        rows = _sample(self.base.select(self.base_id, self.vector, "cell"), self.base_id, MEASURED_ROWS)
-        if not asked or not rows:
+        asked = _sample(vectors_of(queries, query_id, self.vector), MEASURED_QUERIES)
+        if not asked:
             return least
+        true = ranked(_read_by_all(asked, self.base, k, metric, self.base_id, self.vector), k, metric)
+        cells = self.base.select(F.col(self.base_id).alias("base_id"), "cell")
+        # At most k rows for each query of the sample.
+        held = cells.join(F.broadcast(true), "base_id").select("query_id", "cell").collect()
         points = np.array([r[1] for r in asked], dtype=np.float64)
-        cell = np.array([r[2] for r in rows])
-        far = distances(metric, np.array([r[1] for r in rows], dtype=np.float64), points) * closer_sign(metric)
-        closest = np.argsort(far, axis=1, kind="stable")[:, :k]
         # The place of each cell in each query's order; a neighbour is found from that many cells on.
-        place = np.argsort(np.argsort(distances("l2", self.centres, points), axis=1), axis=1)
-        needed = np.take_along_axis(place, cell[closest], axis=1) + 1
+        place = np.argsort(np.argsort(distances("l2", self.centres, points), axis=1, kind="stable"), axis=1)
+        at = {r[0]: i for i, r in enumerate(asked)}
+        query = np.array([at[r[0]] for r in held], dtype=np.int64)
+        needed = place[query, [r[1] for r in held]] + 1
+        all_of = np.maximum(np.bincount(query, minlength=len(asked)), 1)
         for probes in range(least, len(self.centres)):
-            found = (needed <= probes).mean(axis=1)
+            found = np.bincount(query, needed <= probes, len(asked)) / all_of
             if found.mean() - 2 * found.std() / len(found) ** 0.5 >= recall:
                 return probes
         return max(least, len(self.centres))
 
 
-def _sample(rows: DataFrame, id_col: str, most: int) -> list:
-    """Rows chosen by a hash of their id, about `most` of more; the same ones each time."""
-    n = -(-rows.count() // most)
-    return rows.filter(F.pmod(F.xxhash64(id_col), F.lit(n)) == 0).limit(4 * most).collect() if n else []
+def _sample(asked: DataFrame, most: int) -> list:
+    """Queries chosen by a hash of their id, about `most` of more; the same ones each time."""
+    n = -(-asked.count() // most)
+    return collect_bounded(asked.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == 0), 4 * most) if n else []
 
 
 def build_cells(
-    base: DataFrame, cells: int, base_id: str = "vec_id", vector: str = "embedding", seed: int = 7
+    base: DataFrame, cells: int | None = None, base_id: str = "vec_id", vector: str = "embedding", seed: int = 7
 ) -> CellIndex:
-    """Train the cell centres on all vectors and assign each to its cell."""
-    ready = base.filter(F.col(vector).isNotNull()).withColumn("_v", array_to_vector(vector))
-    model = KMeans(k=cells, seed=seed, featuresCol="_v", predictionCol="cell", maxIter=10).fit(ready)
+    """Fit the cell centres and assign every vector to its cell; rows without a vector are left out.
+
+    Without `cells` there are as many as the root of the rows, at most `MAX_CELLS`. The centres are fitted on about
+    `FIT_ROWS` rows a cell, chosen by hashes of their ids.
+    """
+    there = base.filter(F.col(vector).isNotNull())
+    rows = there.count()
+    cells = cells or max(min(isqrt(rows), MAX_CELLS), 2)
+    ready = there.withColumn("_v", array_to_vector(vector))
+    one_in = max(rows // (cells * FIT_ROWS), 1)
+    fitted = ready.filter(F.pmod(F.xxhash64(base_id), F.lit(one_in)) == 0) if one_in > 1 else ready
+    model = KMeans(k=cells, seed=seed, featuresCol="_v", predictionCol="cell", maxIter=10).fit(fitted)
     placed = model.transform(ready).drop("_v")
     return CellIndex(placed, np.array(model.clusterCenters()), base_id, vector)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.nearest import knn_join
 from ..operators.search import build_cells, knn, pq_encode, sq8_encode
 from ..operators.text import bm25_topk, tfidf_vectors
 from ..session import new_path
@@ -60,35 +61,37 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance {orde
 SELECT query_id :: BIGINT AS query_id, base_id, distance, place FROM r WHERE place <= {K}"""
 
 
-def _knn(t, metric: str, asked=centres):
-    found = knn(asked(t), t.embeddings, K, metric)
+def _placed(found):
     return found.withColumn("place", F.col("place").cast("bigint"))
 
 
 for _metric in DISTANCE_SQL:
-    query(f"knn_{_metric}", knn_sql(_metric))(lambda t, metric=_metric: _knn(t, metric))
-    query(f"knn_rows_{_metric}", knn_sql(_metric, asked=ROWS_SQL))(lambda t, metric=_metric: _knn(t, metric, asking_rows))
+    query(f"knn_{_metric}", knn_sql(_metric))(
+        lambda t, metric=_metric: _placed(knn(centres(t), t.embeddings, K, metric))
+    )
+    query(f"knn_rows_{_metric}", knn_sql(_metric, asked=ROWS_SQL))(
+        lambda t, metric=_metric: _placed(knn_join(asking_rows(t), t.embeddings, K, metric))
+    )
 
 
 @query("knn_filtered", knn_sql("l2", "label IN (1, 3, 5)"))
 def knn_filtered(t):
     """Only the vectors of the named partitions are searched."""
-    return _filtered(t, centres(t))
+    return _placed(knn(centres(t), _named_partitions(t), K, "l2"))
 
 
 @query("knn_rows_filtered", knn_sql("l2", "label IN (1, 3, 5)", ROWS_SQL))
 def knn_rows_filtered(t):
     """The same, asked with rows of all partitions."""
-    return _filtered(t, asking_rows(t))
+    return _placed(knn_join(asking_rows(t), _named_partitions(t), K, "l2"))
 
 
-def _filtered(t, queries):
-    base = t.embeddings.filter(F.col("label").isin(1, 3, 5))
-    return knn(queries, base, K, "l2").withColumn("place", F.col("place").cast("bigint"))
+def _named_partitions(t):
+    return t.embeddings.filter(F.col("label").isin(1, 3, 5))
 
 
 def _ivf(t, queries):
-    index = build_cells(t.embeddings.select("vec_id", "embedding"), cells=16).write(new_path(t.spark, "cells"))
+    index = build_cells(t.embeddings.select("vec_id", "embedding")).write(new_path(t.spark, "cells"))
     return index.search(queries, K, probes=4, recall=RECALL)
 
 

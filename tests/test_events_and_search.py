@@ -16,6 +16,7 @@ from lakeloom.operators.maintenance import (
     tier_by_age, upsert,
 )
 from lakeloom.operators.ranges import band_join, interval_join
+from lakeloom.operators import nearest
 from lakeloom.operators.search import build_cells, dimension_ranges, knn, sq8_decode, sq8_encode
 from lakeloom.operators.stats import changelog_table, latest_by_key, mark_late, null_profile, percentiles
 from lakeloom.operators.text import bm25_topk, embed, terms
@@ -250,6 +251,81 @@ def test_knn_edges(spark):
     assert knn(queries.limit(0), base, 10).count() == 0
 
 
+@pytest.mark.parametrize("tile_bytes", [8 << 20, 8 * 8 * 40])
+@pytest.mark.parametrize("metric", METRICS)
+def test_knn_in_tiles_equals_the_search_with_a_list(spark, metric, tile_bytes, monkeypatch):
+    monkeypatch.setattr(nearest, "TILE_BYTES", tile_bytes)
+    _, base = vectors(spark)
+    nulls = spark.createDataFrame([(None, [0.0] * 8), (900, None)], "vec_id bigint, embedding array<float>")
+    base = base.unionByName(nulls).withColumn("cell", F.lit("x")).withColumn("id", F.lit(1))
+    queries = base.filter("vec_id < 90 or vec_id is null or vec_id = 900").withColumnRenamed("vec_id", "query_id")
+    order = ["query_id", "place"]
+    listed = knn(queries, base, 5, metric).orderBy(order).collect()
+    assert len(listed) == 450
+    assert nearest.knn_join(queries, base, 5, metric).orderBy(order).collect() == listed
+
+
+def test_tiles_of_nothing(spark):
+    _, base = vectors(spark, 5)
+    queries = base.withColumnRenamed("vec_id", "query_id")
+    assert nearest.knn_join(queries, base.limit(0), 3).count() == 0
+    assert nearest.knn_join(queries.limit(0), base, 3).count() == 0
+    assert nearest.knn_join(queries, base, 9).count() == 25
+
+
+def test_ties_of_a_common_vector_rank_by_id_across_tiles(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "TILE_BYTES", 8 * 2 * 16)
+    base = spark.range(300).select(F.col("id").alias("vec_id"), F.expr("array(1.0D, 2.0D)").alias("embedding"))
+    queries = base.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    got = nearest.knn_join(queries, base, 4).orderBy("query_id", "place").collect()
+    assert [(r["query_id"], r["base_id"]) for r in got] == [(q, b) for q in range(0, 300, 50) for b in range(4)]
+
+
+def test_a_hot_cell_is_cut_into_tiles(spark, monkeypatch):
+    """Half of the rows and queries in one cell: no tile holds much more than its share."""
+    monkeypatch.setattr(nearest, "TILE_BYTES", 8 * 8 * 100)
+    rows = spark.range(4000).select(
+        "id", F.expr("transform(sequence(1, 8), i -> double(hash(id, i)))").alias("vector"),
+        F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 50).cast("int").alias("cell"),
+    )
+    asked = rows.filter("id % 5 = 0")
+    seen = spark.sparkContext.accumulator(0)
+    size = nearest._of_tile
+
+    def watched(metric, k):
+        run = size(metric, k)
+
+        def check(left, right):
+            assert left.num_rows < 200 and right.num_rows < 200
+            seen.add(left.num_rows * right.num_rows)
+            return run(left, right)
+
+        return check
+
+    monkeypatch.setattr(nearest, "_of_tile", watched)
+    found = nearest.ranked(nearest.nearest_in_cells(asked, rows, 3, "l2"), 3, "l2").collect()
+    assert {r["query_id"] for r in found if r["place"] == 1 and r["base_id"] == r["query_id"]} == set(range(0, 4000, 5))
+    pairs = asked.groupBy("cell").count().join(rows.groupBy("cell").agg(F.count("*").alias("n")), "cell")
+    assert seen.value == pairs.agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+
+
+def test_index_of_clustered_rows_reads_little(spark, tmp_path):
+    """Recall of 0.9 over all rows with vec_id % 50 = 0, with less than a third of the pairs compared."""
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(60, 16)) * 4
+    data = (middle[rng.integers(60, size=6000)] + rng.normal(size=(6000, 16))).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    base = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    queries = base.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    index = build_cells(base).write(str(tmp_path / "cells"))
+    assert len(index.centres) > 60
+    probes = index.probes_for(queries, 10, 1, 0.9)
+    exact = {(r["query_id"], r["base_id"]) for r in nearest.knn_join(queries, base, 10).collect()}
+    found = {(r["query_id"], r["base_id"]) for r in index.search(queries, 10, 1, recall=0.9).collect()}
+    assert len(exact) == 1200 and len(found & exact) / len(exact) >= 0.9
+    assert index.pairs_compared(queries, probes) < 120 * 6000 / 3
+
+
 def test_cells_find_most_neighbours_and_all_with_every_cell(spark, tmp_path):
     _, base = vectors(spark, 400)
     queries = base.filter("vec_id < 20").withColumnRenamed("vec_id", "query_id")
