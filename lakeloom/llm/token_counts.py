@@ -7,13 +7,16 @@ is beside the token before it. The table therefore answers "how many tokens have
 characters" and "how much of the text fits n tokens" without encoding the text again.
 
 Null text counts as empty (no tokens). Rows that repeat give repeated rows; a null doc_id is kept;
-columns beside the id and the text are not read. A piece that holds anything but Latin letters
-followed by marks is encoded once per prefix when a question falls inside it.
+columns beside the id and the text are not read. The work inside a piece grows with its length in
+any script; only a run of characters that combine with one another is normalised again per character.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import process_store, slices, slim
-from .tokens import MARKS, WordMemory, word_memory
+from .tokens import MARKS, WordMemory, byte_letters, word_memory
 
 END = "</w>"
 
@@ -78,11 +81,161 @@ class WordPrefixes:
         return closed
 
 
+def joining() -> frozenset[str]:
+    """Characters that canonical composition may join to, or move over, the one before them."""
+    found = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if unicodedata.combining(c):
+            found.add(c)
+        parts = unicodedata.decomposition(c)
+        if parts and parts[0] != "<":
+            found.update(chr(int(x, 16)) for x in parts.split()[1:])
+    return frozenset(found)
+
+
+class RunningCount:
+    """Tokens of a text without spaces that grows by characters, in any script.
+
+    A unit of the tokenizer's split pattern is a run of letters, one digit, a run of other marks, or an apostrophe with an
+    English ending. Inside a unit the dynamic programme of `WordPrefixes` goes on from byte to byte, looking back only
+    as far as what it sees is the end of some token. `mark` and `back_to` return to an earlier state.
+    """
+
+    #: Endings that are one unit with an apostrophe: a fixed part of the tokenizer's pattern.
+    SHORT, LONG = frozenset("stmd"), frozenset(("re", "ve", "ll"))
+
+    def __init__(self, library, inside: WordPrefixes):
+        self.library, self.inside = library, inside
+        self.letters = byte_letters()
+        self.ends = {t[i:] for name in inside.vocabulary for t in [name.removesuffix(END)] for i in range(len(t))}
+        self.joins = joining()
+        self.kinds: dict[str, str] = {}
+        self.shown_of: dict[str, str] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        self.shown, self.cost, self.last = [], [0], [""]
+        #: Tokens before the open unit, where it starts, its kind, and what there is of an apostrophe's unit.
+        self.before, self.first, self.kind, self.short = 0, 0, "", ""
+        self.apostrophe: tuple = ()
+
+    def mark(self) -> tuple:
+        at = self.first
+        return (len(self.shown), self.before, at, self.kind, self.short, self.apostrophe, self.cost[-1], self.last[-1])
+
+    def back_to(self, state: tuple) -> None:
+        n, self.before, self.first, self.kind, self.short, self.apostrophe, cost, last = state
+        del self.shown[n:], self.cost[n + 1 :], self.last[n + 1 :]
+        # A unit that was started here had set its own beginning.
+        self.cost[n], self.last[n] = cost, last
+
+    def kind_of(self, c: str) -> str:
+        if c not in self.kinds:
+            split = self.library.pre_tokenizer.pre_tokenize_str
+            if not split(c):
+                self.kinds[c] = "space"
+            elif len(split(c + c)) == 2:
+                self.kinds[c] = "digit"
+            else:
+                self.kinds[c] = "letter" if len(split("a" + c)) == 1 else "mark"
+        return self.kinds[c]
+
+    def normal(self, text: str) -> str:
+        """The text as the tokenizer normalises it, but with every white space kept."""
+        return "".join(map(self.lower, text if text.isascii() else unicodedata.normalize("NFC", text)))
+
+    def lower(self, c: str) -> str:
+        if c not in self.shown_of:
+            self.shown_of[c] = self.library.normalizer.normalize_str(c)
+        return self.shown_of[c]
+
+    def start(self, kind: str) -> None:
+        self.before, self.first, self.kind = self.count(), len(self.shown), kind
+        self.cost[-1], self.last[-1] = 0, ""
+
+    def push(self, c: str) -> None:
+        """One more normalised character."""
+        short, self.short = self.short, ""
+        if short == "'" and c in self.SHORT:
+            self.extend(c)
+            self.kind = "whole"
+        elif short[1:] + c in self.LONG:
+            self.back_to(self.apostrophe)
+            self.extend(short[1] + c)
+            self.kind, self.short = "whole", ""
+        else:
+            if short == "'" and c in "rvl":
+                self.apostrophe, self.short = self.mark(), short + c
+            kind = self.kind_of(c)
+            if kind != self.kind or kind == "digit":
+                self.start(kind)
+                if c == "'":
+                    self.short = c
+            if kind != "space":
+                self.extend(c)
+
+    def extend(self, text: str) -> None:
+        for byte in text.encode():
+            self.shown.append(self.letters[byte])
+            end, token = len(self.shown), ""
+            self.cost.append(0)
+            self.last.append("")
+            for start in range(end - 1, self.first - 1, -1):
+                token = self.shown[start] + token
+                if token not in self.ends:
+                    break
+                if token in self.inside.vocabulary and self.inside.stays(self.last[start], token):
+                    self.cost[end], self.last[end] = self.cost[start] + 1, token
+
+    def count(self) -> int:
+        """Tokens of all that was pushed."""
+        found, token = self.before, ""
+        for start in range(len(self.shown) - 1, self.first - 1, -1):
+            token = self.shown[start] + token
+            if token not in self.ends:
+                break
+            if token + END in self.inside.vocabulary and self.inside.stays(self.last[start], token + END):
+                found = self.before + self.cost[start] + 1
+        return found
+
+    def plain(self, text: str) -> list[int]:
+        """Tokens of every prefix of a text that holds no special string, the empty one first."""
+        self.reset()
+        counts, at = [0], 0
+        while at < len(text):
+            end = at + 1
+            while end < len(text) and text[end] in self.joins:
+                end += 1
+            state = self.mark()
+            for stop in range(at + 1, end + 1):
+                if stop > at + 1:
+                    self.back_to(state)
+                for c in self.normal(text[at:stop]):
+                    self.push(c)
+                counts.append(self.count())
+            at = end
+        return counts
+
+    def every_prefix(self, text: str) -> list[int]:
+        """The same for any text; a special string counts as one token once it is whole."""
+        special = self.library.get_added_tokens_decoder().values()
+        pattern = "|".join(re.escape(t.content) for t in special)
+        counts, at = [0], 0
+        for hit in re.finditer(pattern, text) if pattern else ():
+            part = self.plain(text[at : hit.end() - 1])
+            base = counts[-1]
+            counts += [base + c for c in part[1:]]
+            counts.append(base + part[hit.start() - at] + 1)
+            at = hit.end()
+        base = counts[-1]
+        return counts + [base + c for c in self.plain(text[at:])[1:]]
+
+
 class PrefixCounts:
     """The table of one text: where its pieces end, and how many tokens there are up to there."""
 
-    def __init__(self, text: str, memory: WordMemory, inside: WordPrefixes):
-        self.memory, self.inside = memory, inside
+    def __init__(self, text: str, memory: WordMemory, inside: WordPrefixes, running: RunningCount):
+        self.memory, self.inside, self.running = memory, inside, running
         self.pieces = memory.pieces(text)
         n = len(self.pieces)
         self.ends = np.cumsum(np.fromiter(map(len, self.pieces), np.int64, n) + 1) - 1
@@ -97,8 +250,7 @@ class PrefixCounts:
         piece = self.pieces[k]
         core = piece.rstrip(MARKS)
         if not (core.isalpha() and (core.isascii() or (max(core) < "ɐ" and "İ" not in core))):
-            encode = self.memory.tokenizer.encode
-            return [len(encode(piece[:i], add_special_tokens=False).ids) for i in range(len(piece) + 1)]
+            return self.running.every_prefix(piece)
         low, marks = core.lower(), piece[len(core) :]
         by_byte = self.inside.counts(low.encode().decode("latin-1").translate(self.memory.letters))
         at = np.cumsum([0, *(len(c.encode()) for c in low)])
@@ -140,10 +292,11 @@ def token_prefixes(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = word_memory(tokenizer)
         inside = process_store(f"inside:{tokenizer}", lambda: WordPrefixes(tokenizer))
+        running = process_store(f"running:{tokenizer}", lambda: RunningCount(memory.tokenizer, inside))
         for batch in slices(batches):
             sizes, totals, fits, ends, counts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
-                table = PrefixCounts(text, memory, inside)
+                table = PrefixCounts(text, memory, inside, running)
                 sizes.append(len(text) if text.isascii() else len(text.encode()))
                 totals.append(table.total)
                 fits.append(len(text) if table.total <= limit else table.fit(limit))
