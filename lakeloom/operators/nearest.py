@@ -86,6 +86,26 @@ def _of_tile(metric: str, k: int):
     return run
 
 
+def _block_rows(rows: DataFrame) -> int:
+    """Rows of a block, from the width of the first vector; 0 without rows."""
+    first = rows.select(F.size("vector")).first()
+    return 0 if first is None else max(TILE_BYTES // (8 * max(first[0], 1)), 1)
+
+
+def _in_tiles(asked: DataFrame, rows: DataFrame, k: int, metric: str) -> DataFrame:
+    """Best rows of each tile; both sides have (id, vector, cell) and the cell's numbers query_blocks and row_blocks."""
+
+    def placed(side: DataFrame, own: str, other: str) -> DataFrame:
+        number = F.pmod(F.xxhash64("id", "vector"), F.col(f"{own}_blocks")).cast("int").alias(own)
+        meets = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(other)
+        # New names for all columns, since both sides may come from one table.
+        return side.select(*(F.col(c).alias(f"{own}_{c}") for c in ("id", "vector", "cell")), number, meets)
+
+    queries = placed(asked, "query", "row").groupBy("query_cell", "query", "row")
+    base = placed(rows, "row", "query").groupBy("row_cell", "query", "row")
+    return queries.cogroup(base).applyInArrow(_of_tile(metric, k), FOUND)
+
+
 def nearest_in_cells(asked: DataFrame, rows: DataFrame, k: int, metric: str) -> DataFrame:
     """(query_id, base_id, distance): the k closest rows of each tile for its queries; the final ranking is `ranked`.
 
@@ -94,10 +114,9 @@ def nearest_in_cells(asked: DataFrame, rows: DataFrame, k: int, metric: str) ->
     often as its cell has blocks of queries, and the other way round. Neither a crowded nor an often asked cell makes a
     task larger than a tile, nothing passes the driver, and a tile sends k rows per query.
     """
-    first = rows.select(F.size("vector")).first()
-    if first is None:
+    block = _block_rows(rows)
+    if not block:
         return rows.sparkSession.createDataFrame([], FOUND)
-    block = max(TILE_BYTES // (8 * max(first[0], 1)), 1)
 
     def blocks(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
@@ -105,17 +124,7 @@ def nearest_in_cells(asked: DataFrame, rows: DataFrame, k: int, metric: str) ->
     # One row per cell that is asked and holds rows.
     cuts = settle(blocks(asked, "query_blocks").join(blocks(rows, "row_blocks"), "cell"), "cuts")
     cuts = broadcast_if_small(cuts)
-
-    def placed(side: DataFrame, own: str, other: str) -> DataFrame:
-        number = F.pmod(F.xxhash64("id", "vector"), F.col(f"{own}_blocks")).cast("int").alias(own)
-        meets = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(other)
-        # New names for all columns, since both sides may come from one table.
-        same = [F.col(c).alias(f"{own}_{c}") for c in ("id", "vector", "cell")]
-        return side.join(cuts, "cell").select(*same, number, meets)
-
-    queries = placed(asked, "query", "row").groupBy("query_cell", "query", "row")
-    base = placed(rows, "row", "query").groupBy("row_cell", "query", "row")
-    return queries.cogroup(base).applyInArrow(_of_tile(metric, k), FOUND)
+    return _in_tiles(asked.join(cuts, "cell"), rows.join(cuts, "cell"), k, metric)
 
 
 def ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
@@ -144,9 +153,14 @@ def knn_join(
 
     Same rows as `search.knn`. Rows without an id or a vector are left out on both sides; ids are distinct on each side.
     """
-    whole = F.lit(0).alias("cell")
-    found = nearest_in_cells(vectors_of(queries, query_id, vector, whole), vectors_of(base, base_id, vector, whole), k, metric)
-    return ranked(found, k, metric)
+    asked, rows = vectors_of(queries, query_id, vector), vectors_of(base, base_id, vector)
+    block = _block_rows(rows)
+    if not block:
+        return ranked(rows.sparkSession.createDataFrame([], FOUND), k, metric)
+    # The whole table is one cell.
+    query_blocks, row_blocks = (max(-(-side.count() // block), 1) for side in (asked, rows))
+    numbers = {"cell": F.lit(0), "query_blocks": F.lit(query_blocks), "row_blocks": F.lit(row_blocks)}
+    return ranked(_in_tiles(asked.withColumns(numbers), rows.withColumns(numbers), k, metric), k, metric)
 
 
 def with_cells(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
