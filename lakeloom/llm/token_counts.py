@@ -17,7 +17,7 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -234,7 +234,7 @@ class RunningCount:
 class PrefixCounts:
     """The table of one text: where its pieces end, and how many tokens there are up to there."""
 
-    def __init__(self, text: str, memory: WordMemory, inside: WordPrefixes, running: RunningCount):
+    def __init__(self, text: str, memory: WordMemory, inside: WordPrefixes, running: Callable[[], RunningCount]):
         self.memory, self.inside, self.running = memory, inside, running
         self.pieces = memory.pieces(text)
         n = len(self.pieces)
@@ -250,7 +250,7 @@ class PrefixCounts:
         piece = self.pieces[k]
         core = piece.rstrip(MARKS)
         if not (core.isalpha() and (core.isascii() or (max(core) < "ɐ" and "İ" not in core))):
-            return self.running.every_prefix(piece)
+            return self.running().every_prefix(piece)
         low, marks = core.lower(), piece[len(core) :]
         by_byte = self.inside.counts(low.encode().decode("latin-1").translate(self.memory.letters))
         at = np.cumsum([0, *(len(c.encode()) for c in low)])
@@ -292,7 +292,10 @@ def token_prefixes(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = word_memory(tokenizer)
         inside = process_store(f"inside:{tokenizer}", lambda: WordPrefixes(tokenizer))
-        running = process_store(f"running:{tokenizer}", lambda: RunningCount(memory.tokenizer, inside))
+
+        def running() -> RunningCount:
+            return process_store(f"running:{tokenizer}", lambda: RunningCount(memory.tokenizer, inside))
+
         for batch in slices(batches):
             sizes, totals, fits, ends, counts = [], [], [], [], []
             for text in batch.column(1).to_pylist():

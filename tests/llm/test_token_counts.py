@@ -28,7 +28,7 @@ def parts():
 @pytest.mark.parametrize("text", TEXTS)
 def test_every_prefix_like_the_library(parts, text):
     library, memory, inside, running = parts
-    table = PrefixCounts(text, memory, inside, running)
+    table = PrefixCounts(text, memory, inside, lambda: running)
     want = [len(library.encode(text[:p], add_special_tokens=False).ids) for p in range(len(text) + 1)]
     assert [table.at(p) for p in range(len(text) + 1)] == want
     assert table.total == want[-1]
@@ -66,7 +66,7 @@ def test_long_unbroken_text_takes_time_in_proportion(parts, signs):
     rng = random.Random(1)
     text = "".join(rng.choice(signs) for _ in range(100_000))
     began = time.perf_counter()
-    fit = PrefixCounts(text, memory, inside, running).fit(2048)
+    fit = PrefixCounts(text, memory, inside, lambda: running).fit(2048)
     assert time.perf_counter() - began < 10
     count = [len(library.encode(text[:p], add_special_tokens=False).ids) for p in (fit, fit + 1)]
     assert count[0] <= 2048 < count[1]
