@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -402,3 +403,18 @@ def test_terms_and_embedding_hook(spark):
     assert [r[0] for r in df.select(terms("t")).collect()] == [["ça", "va", "l", "été"], []]
     made = embed(df, "t", lambda s: [[float(len(x))] for x in s])
     assert sorted(r["embedding"] for r in made.collect()) == [[0.0], [13.0]]
+
+
+def test_text_vectors_are_read_without_their_empty_slots(spark, tmp_path):
+    """Slots of 2**18 by document and row would take minutes here; the weights are those of the stored terms."""
+    rows = [(i, f"w{i % 7} w{i % 7} x{i}" if i % 10 else None) for i in range(6000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.monotonic()
+    got = {r["doc_id"]: (r["nonzero"], r["sq"]) for r in QUERIES["tfidf_vectors"](spark, str(tmp_path)).collect()}
+    assert time.monotonic() - began < 40
+    assert len(got) == len(rows) and got[0] == (0, 0.0)
+    often = {k: sum(i % 7 == k and i % 10 > 0 for i in range(6000)) for k in range(7)}
+    idf = lambda n: math.log(6001 / (n + 1))
+    want = {i: (2, round(4 * idf(often[i % 7]) ** 2 + idf(1) ** 2, 4)) for i in range(6000) if i % 10}
+    # Some terms share a slot.
+    assert sum(got[i][0] == 2 and abs(got[i][1] - w[1]) < 1e-3 for i, w in want.items()) > 0.9 * len(want)
