@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.sinks.messages import as_messages, read_messages, send_messages, subscribe
 from lakeloom.sources.messages import parse_json
-from lakeloom.streaming import jobs
+from lakeloom.streaming import jobs, run
 from lakeloom.streaming.run import run_to_table, stream_table, to_table, write_in_time
 
 T0 = dt.datetime(2024, 1, 1)
@@ -108,6 +108,20 @@ def test_time_slices_are_written_in_order(spark, tmp_path):
     assert spark.read.parquet(empty).count() == 0
 
 
+def test_triggers_follow_the_rows_not_the_partitions(spark, tmp_path, monkeypatch):
+    """A table of many small partitions is one file a step; a large step is cut into files of bounded rows."""
+    rows = [(i, i % 3, at(random.Random(i).randrange(1000)), "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(16)
+    for name, most, files in (("few", 1_000_000, 4), ("cut", 50, 8)):
+        monkeypatch.setattr(run, "FILE_ROWS", most)
+        path = str(tmp_path / name)
+        step = write_in_time(df, "ts", path, 4)
+        stream = jobs.deduplicate(stream_table(spark, path, maxFilesPerTrigger=1), ["id"], "ts", f"{step} seconds")
+        out, triggers = run_to_table(stream, name)
+        assert sorted(r["id"] for r in out.collect()) == list(range(400))
+        assert files <= sum(t.input_rows > 0 for t in triggers) <= 1.5 * files
+
+
 def messages(spark, path, mode="binary"):
     rows = stream_table(spark, path, maxFilesPerTrigger=1)
     attributes = {"id": F.col("id"), "time": F.col("ts"), "none": F.lit(None).cast("string")}
