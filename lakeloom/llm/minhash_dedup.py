@@ -6,10 +6,11 @@ minhashes. Two documents of similarity 0.8 share none of them with a probability
 
 Documents of equal shingle sets are one vertex, so large groups of copies fall together in an
 aggregate before anything is paired. The rows of a first band meet by its hash, 16 per vertex, and
-the pairs of bands are formed there. In a table bucket one member is paired with all others, in a
-large bucket the most central ones, if their signatures agree on at least 58 of 96 places (a pair of
-similarity 0.8 agrees on fewer with a probability below 1e-5). Candidates are confirmed on whole
-sets. Members of a bucket that are then still in different components, and whose signatures agree
+the pairs of bands are formed there. In a table bucket the member that is most central among the rows
+of its first band is paired with all others, if their signatures agree on at least 58 of 96 places (a
+pair of similarity 0.8 agrees on fewer with a probability below 1e-5). The buckets of a group so mostly
+name the same few centres, and a member has a few links, however large its group is. Candidates are
+confirmed on whole sets. Members of a bucket that are then still in different components, and whose signatures agree
 enough, are compared by the prefix filter over their whole sets, which loses no link. Of a dense group
 that would be nearly all pairs between a document on its edge and the others, so they also need odd
 sketches (bitmaps of the parity of a set's hashes) that differ in no more bits than linked sets can
@@ -44,14 +45,15 @@ BANDS, ROWS, PLACES = 16, 3, 96
 #: A pair as similar as asked shares no table key, or agrees on too few places, with these probabilities at most.
 NO_TABLE, NO_AGREEMENT = 2.5e-5, 5e-6
 #: Members of a small table bucket, and centres of a larger one.
-SMALL, CENTRES = 12, 4
+SMALL, CENTRES = 12, 1
 #: Bits of an odd sketch: with so many it tells sets of up to some 4,000 shingles apart.
 ODD_BITS = 2048
 #: Documents that have a rare shingle at most.
 RARE = 16
 #: Ids that are broadcast at most to pick the texts to confirm; more are joined by a shuffle.
 MAX_IDS = 1_000_000
-MEMORY = 1_000_000
+#: Word hashes that a worker remembers; of natural text these are nearly all that come again, in some 30 MB.
+MEMORY = 200_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -212,25 +214,34 @@ def table_buckets(band: np.ndarray, sig: np.ndarray, by: Scheme) -> Iterator[tup
         yield rows[inner], at, many
 
 
+def central_first(band: np.ndarray, sig: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """An order of the rows in which, of each band, those come first that agree with the others on most places."""
+    order, starts, sizes = _runs(band)
+    score = np.zeros(len(band), np.int64)
+    for low in range(0, len(starts), 4096):  # bounds the memory of the counts
+        many = sizes[low : low + 4096]
+        of = np.repeat(np.arange(len(many)), many)
+        rows = order[np.repeat(starts[low : low + 4096] - (np.cumsum(many) - many), many) + np.arange(len(of))]
+        for place in sig[rows].T:
+            key = of * 256 + place
+            score[rows] += np.bincount(key)[key]
+    return np.lexsort((ids, -score, band))
+
+
 def pair_up(
     band: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int, plan: Scheme
 ) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of rows, one row for each column, and the rows in buckets of more than two.
 
-    In a bucket one row is paired with all others: the first in a small bucket, the ones that agree most
-    with the rest in a large one.
+    In a bucket the first row is paired with all others, the first CENTRES rows in a large one.
     """
     found, large = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int64)]
     for rows, at, many in table_buckets(band, sig, plan):
-        few = many <= SMALL
-        rest = many[few] - 1
-        others = np.repeat(at[few] + 1 - (np.cumsum(rest) - rest), rest) + np.arange(int(rest.sum()))
-        found.append(np.stack([np.repeat(rows[at[few]], rest), rows[others]]))
-        for first, m in zip(at[~few].tolist(), many[~few].tolist(), strict=True):
-            bucket = rows[first : first + m]
-            common = np.array([np.bincount(c, minlength=256).argmax() for c in sig[bucket].T], np.uint8)
-            for c in np.argsort(-(sig[bucket] == common).sum(axis=1), kind="stable")[:CENTRES]:
-                found.append(np.stack([np.full(m, bucket[c]), bucket]))
+        for k in range(max(1, CENTRES)):
+            asked = many > (SMALL if k else 1)
+            first, rest = at[asked] + k, np.maximum(many[asked] - 1 - k, 0)
+            others = np.repeat(first + 1 - (np.cumsum(rest) - rest), rest) + np.arange(int(rest.sum()))
+            found.append(np.stack([np.repeat(rows[first], rest), rows[others]]))
         inside = np.zeros(len(rows) + 1, np.int64)
         np.add.at(inside, at[many > 2], 1)
         np.add.at(inside, (at + many)[many > 2], -1)
@@ -285,6 +296,8 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
         columns = _columns(batches)
         if columns:
             band, ids, size, sig = columns
+            order = central_first(band, sig, ids)
+            band, ids, size, sig = (c[order] for c in (band, ids, size, sig))
             pairs, large = pair_up(band, size, sig, percent, plan)
             a, b = np.minimum(ids[pairs[0]], ids[pairs[1]]), np.maximum(ids[pairs[0]], ids[pairs[1]])
             for x, y, mark in ((a, b, False), (band[large], ids[large], True)):
@@ -438,7 +451,8 @@ def near_duplicates(
         if not open_.isEmpty():
             later = settle(by_prefixes(open_, base, labels, width, percent), "candidates")
             more = confirm(later, base, width, percent)
-            of = components(links.unionByName(more))
+            # What is known by now is a link from each vertex to the name of its component.
+            of = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = reps.select("set_hash", "id").join(of, "id", "left").select("set_hash", F.coalesce("component", "id").alias("reached"))
     # A document of several texts reaches what any of them reaches.
     classes = every.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
