@@ -155,6 +155,28 @@ def test_a_dense_group_is_not_paired_off(docs, monkeypatch):
     assert proposed and sum(proposed) < 2 * len(rows)
 
 
+def test_a_member_of_a_dense_group_has_few_links():
+    """Whatever the order of rows, the buckets of a group name the same centres: links grow with its members."""
+    plan, by = minhash_dedup.scheme(80), minhash_dedup.multipliers(96)
+    rng, hashes, of = random.Random(4), minhash_dedup.WordHashes(), []
+    for i in range(600):
+        words = [f"c{k}" for k in range(150)]
+        for at in rng.sample(range(150), 1 + i % 7):
+            words[at] = f"own{i}-{at}"
+        of.append(minhash_dedup.shingles(" ".join(words), 2, hashes))
+    sigs = [minhash_dedup.signature(s, by) for s in of]
+    band = np.stack([minhash_dedup.band_keys(m, plan) for m in sigs])
+    sig, size, ids = np.stack([m.astype(np.uint8) for m in sigs]), np.array([len(s) for s in of]), np.arange(600)
+    links = set()
+    for k in range(plan.bands):
+        rows = np.array(rng.sample(range(600), 600))
+        rows = rows[minhash_dedup.central_first(band[rows, k], sig[rows], ids[rows])]
+        pairs, _ = minhash_dedup.pair_up(band[rows, k], size[rows], sig[rows], 80, plan)
+        links |= {tuple(sorted(p)) for p in rows[pairs].T.tolist()}
+    assert {i for p in links for i in p} == set(range(600))
+    assert len(links) < 8 * 600
+
+
 def test_scheme():
     assert minhash_dedup.scheme(80) == minhash_dedup.scheme(95) == minhash_dedup.Scheme(16, 3, 96, 58)
     for percent in (0, 101):
