@@ -159,7 +159,7 @@ def repeated_bytes(
     """
     base = slim(docs, id_col, text_col)
     n_parts = parts_of(base)
-    found = settle(repeated_anchors(base, _values, length, seed, hot_least), "anchors")
+    found = settle(repeated_anchors(base, _values, length, seed, hot_least), "anchors", drop_shuffles=True)
     hot = hot_anchors(found, hot_least)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.list_(pa.list_(pa.int64())), pa.binary()] if keep_text else [])]
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept"] if keep_text else [])]
@@ -238,8 +238,9 @@ def repeated_bytes(
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
 
+    # Anchors and texts pass a shuffle each before the stretches, the largest of all, are sent.
     open_schema = schema.replace("doc_id long", "doc_id long, text string, seeds binary")
-    sorted_out = settle(with_answers(base, found).mapInArrow(sort_out, open_schema), "sorted-out")
+    sorted_out = settle(with_answers(base, found).mapInArrow(sort_out, open_schema), "sorted-out", drop_shuffles=True)
     done = sorted_out.filter("text is null").drop("text", "seeds")
     open_ = sorted_out.filter("text is not null").select("doc_id", "text", "seeds")
     repeats = exchange(open_, send, reduce, n_parts)

@@ -99,3 +99,17 @@ def test_odd_ids_and_nothing(docs):
     got = sorted((r["doc_id"] is None, r["n_removed"]) for r in repeated_bytes(docs((None, text), (2, text), (2, text), (2, "x " + text))).collect())
     assert got[-1] == (True, len(text)) and [g[1] for g in got[:2]] == [got[0][1]] * 2
     assert repeated_bytes(docs((1, "a")).limit(0)).collect() == []
+
+
+def test_earlier_steps_leave_no_shuffle_files(docs, spark):
+    """The texts' shuffles are gone before the stretches are sent; counts of a few bytes may stay."""
+
+    def files():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {every.apply(k).getName(): every.apply(k).length() for k in range(every.size())}
+
+    rng, before = random.Random(8), files()
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=4000))) for i in range(200)]
+    repeated_bytes(docs(*rows, *((i + 500, t) for i, t in rows)))  # not run to its end
+    left = sum(n for name, n in files().items() if name.startswith("shuffle_") and name not in before)
+    assert left < 20_000
