@@ -35,18 +35,24 @@ def transform(strings: list[bytes], depth: int, at_once: int = 1) -> Shard:
     symbols[first + sizes - 1] = 0  # the end of a string, below every byte
     string = np.repeat(np.arange(len(strings)), sizes)
     offset = np.arange(len(symbols)) - first[string]
-    rank, step = symbols.astype(np.int64), 1
+
+    def behind(step: int) -> np.ndarray:
+        return first[string] + (offset + step) % sizes[string]
+
+    # Seven symbols of 9 bits are one number, so the doubling starts from seven.
+    two = symbols.astype(np.int64) << 9 | symbols[behind(1)]
+    four = two << 18 | two[behind(2)]
+    key, step = (four << 18 | two[behind(4)]) << 9 | symbols[behind(6)], 7
     while True:
-        behind = first[string] + (offset + step) % sizes[string]
-        key = rank * (int(rank.max()) + 1) + rank[behind]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_ = key[order]
         new = np.cumsum(np.r_[False, sorted_[1:] != sorted_[:-1]])
-        rank = np.empty_like(rank)
-        rank[order] = new
-        step *= 2
         if step >= depth or new[-1] == len(new) - 1:
             break
+        rank = np.empty_like(key)
+        rank[order] = new
+        key = rank * (int(new[-1]) + 1) + rank[behind(step)]
+        step *= 2
     before = symbols[first[string] + (offset - 1) % sizes[string]]
     if at_once == 2:
         before = symbols[first[string] + (offset - 2) % sizes[string]] << np.uint16(8) | before
@@ -63,11 +69,11 @@ def merge(shards: list[Shard], depth: int, at_once: int = 1) -> tuple[np.ndarray
     small = np.uint8 if len(shards) < 256 else np.int32
     come_from = np.repeat(np.arange(len(shards), dtype=small), sizes)
     n = len(before)
-    rows, common = np.arange(n), np.full(n, depth)
+    rows, common = np.arange(n, dtype=np.int32), np.full(n, depth, np.int32)
     common[:1] = 0
     boundary = np.zeros(n, bool)
     boundary[:1] = True
-    block = np.zeros(n, np.int64)
+    block = np.zeros(n, np.int32)
     for h in range(at_once, depth + 1, at_once):
         symbol = before[rows]
         order = np.argsort(symbol, kind="stable")
@@ -79,12 +85,13 @@ def merge(shards: list[Shard], depth: int, at_once: int = 1) -> tuple[np.ndarray
             rows[come_from == k] = np.arange(starts[k], starts[k + 1])
         if (now == boundary).all():
             break  # no block was split, so none will be
-        boundary, block = now, np.cumsum(now)
+        boundary, block = now, np.cumsum(now, dtype=np.int32)
     return rows, common
 
 
-def repeated_starts(strings: list[bytes], shard_of: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The groups of places (string, offset) that start an equal stretch of `length` bytes, two or more each."""
+def repeated_rows(strings: list[bytes], shard_of: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places (string, offset) that start a stretch of `length` bytes which starts elsewhere too, and a
+    number of the stretch that rises along them."""
     at_once = 2 if length % 2 == 0 and not any(b"\xff" in s for s in strings) else 1
     shards, names = [], []
     for k in np.unique(shard_of):
@@ -97,6 +104,15 @@ def repeated_starts(strings: list[bytes], shard_of: np.ndarray, length: int) ->
     interval = np.cumsum(common < length)
     whole = offset + length <= sizes[string]
     string, offset, interval = string[whole], offset[whole], interval[whole]
-    starts = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]]) if len(interval) else []
-    ends = [*starts[1:], len(interval)] if len(starts) else []
-    return [(string[a:b], offset[a:b]) for a, b in zip(starts, ends, strict=True) if b - a > 1]
+    same = interval[1:] == interval[:-1]
+    many = np.r_[False, same] | np.r_[same, False] if len(interval) else np.zeros(0, bool)
+    return string[many], offset[many], interval[many]
+
+
+def repeated_starts(strings: list[bytes], shard_of: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The groups of places (string, offset) that start an equal stretch of `length` bytes, two or more each."""
+    string, offset, interval = repeated_rows(strings, shard_of, length)
+    if not len(interval):
+        return []
+    cuts = np.flatnonzero(interval[1:] != interval[:-1]) + 1
+    return list(zip(np.split(string, cuts), np.split(offset, cuts), strict=True))

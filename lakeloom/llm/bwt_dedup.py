@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import settle
-from .bwt import repeated_starts
+from .bwt import repeated_rows
 from .common import slices, slim
 from .seeds import (
-    BYTE_VALUES, HOT, NO_ID, SEGMENTS, WINDOWS, anchors, covered, exchange, flush_windows, kind_of, message, pack, parts_of,
+    BYTE_VALUES, HOT, NO_ID, SEGMENTS, WINDOWS, Answers, anchors, answered, covered, exchange, flush_windows, kind_of, messages, pack, parts_of,
     reduce_windows, repeated_anchors, rolling, runs, stretches, to_docs, unpack, with_answers,
 )
 
@@ -41,10 +40,13 @@ SEED = 32
 #: Occurrences from which an anchor may be hot; the share of all anchors from which it is, so there
 #: are fewer hot anchors than one by this share.
 HOT_LEAST, HOT_SHARE = 1024, 1e-5
-#: Bytes of strings that are transformed together, and shards they are dealt to.
-TOGETHER, SHARDS = 4 << 20, 2
-#: Stretches or windows of a task that are combined and sent at once.
-FLUSH = 1_000_000
+#: Bytes of strings that are transformed together, and shards they are dealt to. A transform takes some hundred
+#: times its bytes in memory.
+TOGETHER, SHARDS = 1 << 20, 2
+#: Windows of a task, and bytes of its stretches, that are combined and sent at once.
+FLUSH, FLUSH_BYTES = 1_000_000, 24 << 20
+#: Parts of stretches for each reducer, which takes one after the other.
+FINE = 16
 
 SEGMENT_COLUMNS = ["<u8", "<i8", "<u4", "<i8", "<u4", "<u4"]
 
@@ -57,97 +59,118 @@ def _values():
     return lambda text: np.frombuffer(_raw(text), np.uint8)
 
 
-def flush_segments(held: list[tuple], n_parts: int) -> Iterator[pa.RecordBatch]:
-    """Stretches (anchor, doc, mark, start, windows, bytes) of this task: later equal ones are answered, the first is sent."""
-    held.sort(key=lambda x: (x[1], x[3]))
-    seen, later, parts = {}, [], defaultdict(list)
-    for x in held:
-        if seen.setdefault(x[5], x) is x:
-            parts[x[0] % n_parts].append(x)
-        elif seen[x[5]][1::2][:2] != (x[1], x[3]):
-            later.append(x)
-    yield from _answered(later, n_parts)
-    for part, of in parts.items():
-        *columns, strings = zip(*of, strict=True)
-        columns = [np.array(c, k) for c, k in zip([*columns, [len(s) for s in strings]], SEGMENT_COLUMNS, strict=True)]
-        yield message([part], [None], [pack(SEGMENTS, *columns, tail=b"".join(strings))])
-
-
-def _answered(later: list[tuple], n_parts: int) -> Iterator[pa.RecordBatch]:
-    if later:
-        _, doc, mark, start, many, _ = zip(*later, strict=True)
-        columns = [np.array(mark, "<u4"), np.array(start, "<i8"), np.array(many, "<u4")]
-        yield from to_docs(WINDOWS, np.array(doc, "<i8"), columns, n_parts)
-
-
-def reduce_segments(blobs: list[bytes], length: int, n_parts: int) -> Iterator[pa.RecordBatch]:
-    held = []
+def _among(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which values are in `of`, which is sorted."""
+    if not len(of):
+        return np.zeros(len(values), bool)
+    return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
+
+
+def _earliest(doc: np.ndarray, start: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each equal strings by (doc, start), in that order, and the later ones, without rows that repeat the first."""
+    seen, first, later = {}, [], []
+    docs, starts = doc.tolist(), start.tolist()
+    for k in np.lexsort((start, doc)).tolist():
+        of = seen.setdefault(strings[k], k)
+        if of == k:
+            first.append(k)
+        elif docs[of] != docs[k] or starts[of] != starts[k]:
+            later.append(k)
+    return np.array(first, np.int64), np.array(later, np.int64)
+
+
+def flush_segments(held: list[tuple], strings: list[bytes], n_parts: int) -> Iterator[pa.RecordBatch]:
+    """Stretches (columns of anchor, doc, mark, start, windows; and the bytes) of this task: later equal ones are
+    answered, the first is sent."""
+    columns = [np.concatenate(c).astype(k) for c, k in zip(zip(*held, strict=True), SEGMENT_COLUMNS[:-1], strict=True)]
+    anchor, doc, mark, start, many = columns
+    first, later = _earliest(doc, start, strings)
+    if len(later):
+        yield from to_docs(WINDOWS, doc[later], [mark[later], start[later], many[later]], n_parts)
+    part = (anchor[first] % np.uint64(n_parts * FINE)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    first, part = first[order], part[order]
+
+    def packed() -> Iterator[tuple[int, bytes]]:
+        for s, n in zip(*(c.tolist() for c in runs(part)), strict=True):
+            rows = first[s : s + n]
+            of = [strings[k] for k in rows.tolist()]
+            size = np.array([len(x) for x in of], SEGMENT_COLUMNS[-1])
+            yield int(part[s]), pack(SEGMENTS, *(c[rows] for c in columns), size, tail=b"".join(of))
+
+    yield from messages(packed())
+
+
+def reduce_segments(blobs: list[bytes], length: int) -> Iterator[Answers]:
+    """The answers to the stretches of some anchors, with all occurrences of each."""
+    held, strings = [], []
     for blob in blobs:
-        (anchor, doc, mark, start, many, size), tail = unpack(blob, SEGMENT_COLUMNS)
+        (*columns, size), tail = unpack(blob, SEGMENT_COLUMNS)
         end = np.cumsum(size.astype(np.int64))
-        strings = [tail[e - n : e] for e, n in zip(end.tolist(), size.tolist(), strict=True)]
-        held += zip(*(c.tolist() for c in (anchor, doc, mark, start, many)), strings, strict=True)
-    held.sort(key=lambda x: (x[1], x[3]))
-    seen, later, families = {}, [], defaultdict(list)
-    for x in held:
-        if seen.setdefault(x[5], x) is x:
-            families[x[0]].append(x)
-        elif seen[x[5]][1::2][:2] != (x[1], x[3]):
-            later.append(x)
-    del held, seen
-    yield from _answered(later, n_parts)
+        strings += [tail[e - n : e] for e, n in zip(end.tolist(), size.tolist(), strict=True)]
+        held.append(columns)
+    anchor, doc, mark, start, many = (np.concatenate(c) for c in zip(*held, strict=True))
+    first, later = _earliest(doc, start, strings)
+    if len(later):
+        yield doc[later], mark[later], start[later], many[later]
     # Families of one string have nothing to compare; the others are merged, several at a time.
+    first = first[np.argsort(anchor[first], kind="stable")]
     batch, size = [], 0
-    for of in [f for f in families.values() if len(f) > 1]:
-        batch += of
-        size += sum(len(x[5]) for x in of)
-        if size >= TOGETHER:
-            yield from _merged(_trimmed(batch, length), length, n_parts)
+    for s, n in zip(*(c.tolist() for c in runs(anchor[first])), strict=True):
+        if n > 1:
+            family = first[s : s + n].tolist()
+            batch += family
+            size += sum(len(strings[k]) for k in family)
+        if batch and (size >= TOGETHER or s + n == len(first)):
+            rows = np.array(batch, np.int64)
+            yield from _merged(doc[rows], mark[rows], start[rows], [strings[k] for k in batch], length)
             batch, size = [], 0
-    if batch:
-        yield from _merged(_trimmed(batch, length), length, n_parts)
 
 
-def _trimmed(batch: list[tuple], length: int) -> list[tuple]:
-    """The stretches cut down to the windows whose hash occurs again in the batch; those without any are left out."""
-    sizes = np.array([len(x[5]) for x in batch])
+def _trimmed(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings with windows whose hash occurs again in the batch, and the first and last of those windows."""
+    sizes = np.array([len(s) for s in strings])
     many = sizes - length + 1
     first = np.cumsum(sizes) - sizes
-    hashes = rolling(BYTE_VALUES[np.frombuffer(b"".join(x[5] for x in batch), np.uint8)], length)
-    of = np.repeat(np.arange(len(batch)), many)
+    hashes = rolling(BYTE_VALUES[np.frombuffer(b"".join(strings), np.uint8)], length)
+    of = np.repeat(np.arange(len(strings)), many)
     inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     key = hashes[first[of] + inside]
-    order = np.argsort(key, kind="stable")
+    del hashes
+    order = np.argsort(key)
     same = key[order[1:]] == key[order[:-1]]
     again = np.zeros(len(key), bool)
     again[order[1:][same]] = again[order[:-1][same]] = True
     of, inside = of[again], inside[again]
-    out = []
     starts, counts = runs(of)
-    for s, n in zip(starts.tolist(), counts.tolist(), strict=True):
-        anchor, doc, mark, start, _, string = batch[of[s]]
-        low, high = int(inside[s]), int(inside[s + n - 1])
-        out.append((anchor, doc, mark, start + low, high - low + 1, string[low : high + length]))
-    return out
+    return of[starts], inside[starts], inside[starts + counts - 1]
 
 
-def _merged(batch: list[tuple], length: int, n_parts: int) -> Iterator[pa.RecordBatch]:
-    if not batch:
+def _merged(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, strings: list[bytes], length: int) -> Iterator[Answers]:
+    of, low, high = _trimmed(strings, length)
+    if not len(of):
         return
-    doc = np.array([x[1] for x in batch], np.int64)
-    base = np.array([x[3] for x in batch], np.int64)
-    mark = np.array([x[2] for x in batch], "<u4")
-    strings = [x[5] for x in batch]
-    rows = []
-    for string, offset in repeated_starts(strings, np.arange(len(strings)) % SHARDS, length):
-        d, at = doc[string], base[string] + offset
-        first = np.lexsort((at, d))[0]
-        later = (d != d[first]) | (at != at[first])
-        rows.append((d[later], mark[string][later], at[later]))
-    if rows:
-        d, m, at = (np.concatenate(c) for c in zip(*rows, strict=True))
-        if len(d):
-            yield from to_docs(WINDOWS, d, [m, at, np.ones(len(d), "<u4")], n_parts)
+    doc, mark, base = doc[of], mark[of], start[of] + low
+    cut = [strings[k][a : b + length] for k, a, b in zip(of.tolist(), low.tolist(), high.tolist(), strict=True)]
+    string, offset, stretch = repeated_rows(cut, np.arange(len(cut)) % SHARDS, length)
+    d, at = doc[string], base[string] + offset
+    # Within each stretch the places by (doc, start); all but the first are answered.
+    order = np.lexsort((at, d, stretch))
+    string, d, at = string[order], d[order], at[order]
+    starts, sizes = runs(stretch[order])
+    first = np.repeat(starts, sizes)
+    later = (d != d[first]) | (at != at[first])
+    if later.any():
+        yield _in_runs(d[later], mark[string[later]], at[later])
+
+
+def _in_runs(doc: np.ndarray, mark: np.ndarray, start: np.ndarray) -> Answers:
+    """The windows, those that follow on as one answer."""
+    order = np.lexsort((start, mark, doc))
+    doc, mark, start = doc[order], mark[order], start[order]
+    begins = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (start[1:] - start[:-1] > 1)])
+    last = np.r_[begins[1:], len(doc)] - 1
+    return doc[begins], mark[begins], start[begins], (start[last] - start[begins] + 1).astype("<u4")
 
 
 def repeated_bytes(
@@ -188,46 +211,52 @@ def repeated_bytes(
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "text", "seeds", *names])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, windows, size = [], [], 0
+        segments, strings, held, windows, size = [], [], 0, [], 0
         for batch in slices(batches):
             for doc_id, text, seeds_ in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                raw, mark = _raw(text), zlib.crc32(_raw(text))
+                raw = _raw(text)
+                mark = zlib.crc32(raw)
                 doc = NO_ID if doc_id is None else doc_id
                 repeated = np.frombuffer(seeds_, "<u8")
                 for low, part in stretches(np.frombuffer(raw, np.uint8), length):
                     grams, at = anchors(part, length, seed)
                     first, many = runs(at)
                     anchor = grams[at[first]]
-                    open_ = np.isin(anchor, repeated)
-                    dealt = open_ & np.isin(anchor, hot)
-                    for k in np.flatnonzero(open_ & ~dealt).tolist():
-                        s, n = low + int(first[k]), int(many[k])
-                        segments.append((int(anchor[k]), doc, mark, s, n, raw[s : s + n - 1 + length]))
+                    open_ = _among(anchor, repeated)
+                    dealt = open_ & _among(anchor, hot)
+                    sent = open_ & ~dealt
+                    if sent.any():
+                        begin, n = first[sent] + low, many[sent]
+                        strings += [raw[a:b] for a, b in zip(begin.tolist(), (begin + n - 1 + length).tolist(), strict=True)]
+                        segments.append((anchor[sent], np.full(len(n), doc), np.full(len(n), mark, "<u4"), begin, n))
+                        held += int(n.sum()) + len(n) * (length - 1)
                     if dealt.any():
                         start = np.flatnonzero(np.repeat(dealt, many))
                         key, check = rolling(part, length)[start], rolling(part, length, 1)[start] >> np.uint64(32)
                         full = np.full(len(start), doc, np.int64)
                         windows.append((key, check.astype("<u4"), full, np.full(len(start), mark, "<u4"), start + low))
                         size += len(start)
-            if len(segments) >= FLUSH:
-                yield from flush_segments(segments, n_parts)
-                segments = []
-            if size >= FLUSH:
-                yield from flush_windows(*(np.concatenate(c) for c in zip(*windows, strict=True)), n_parts)
-                windows, size = [], 0
-        if segments:
-            yield from flush_segments(segments, n_parts)
+                if held >= FLUSH_BYTES:
+                    yield from flush_segments(segments, strings, n_parts)
+                    segments, strings, held = [], [], 0
+                if size >= FLUSH:
+                    yield from flush_windows(*(np.concatenate(c) for c in zip(*windows, strict=True)), n_parts)
+                    windows, size = [], 0
+        if held:
+            yield from flush_segments(segments, strings, n_parts)
         if size:
             yield from flush_windows(*(np.concatenate(c) for c in zip(*windows, strict=True)), n_parts)
 
-    def reduce(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        of = defaultdict(list)
-        for blob in blobs:
-            of[kind_of(blob)].append(blob)
-        if of[WINDOWS]:
-            yield from reduce_windows(of[WINDOWS], n_parts)
-        if of[SEGMENTS]:
-            yield from reduce_segments(of[SEGMENTS], length, n_parts)
+    def reduce(parts: Iterator[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        def answers() -> Iterator[Answers]:
+            for blobs in parts:
+                kinds = [kind_of(b) for b in blobs]
+                if WINDOWS in kinds:
+                    yield from reduce_windows([b for b, k in zip(blobs, kinds, strict=True) if k == WINDOWS])
+                if SEGMENTS in kinds:
+                    yield from reduce_segments([b for b, k in zip(blobs, kinds, strict=True) if k == SEGMENTS], length)
+
+        yield from answered(answers(), n_parts)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -238,12 +267,13 @@ def repeated_bytes(
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
 
-    # Anchors and texts pass a shuffle each before the stretches, the largest of all, are sent.
+    # Anchors and texts pass a shuffle each before the stretches, the largest of all, are sent; those are gone when
+    # the texts meet the answers.
     open_schema = schema.replace("doc_id long", "doc_id long, text string, seeds binary")
     sorted_out = settle(with_answers(base, found).mapInArrow(sort_out, open_schema), "sorted-out", drop_shuffles=True)
     done = sorted_out.filter("text is null").drop("text", "seeds")
     open_ = sorted_out.filter("text is not null").select("doc_id", "text", "seeds")
-    repeats = exchange(open_, send, reduce, n_parts)
+    repeats = settle(exchange(open_, send, reduce, n_parts), "repeats", drop_shuffles=True)
     return done.unionByName(with_answers(open_.select("doc_id", "text"), repeats).mapInArrow(finish, schema))
 
 
@@ -266,4 +296,4 @@ def hot_anchors(found: DataFrame, least: int) -> np.ndarray:
     all_ = listed.mapInArrow(total, "n long").agg({"n": "sum"}).first()[0] or 0
     bound = max(least, int(all_ * HOT_SHARE))
     rows = listed.mapInArrow(pick, "key long").collect()
-    return np.array([r["key"] for r in rows], np.int64).view(np.uint64)
+    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))

@@ -9,11 +9,11 @@ A hash that is in a third of the documents so reaches its reducer once per task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import process_store, slices
@@ -22,6 +22,8 @@ from .common import process_store, slices
 NO_ID = np.iinfo(np.int64).max
 #: Entries of a task that are combined and sent at once.
 FLUSH = 4_000_000
+#: Bytes of messages that leave a task in one batch.
+SENT = 4 << 20
 #: Windows of a document that are looked at together.
 STRETCH = 1 << 20
 #: The value of each byte, for documents as rows of bytes.
@@ -32,6 +34,9 @@ MESSAGE = "part int, doc_id long, data binary"
 #: as the fingerprint of the text, the start and how many windows follow on.
 ANCHORS, HOT, WINDOWS, SEGMENTS = 0, 1, 2, 3
 ANSWERS = {ANCHORS: ["<i8", "<u8"], WINDOWS: ["<i8", "<u4", "<i8", "<u4"]}
+#: Answers of kind WINDOWS that a reducer gathers before it sends them.
+ANSWERED = 1_000_000
+Answers = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,73 +135,103 @@ def message(parts: list[int], docs: list[int | None], data: list[bytes]) -> pa.R
     )
 
 
+def messages(rows: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Messages (part, data) without a document, several to a batch."""
+    parts, held, size = [], [], 0
+    for part, data in rows:
+        parts.append(part)
+        held.append(data)
+        size += len(data)
+        if size >= SENT:
+            yield message(parts, [None] * len(parts), held)
+            parts, held, size = [], [], 0
+    if parts:
+        yield message(parts, [None] * len(parts), held)
+
+
 def to_parts(kind: int, key: np.ndarray, columns: list[np.ndarray], n_parts: int) -> Iterator[pa.RecordBatch]:
     """The rows, dealt to reducers by their hash."""
-    part = (key % np.uint64(n_parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    starts, sizes = runs(part[order])
-    for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-        rows = order[s : s + n]
-        yield message([int(part[rows[0]])], [None], [pack(kind, *(c[rows] for c in columns))])
+    yield from _dealt(kind, (key % np.uint64(n_parts)).astype(np.int64), columns)
 
 
 def to_docs(kind: int, docs: np.ndarray, columns: list[np.ndarray], n_parts: int) -> Iterator[pa.RecordBatch]:
     """Answers to documents, dealt to buckets of documents; bucket k is part -1 - k."""
     bucket = (mixed(docs.astype(np.int64).view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    starts, sizes = runs(bucket[order])
-    for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-        rows = order[s : s + n]
-        yield message([-1 - int(bucket[rows[0]])], [None], [pack(kind, docs[rows], *(c[rows] for c in columns))])
+    yield from _dealt(kind, -1 - bucket, [docs, *columns])
+
+
+def _dealt(kind: int, part: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(part, kind="stable")
+    starts, sizes = runs(part[order])
+    at = [order[s : s + n] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    yield from messages((int(part[rows[0]]), pack(kind, *(c[rows] for c in columns))) for rows in at)
+
+
+def by_part(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """The messages of each part; the rows come sorted by it, so those of one part are held at a time."""
+    part, held = None, []
+    for batch in batches:
+        parts = batch.column(0).to_numpy()
+        for s, n in zip(*(c.tolist() for c in runs(parts)), strict=True):
+            if held and parts[s] != part:
+                yield part, held
+                held = []
+            part = int(parts[s])
+            held += batch.column(2).slice(s, n).to_pylist()
+    if held:
+        yield part, held
 
 
 def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The answers of some buckets, one row for each document; other messages as they are."""
-    held = []
-    for batch in batches:
-        answer = pc.less(batch.column(0), 0)
-        yield batch.filter(pc.invert(answer))
-        held += batch.filter(answer).column(2).to_pylist()
-    if not held:
-        return
-    kind = kind_of(held[0])
-    columns = [unpack(data, ANSWERS[kind])[0] for data in held]
-    docs, *rest = (np.concatenate(c) for c in zip(*columns, strict=True))
-    order = np.argsort(docs, kind="stable")
-    docs, rest = docs[order], [c[order] for c in rest]
-    starts, sizes = runs(docs)
-    for low in range(0, len(starts), 1024):
-        at = list(zip(starts[low : low + 1024].tolist(), sizes[low : low + 1024].tolist(), strict=True))
-        data = [pack(kind, *(c[s : s + n] for c in rest)) for s, n in at]
-        yield message([-1] * len(at), docs[starts[low : low + 1024]].tolist(), data)
+    for part, held in by_part(batches):
+        if part >= 0:
+            yield from messages((part, data) for data in held)
+            continue
+        kind = kind_of(held[0])
+        columns = [unpack(data, ANSWERS[kind])[0] for data in held]
+        docs, *rest = (np.concatenate(c) for c in zip(*columns, strict=True))
+        order = np.argsort(docs, kind="stable")
+        docs, rest = docs[order], [c[order] for c in rest]
+        starts, sizes = runs(docs)
+        for low in range(0, len(starts), 1024):
+            at = list(zip(starts[low : low + 1024].tolist(), sizes[low : low + 1024].tolist(), strict=True))
+            data = [pack(kind, *(c[s : s + n] for c in rest)) for s, n in at]
+            yield message([-1] * len(at), docs[starts[low : low + 1024]].tolist(), data)
 
 
 def exchange(
     rows: DataFrame,
     send: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    reduce: Callable[[list[bytes]], Iterator[pa.RecordBatch]],
+    reduce: Callable[[Iterator[list[bytes]]], Iterator[pa.RecordBatch]],
     n_parts: int,
 ) -> DataFrame:
-    """Answers (part, doc_id, data) to what `send` makes of the rows: its own and those of `reduce`, one row per document."""
+    """Answers (part, doc_id, data) to what `send` makes of the rows: its own and those of `reduce`, one row per document.
+
+    Spark sorts the messages of a task by their part, on disk if need be, so `reduce` gets the messages of one part after
+    the other and holds no more than one; there may be many more parts than the `n_parts` tasks.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        batches = iter(batches)
         for batch in batches:
-            answer = pc.less(batch.column(0), 0)
-            yield batch.filter(answer)
-            held += batch.filter(pc.invert(answer)).column(2).to_pylist()
-        if held:
-            yield from reduce(held)
+            answers = int(np.searchsorted(batch.column(0).to_numpy(), 0))
+            if answers:
+                yield batch.slice(0, answers)
+            if answers < batch.num_rows:  # behind the answers there are none
+                yield from reduce(held for _, held in by_part(chain([batch.slice(answers)], batches)))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(n_parts, "part").sortWithinPartitions("part")
 
-    gathered = rows.mapInArrow(send, MESSAGE).repartition(n_parts, "part").mapInArrow(gather, MESSAGE)
-    return gathered.repartition(n_parts, "part").mapInArrow(by_document, MESSAGE)
+    gathered = dealt(rows.mapInArrow(send, MESSAGE)).mapInArrow(gather, MESSAGE)
+    return dealt(gathered).mapInArrow(by_document, MESSAGE)
 
 
 def parts_of(rows: DataFrame) -> int:
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-
 def repeated_anchors(
     docs: DataFrame, values_of: Callable[[], Callable[[str], np.ndarray]], length: int, seed: int, hot: int
 ) -> DataFrame:
@@ -231,18 +266,19 @@ def repeated_anchors(
         if held:
             yield from flush(hashes, ids)
 
-    def reduce(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        columns = [unpack(b, ["<u8", "<i8", "<u4"])[0] for b in blobs]
-        key, doc, count = (np.concatenate(c) for c in zip(*columns, strict=True))
-        order = np.argsort(key, kind="stable")
-        key, doc, count = key[order], doc[order], count[order]
-        starts, sizes = runs(key)
-        many = np.repeat(sizes > 1, sizes)
-        if many.any():
-            yield from to_docs(ANCHORS, doc[many], [key[many]], n_parts)
-        total = np.add.reduceat(count.astype(np.int64), starts)
-        top = total >= hot
-        yield message([0], [None], [pack(HOT, key[starts][top], total[top])])
+    def reduce(parts: Iterator[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for blobs in parts:
+            columns = [unpack(b, ["<u8", "<i8", "<u4"])[0] for b in blobs]
+            key, doc, count = (np.concatenate(c) for c in zip(*columns, strict=True))
+            order = np.argsort(key, kind="stable")
+            key, doc, count = key[order], doc[order], count[order]
+            starts, sizes = runs(key)
+            many = np.repeat(sizes > 1, sizes)
+            if many.any():
+                yield from to_docs(ANCHORS, doc[many], [key[many]], n_parts)
+            total = np.add.reduceat(count.astype(np.int64), starts)
+            top = total >= hot
+            yield message([0], [None], [pack(HOT, key[starts][top], total[top])])
 
     return exchange(docs, send, reduce, n_parts)
 
@@ -277,14 +313,26 @@ def flush_windows(key, check, doc, mark, start, n_parts: int) -> Iterator[pa.Rec
     yield from to_parts(WINDOWS, key[first], [c[first] for c in (key, check, doc, mark, start)], n_parts)
 
 
-def reduce_windows(blobs: list[bytes], n_parts: int) -> Iterator[pa.RecordBatch]:
+def reduce_windows(blobs: list[bytes]) -> Iterator[Answers]:
     columns = [unpack(b, WINDOW_COLUMNS)[0] for b in blobs]
     key, check, doc, mark, start = (np.concatenate(c) for c in zip(*columns, strict=True))
     order, _, later = first_of_each((check, key), doc, start)
     repeated = order[later]
     if len(repeated):
-        columns = [mark[repeated], start[repeated], np.ones(len(repeated), "<u4")]
-        yield from to_docs(WINDOWS, doc[repeated], columns, n_parts)
+        yield doc[repeated], mark[repeated], start[repeated], np.ones(len(repeated), "<u4")
+
+
+def answered(found: Iterator[Answers], n_parts: int) -> Iterator[pa.RecordBatch]:
+    """The answers, gathered to some size, so that a document's bucket gets few messages."""
+    held, size = [], 0
+    for answers in chain(found, [None]):
+        if answers is not None:
+            held.append(answers)
+            size += len(answers[0])
+        if held and (answers is None or size >= ANSWERED):
+            doc, *columns = (np.concatenate(c).astype(k) for c, k in zip(zip(*held, strict=True), ANSWERS[WINDOWS], strict=True))
+            held, size = [], 0
+            yield from to_docs(WINDOWS, doc, columns, n_parts)
 
 
 def covered(n: int, length: int, mark: int, answer: bytes | None) -> np.ndarray:

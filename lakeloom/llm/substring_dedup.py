@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import settle
 from .common import process_store, slices, slim
 from .seeds import (
-    NO_ID, FLUSH, anchors, covered, exchange, flush_windows, parts_of, reduce_windows, repeated_anchors, rolling,
+    NO_ID, FLUSH, anchors, answered, covered, exchange, flush_windows, parts_of, reduce_windows, repeated_anchors, rolling,
     stretches, unpack, with_answers,
 )
 
@@ -139,7 +139,11 @@ def repeated_passages(
     )
     done = sorted_out.filter("text is null").drop("text", "seeds")
     open_ = sorted_out.filter("text is not null").select("doc_id", "text", "seeds")
-    repeats = exchange(open_, send, lambda blobs: reduce_windows(blobs, n_parts), n_parts)
+
+    def reduce(parts: Iterator[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        yield from answered((found for blobs in parts for found in reduce_windows(blobs)), n_parts)
+
+    repeats = exchange(open_, send, reduce, n_parts)
     return done.unionByName(with_answers(open_.select("doc_id", "text"), repeats).mapInArrow(finish, schema))
 
 

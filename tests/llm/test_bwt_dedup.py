@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -113,3 +114,62 @@ def test_earlier_steps_leave_no_shuffle_files(docs, spark):
     repeated_bytes(docs(*rows, *((i + 500, t) for i, t in rows)))  # not run to its end
     left = sum(n for name, n in files().items() if name.startswith("shuffle_") and name not in before)
     assert left < 20_000
+
+
+def stretches_of(n, seed):
+    """Stretches (columns, bytes), two of each anchor, that share 120 of 160 bytes."""
+    rng = np.random.default_rng(seed)
+    shared, own = rng.integers(97, 123, (n, 120), np.uint8), rng.integers(65, 91, (2 * n, 40), np.uint8)
+    own[:, -1] = np.arange(2 * n) % 2
+    strings = [own[k].tobytes() + shared[k // 2].tobytes() for k in range(2 * n)]
+    anchor = np.repeat(rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64), 2)
+    doc = np.arange(2 * n)
+    return [(anchor, doc, np.full(2 * n, 7, "<u4"), np.full(2 * n, 1000), np.full(2 * n, 61))], strings
+
+
+def test_a_reducer_holds_little_of_its_stretches():
+    held, strings = stretches_of(25_000, 1)
+    sent = list(bwt_dedup.flush_segments(held, strings, 1))
+    rows = sorted((x for b in sent for x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)), key=lambda x: x[0])
+    assert len({part for part, _ in rows}) == bwt_dedup.FINE
+    batch = seeds.message([p for p, _ in rows], [None] * len(rows), [d for _, d in rows])
+    del held, strings, sent, rows
+    tracemalloc.start()
+    try:
+        doc, mark, start, many = zip(*(a for _, blobs in seeds.by_part([batch]) for a in bwt_dedup.reduce_segments(blobs, 100)), strict=True)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    doc, start, many = (np.concatenate(c) for c in (doc, start, many))
+    assert sorted(doc.tolist()) == list(range(1, 50_000, 2)) and set(zip(start.tolist(), many.tolist(), strict=True)) == {(1040, 21)}
+    assert most < 100e6  # 8 MB of stretches
+
+
+def test_one_part_reaches_the_reducer_at_a_time(docs):
+    def send(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield from seeds.messages((part, seeds.pack(seeds.HOT, np.full(5, part))) for part in range(40))
+                yield from seeds.to_docs(seeds.WINDOWS, np.array([k]), [np.ones(1, "<u4"), np.arange(1), np.ones(1, "<u4")], 3)
+
+    def reduce(parts):
+        for blobs in parts:
+            values = np.concatenate([seeds.unpack(b, ["<i8"])[0][0] for b in blobs])
+            yield from seeds.to_docs(seeds.WINDOWS, values[:1] + 1000, [np.full(1, len(set(values.tolist())), "<u4"), np.full(1, len(values)), np.ones(1, "<u4")], 3)
+
+    rows = seeds.exchange(docs(*((i, "") for i in range(6))), send, reduce, 3).collect()
+    answers = {r["doc_id"]: [c.tolist() for c in seeds.unpack(bytes(r["data"]), seeds.ANSWERS[seeds.WINDOWS][1:])[0]] for r in rows}
+    assert answers == {**{i: [[1], [0], [1]] for i in range(6)}, **{1000 + p: [[1], [30], [1]] for p in range(40)}}
+
+
+def test_windows_that_follow_on_are_one_answer():
+    doc, mark, start = np.array([1, 1, 1, 2, 1, 1]), np.array([5, 5, 5, 5, 6, 5], "<u4"), np.array([4, 3, 9, 5, 5, 4])
+    got = list(zip(*(c.tolist() for c in bwt_dedup._in_runs(doc, mark, start)), strict=True))
+    assert got == [(1, 5, 3, 2), (1, 5, 9, 1), (1, 6, 5, 1), (2, 5, 5, 1)]
+
+
+def test_stretches_are_gone_when_the_texts_meet_the_answers(docs, spark):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=4000))) for i in range(50)]
+    plan = repeated_bytes(docs(*rows, *((i + 500, t) for i, t in rows)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # of the last step; nothing before it is run again
