@@ -32,7 +32,7 @@ from ..session import settle
 from .bwt import repeated_rows
 from .common import slices, slim
 from .seeds import (
-    BYTE_VALUES, HOT, NO_ID, SEGMENTS, WINDOWS, Answers, anchors, answered, covered, exchange, flush_windows, kind_of, messages, pack, parts_of,
+    BYTE_VALUES, FINE, HOT, NO_ID, SEGMENTS, WINDOWS, Answers, anchors, answered, covered, exchange, flush_windows, kind_of, messages, pack, parts_of,
     reduce_windows, repeated_anchors, rolling, runs, stretches, to_docs, unpack, with_answers,
 )
 
@@ -45,8 +45,6 @@ HOT_LEAST, HOT_SHARE = 1024, 1e-5
 TOGETHER, SHARDS = 1 << 20, 2
 #: Windows of a task, and bytes of its stretches, that are combined and sent at once.
 FLUSH, FLUSH_BYTES = 1_000_000, 24 << 20
-#: Parts of stretches for each reducer, which takes one after the other.
-FINE = 16
 
 SEGMENT_COLUMNS = ["<u8", "<i8", "<u4", "<i8", "<u4", "<u4"]
 

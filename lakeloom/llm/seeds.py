@@ -20,8 +20,12 @@ from .common import process_store, slices
 
 #: Stands for a null doc_id; it comes after all others.
 NO_ID = np.iinfo(np.int64).max
-#: Entries of a task that are combined and sent at once.
-FLUSH = 4_000_000
+#: Entries of a task that are combined and sent at once; one takes some two hundred bytes while it is sorted and packed.
+FLUSH = 250_000
+#: Parts of messages for each reducer, which takes one after the other; fewer where all reducers would have more than PARTS.
+FINE, PARTS = 16, 1024
+#: Bytes of answers that are sorted together.
+SORTED = 8 << 20
 #: Bytes of messages that leave a task in one batch.
 SENT = 4 << 20
 #: Windows of a document that are looked at together.
@@ -34,9 +38,9 @@ MESSAGE = "part int, doc_id long, data binary"
 #: as the fingerprint of the text, the start and how many windows follow on.
 ANCHORS, HOT, WINDOWS, SEGMENTS = 0, 1, 2, 3
 ANSWERS = {ANCHORS: ["<i8", "<u8"], WINDOWS: ["<i8", "<u4", "<i8", "<u4"]}
-#: Answers of kind WINDOWS that a reducer gathers before it sends them.
-ANSWERED = 1_000_000
-Answers = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Answers that a reducer gathers before it sends them.
+ANSWERED = 500_000
+Answers = tuple[np.ndarray, ...]
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +114,13 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, len(keys)])
 
 
+def joined(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """The pieces of each column as one; the pieces are let go."""
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    held.clear()
+    return columns
+
+
 def pack(kind: int, *columns: np.ndarray, tail: bytes = b"") -> bytes:
     """Columns of one length as bytes: kind, rows, width of each column, the columns, anything else."""
     head = np.array([kind, len(columns[0]), len(columns), *(c.dtype.itemsize for c in columns)], "<u4")
@@ -150,8 +161,9 @@ def messages(rows: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
 
 
 def to_parts(kind: int, key: np.ndarray, columns: list[np.ndarray], n_parts: int) -> Iterator[pa.RecordBatch]:
-    """The rows, dealt to reducers by their hash."""
-    yield from _dealt(kind, (key % np.uint64(n_parts)).astype(np.int64), columns)
+    """The rows, dealt to parts by their hash."""
+    parts = n_parts * max(1, min(FINE, PARTS // n_parts))
+    yield from _dealt(kind, (key % np.uint64(parts)).astype(np.int64), columns)
 
 
 def to_docs(kind: int, docs: np.ndarray, columns: list[np.ndarray], n_parts: int) -> Iterator[pa.RecordBatch]:
@@ -190,14 +202,24 @@ def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         kind = kind_of(held[0])
         columns = [unpack(data, ANSWERS[kind])[0] for data in held]
-        docs, *rest = (np.concatenate(c) for c in zip(*columns, strict=True))
-        order = np.argsort(docs, kind="stable")
-        docs, rest = docs[order], [c[order] for c in rest]
-        starts, sizes = runs(docs)
-        for low in range(0, len(starts), 1024):
-            at = list(zip(starts[low : low + 1024].tolist(), sizes[low : low + 1024].tolist(), strict=True))
-            data = [pack(kind, *(c[s : s + n] for c in rest)) for s, n in at]
-            yield message([-1] * len(at), docs[starts[low : low + 1024]].tolist(), data)
+        shares = np.uint64(1 + sum(map(len, held)) // SORTED)
+        for share in range(int(shares)):
+            docs, *rest = joined([_share(c, share, shares) for c in columns])
+            order = np.argsort(docs, kind="stable")
+            docs, rest = docs[order], [c[order] for c in rest]
+            starts, sizes = runs(docs)
+            for low in range(0, len(starts), 1024):
+                at = list(zip(starts[low : low + 1024].tolist(), sizes[low : low + 1024].tolist(), strict=True))
+                data = [pack(kind, *(c[s : s + n] for c in rest)) for s, n in at]
+                yield message([-1] * len(at), docs[starts[low : low + 1024]].tolist(), data)
+
+
+def _share(columns: list[np.ndarray], share: int, shares: np.uint64) -> list[np.ndarray]:
+    """The rows of some of a bucket's documents."""
+    if shares == 1:
+        return columns
+    mine = (mixed(columns[0].view(np.uint64)) >> np.uint64(32)) % shares == share
+    return [c[mine] for c in columns]
 
 
 def exchange(
@@ -239,50 +261,69 @@ def repeated_anchors(
     kind HOT (no doc_id): anchors that occur `hot` times or more, with their number."""
     n_parts = parts_of(docs)
 
-    def flush(hashes: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, doc = np.concatenate(hashes), np.concatenate(ids)
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        starts, sizes = runs(key)
-        many = np.repeat(sizes > 1, sizes)
-        if many.any():
-            yield from to_docs(ANCHORS, doc[many], [key[many]], n_parts)
-        yield from to_parts(ANCHORS, key[starts], [key[starts], doc[starts], sizes.astype("<u4")], n_parts)
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, hashes, ids, held = values_of(), [], [], 0
-        for batch in slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for _, part in stretches(values(text), length):
-                    grams, at = anchors(part, length, seed)
-                    if len(at):
-                        found = grams[at[np.r_[True, at[1:] != at[:-1]]]]
-                        hashes.append(found)
-                        ids.append(np.full(len(found), NO_ID if doc_id is None else doc_id, np.int64))
-                        held += len(found)
-            if held >= FLUSH:
-                yield from flush(hashes, ids)
-                hashes, ids, held = [], [], 0
-        if held:
-            yield from flush(hashes, ids)
+        yield from send_anchors(batches, values_of(), length, seed, n_parts)
 
     def reduce(parts: Iterator[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        for blobs in parts:
-            columns = [unpack(b, ["<u8", "<i8", "<u4"])[0] for b in blobs]
-            key, doc, count = (np.concatenate(c) for c in zip(*columns, strict=True))
-            order = np.argsort(key, kind="stable")
-            key, doc, count = key[order], doc[order], count[order]
-            starts, sizes = runs(key)
-            many = np.repeat(sizes > 1, sizes)
-            if many.any():
-                yield from to_docs(ANCHORS, doc[many], [key[many]], n_parts)
-            total = np.add.reduceat(count.astype(np.int64), starts)
-            top = total >= hot
-            yield message([0], [None], [pack(HOT, key[starts][top], total[top])])
+        tops = []
+
+        def answers() -> Iterator[Answers]:
+            for blobs in parts:
+                repeated, top = reduce_anchors(blobs, hot)
+                tops.append(top)
+                yield from repeated
+
+        yield from answered(answers(), n_parts, ANCHORS)
+        key, total = (np.concatenate(c) for c in zip(*tops, strict=True))
+        yield message([0], [None], [pack(HOT, key, total)])
 
     return exchange(docs, send, reduce, n_parts)
 
 
+def send_anchors(
+    batches: Iterator[pa.RecordBatch], values: Callable[[str], np.ndarray], length: int, seed: int, n_parts: int
+) -> Iterator[pa.RecordBatch]:
+    """The anchors of documents (doc_id, text), some at a time."""
+    held, size = [], 0
+    for batch in slices(batches):
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for _, part in stretches(values(text), length):
+                grams, at = anchors(part, length, seed)
+                if len(at):
+                    found = grams[at[np.r_[True, at[1:] != at[:-1]]]]
+                    held.append((found, np.full(len(found), NO_ID if doc_id is None else doc_id, np.int64)))
+                    size += len(found)
+                if size >= FLUSH:
+                    yield from flush_anchors(held, n_parts)
+                    size = 0
+    if size:
+        yield from flush_anchors(held, n_parts)
+
+
+def flush_anchors(held: list[tuple[np.ndarray, np.ndarray]], n_parts: int) -> Iterator[pa.RecordBatch]:
+    """Anchors (hash, doc) of this task: those that repeat are answered, one of each is sent with its number."""
+    key, doc = joined(held)
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    starts, sizes = runs(key)
+    many = np.repeat(sizes > 1, sizes)
+    if many.any():
+        yield from to_docs(ANCHORS, doc[many], [key[many]], n_parts)
+    yield from to_parts(ANCHORS, key[starts], [key[starts], doc[starts], sizes.astype("<u4")], n_parts)
+
+
+def reduce_anchors(blobs: list[bytes], hot: int) -> tuple[list[Answers], tuple[np.ndarray, np.ndarray]]:
+    """The answers to the anchors of one part, and the hot ones with their number."""
+    key, doc, count = joined([unpack(b, ["<u8", "<i8", "<u4"])[0] for b in blobs])
+    order = np.argsort(key, kind="stable")
+    key, doc, count = key[order], doc[order], count[order]
+    starts, sizes = runs(key)
+    many = np.repeat(sizes > 1, sizes)
+    total = np.add.reduceat(count.astype(np.int64), starts)
+    top = total >= hot
+    return ([(doc[many], key[many])] if many.any() else []), (key[starts][top], total[top])
+
+
 def with_answers(docs: DataFrame, df: DataFrame) -> DataFrame:
     """The documents, with `answer` where they have one."""
     found = df.filter("doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("data").alias("answer"))
@@ -314,15 +355,14 @@ def flush_windows(key, check, doc, mark, start, n_parts: int) -> Iterator[pa.Rec
 
 
 def reduce_windows(blobs: list[bytes]) -> Iterator[Answers]:
-    columns = [unpack(b, WINDOW_COLUMNS)[0] for b in blobs]
-    key, check, doc, mark, start = (np.concatenate(c) for c in zip(*columns, strict=True))
+    key, check, doc, mark, start = joined([unpack(b, WINDOW_COLUMNS)[0] for b in blobs])
     order, _, later = first_of_each((check, key), doc, start)
     repeated = order[later]
     if len(repeated):
         yield doc[repeated], mark[repeated], start[repeated], np.ones(len(repeated), "<u4")
 
 
-def answered(found: Iterator[Answers], n_parts: int) -> Iterator[pa.RecordBatch]:
+def answered(found: Iterator[Answers], n_parts: int, kind: int = WINDOWS) -> Iterator[pa.RecordBatch]:
     """The answers, gathered to some size, so that a document's bucket gets few messages."""
     held, size = [], 0
     for answers in chain(found, [None]):
@@ -330,9 +370,9 @@ def answered(found: Iterator[Answers], n_parts: int) -> Iterator[pa.RecordBatch]
             held.append(answers)
             size += len(answers[0])
         if held and (answers is None or size >= ANSWERED):
-            doc, *columns = (np.concatenate(c).astype(k) for c, k in zip(zip(*held, strict=True), ANSWERS[WINDOWS], strict=True))
-            held, size = [], 0
-            yield from to_docs(WINDOWS, doc, columns, n_parts)
+            doc, *columns = (c.astype(k, copy=False) for c, k in zip(joined(held), ANSWERS[kind], strict=True))
+            size = 0
+            yield from to_docs(kind, doc, columns, n_parts)
 
 
 def covered(n: int, length: int, mark: int, answer: bytes | None) -> np.ndarray:

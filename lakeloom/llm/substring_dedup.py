@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import settle
 from .common import process_store, slices, slim
 from .seeds import (
-    NO_ID, FLUSH, anchors, answered, covered, exchange, flush_windows, parts_of, reduce_windows, repeated_anchors, rolling,
-    stretches, unpack, with_answers,
+    NO_ID, FLUSH, anchors, answered, covered, exchange, flush_windows, joined, parts_of, reduce_windows, repeated_anchors,
+    rolling, stretches, unpack, with_answers,
 )
 
 SEED = 8
-MEMORY = 1_000_000
+#: Words whose values a worker remembers, at some 150 bytes each.
+MEMORY = 1 << 17
 
 
 class WordValues(dict):
@@ -67,6 +68,29 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def send_windows(
+    batches: Iterator[pa.RecordBatch], values: Callable[[str], np.ndarray], length: int, seed: int, n_parts: int
+) -> Iterator[pa.RecordBatch]:
+    """The windows of documents (doc_id, text, anchors) that have one of the anchors, some at a time."""
+    held, size = [], 0
+    for batch in slices(batches):
+        for doc_id, text, seeds_ in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for low, part in stretches(values(text), length):
+                grams, at = anchors(part, length, seed)
+                start = np.flatnonzero(np.isin(grams, np.frombuffer(seeds_, "<u8"))[at])
+                if len(start):
+                    key, check = rolling(part, length)[start], rolling(part, length, 1)[start] >> np.uint64(32)
+                    doc = np.full(len(start), NO_ID if doc_id is None else doc_id, np.int64)
+                    mark = np.full(len(start), _mark(text), "<u4")
+                    held.append((key, check.astype("<u4"), doc, mark, start + low))
+                    size += len(start)
+                if size >= FLUSH:
+                    yield from flush_windows(*joined(held), n_parts)
+                    size = 0
+    if size:
+        yield from flush_windows(*joined(held), n_parts)
+
+
 def repeated_passages(
     docs: DataFrame, length: int = 20, seed: int = SEED, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -106,23 +130,7 @@ def repeated_passages(
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "text", "seeds", *names])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, held, size = _values(), [], 0
-        for batch in slices(batches):
-            for doc_id, text, seeds_ in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for low, part in stretches(values(text), length):
-                    grams, at = anchors(part, length, seed)
-                    start = np.flatnonzero(np.isin(grams, np.frombuffer(seeds_, "<u8"))[at])
-                    if len(start):
-                        key, check = rolling(part, length)[start], rolling(part, length, 1)[start] >> np.uint64(32)
-                        doc = np.full(len(start), NO_ID if doc_id is None else doc_id, np.int64)
-                        mark = np.full(len(start), _mark(text), "<u4")
-                        held.append((key, check.astype("<u4"), doc, mark, start + low))
-                        size += len(start)
-            if size >= FLUSH:
-                yield from flush_windows(*(np.concatenate(c) for c in zip(*held, strict=True)), n_parts)
-                held, size = [], 0
-        if held:
-            yield from flush_windows(*(np.concatenate(c) for c in zip(*held, strict=True)), n_parts)
+        yield from send_windows(batches, _values(), length, seed, n_parts)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -1,12 +1,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.llm import seeds
+from lakeloom.llm import seeds, substring_dedup
 from lakeloom.llm.substring_dedup import repeated_passages
 
 from .helpers import by_id
@@ -83,3 +85,106 @@ def test_rolling_is_a_function_of_the_window():
     v = np.tile(np.random.default_rng(0).integers(0, 2**64, 50, dtype=np.uint64), 4)
     h = seeds.rolling(v, 20)
     assert (h[:50] == h[50:100]).all() and len(np.unique(h)) == 50
+
+
+def most_memory(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def in_one_batch(sent):
+    """The messages of a task as one reducer gets them, by part."""
+    rows = sorted((x for b in sent for x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True) if x[0] >= 0), key=lambda x: x[0])
+    return seeds.message([p for p, _ in rows], [None] * len(rows), [d for _, d in rows])
+
+
+def test_a_worker_remembers_few_words():
+    words = [b"%d" % k for k in range(600_000)]
+
+    def run():
+        memory = substring_dedup.WordValues()
+        return [memory[w] for w in words[:10]], sum(memory[w] >> 60 for w in words), [memory[w] for w in words[:10]]
+
+    (before, _, after), most = most_memory(run)
+    assert before == after
+    assert most < 30e6
+
+
+def test_a_reducer_holds_little_of_its_windows():
+    n = 300_000
+    key = np.random.default_rng(0).integers(0, 2**63, n, dtype=np.int64).view(np.uint64)
+    sent = []
+    for doc in (1, 2):
+        sent += seeds.flush_windows(key, key.astype("<u4"), np.full(n, doc), np.full(n, doc, "<u4"), np.arange(n), 1)
+    batch = in_one_batch(sent)
+    del sent
+
+    def run():
+        return sum(len(a[0]) for _, blobs in seeds.by_part([batch]) for a in seeds.reduce_windows(blobs) if set(a[0].tolist()) == {2})
+
+    found, most = most_memory(run)
+    assert found == n
+    assert most < 20e6  # 19 MB of windows
+
+
+def test_a_task_sends_windows_of_a_batch_bit_by_bit(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FLUSH", 500)
+    texts = [" ".join(f"w{i}x{k}" for k in range(419)) for i in range(30)]
+    values, columns = substring_dedup._values(), ([], [], [])
+    for i, text in enumerate(texts):
+        grams, _ = seeds.anchors(values(text), 20, 8)
+        for c, x in zip(columns, (i, text, grams.tobytes()), strict=True):
+            c.append(x)
+    batch = pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2], pa.binary())], ["doc_id", "text", "seeds"])
+    flushes, whole = [], seeds.flush_windows
+    monkeypatch.setattr(substring_dedup, "flush_windows", lambda *c: flushes.append(len(c[0])) or whole(*c))
+    sent = list(substring_dedup.send_windows(iter([batch]), values, 20, 8, 3))
+    assert flushes == [800] * 15
+    assert sum(len(seeds.unpack(d, seeds.WINDOW_COLUMNS)[0][0]) for b in sent for d in b.column(2).to_pylist()) == 12_000
+
+
+def test_anchors_of_a_task_come_in_parts(monkeypatch):
+    monkeypatch.setattr(seeds, "FLUSH", 2_000)
+    rng = random.Random(4)
+    rows = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(2_000)) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(rows * 2)], ["doc_id", "text"])
+    sent = list(seeds.send_anchors(iter([batch]), substring_dedup._values(), 20, 8, 1))
+    of_parts = list(seeds.by_part([in_one_batch(sent)]))
+    assert len(of_parts) == seeds.FINE
+    found = [seeds.reduce_anchors(blobs, 1 << 62)[0] for _, blobs in of_parts]
+    assert sorted({d for answers in found for docs_, _ in answers for d in docs_.tolist()}) == list(range(40))
+
+
+def test_small_flushes_of_windows(docs, monkeypatch):
+    for module in (seeds, substring_dedup):
+        monkeypatch.setattr(module, "FLUSH", 50)
+    monkeypatch.setattr(seeds, "ANSWERED", 20)
+    rows = corpus(3)
+    got = by_id(repeated_passages(docs(*rows)))
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == brute(rows, 20)
+
+
+def test_answers_of_a_bucket_are_sorted_share_by_share(monkeypatch):
+    n = 400_000
+    docs_ = np.arange(n) % 5_000
+    sent = list(seeds.to_docs(seeds.ANCHORS, docs_, [np.arange(n).astype("<u8")], 1))
+    rows = [x for b in sent for x in b.column(2).to_pylist()]
+    batch = seeds.message([-1] * len(rows), [None] * len(rows), rows)
+    del sent, rows
+    monkeypatch.setattr(seeds, "SORTED", 1 << 20, raising=False)
+
+    def run():
+        got = {}
+        for b in seeds.by_document(iter([batch])):
+            for doc, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                (found,), _ = seeds.unpack(data, ["<u8"])
+                assert doc not in got and (found % 5_000 == doc).all()
+                got[doc] = len(found)
+        return got
+
+    got, most = most_memory(run)
+    assert got == dict.fromkeys(range(5_000), 80)
+    assert most < 18e6  # 6 MB of answers, all at once 22e6
